@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonloom.llm import bpe, decontaminate, language, quality_rules, sharding, simhash
+from axonloom.llm import bpe, decontaminate, language, licenses, pii, quality_model, quality_rules, sharding, simhash, toxicity
 from axonloom.llm.textops import table
 
 
@@ -19,10 +19,32 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _held_out(of: int, part: int):
+    return F.coalesce(language.held_out(part, of), F.lit(False)).alias("held_out")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", _held_out(3, 1), "score", "predicted")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.scanned(docs, licenses.train(docs))
+    families = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"])))
+    best = F.coalesce(F.array_max(F.transform("found", lambda x: x["probability"])), F.lit(0.0))
+    return found.select("doc_id", "n_paragraphs", F.size("found").cast("bigint").alias("n_license_paragraphs"), F.array_join(families, ",").alias("licenses"), best.alias("probability"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
@@ -31,6 +53,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality_model.scored(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", _held_out(4, 2), "score", "predicted")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -39,11 +67,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predicted(docs, language.train(docs))
-    return found.select("doc_id", F.coalesce(language.held_out(2), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", _held_out(4, 2), "lang_pred", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op3_quality_rules, op6_bpe, op7_sharding, op9_simhash, op10_language)
+    f.__name__: f
+    for f in (op1_decontaminate, op2_toxicity, op3_quality_rules, op4_licenses, op5_pii, op6_bpe, op7_sharding, op8_quality, op9_simhash, op10_language)
 }
 
 OP1_SQL = r"""
