@@ -1,13 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The examples are a bounded sample of the labelled rows. Terms are words and word beginnings (4 to 6 letters), each at
-several levels of how often a text has it, since stems that are harmless once can be telling when they pile up; those
-that go with either label beyond chance in the sample are used. Their document frequencies are counted over all
-documents. Examples lie
-in blocks; the index holds, for each term, its largest weight in every block that has it. A query adds those up to
-bound each block's best cosine, opens blocks from the highest bound on, scores their examples exactly, and stops when
-no bound reaches the k-th best: the k nearest are exact, ties going to the smaller example number. Votes weighted by
-cosine, shrunk to the base rate, are calibrated by isotonic regression on the examples themselves, each left out.
+The examples are a bounded sample of the labelled rows, each text once. Terms are words and word beginnings (4 to 6
+letters), each at several levels of how often a text has it, since stems that are harmless once can be telling when
+they pile up; those that go with label 1 beyond chance in the sample are used. Their document frequencies are counted
+over all documents. Examples lie in blocks; the index holds, for each term, its largest weight in every block that has
+it. A query adds those up to bound each block's best cosine, opens blocks from the highest bound on, scores their
+examples exactly, and stops when no bound exceeds the k-th best: the k largest cosines are exact, and of examples tied
+for the last place those opened first are taken. Votes weighted by cosine, shrunk to the base rate, are calibrated by
+isotonic regression on the examples themselves, each left out.
 
 Defined cases: null and empty texts, and texts without a known term, get the rate among examples without one; without
 labels every score is 0.5; repeated rows stay rows; labels of repeated ids count once each; other columns are ignored.
@@ -25,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axonloom.session import cut
+
 #: Labelled rows that serve as examples at most (about; chosen by a hash of their id).
 SAMPLE_ROWS = 10_000
-#: Terms of the model at most, and the least chi-square and document count of a term in the sample.
-MAX_TERMS, MIN_CHI, MIN_ROWS = 2_000, 20.0, 4
+#: Terms of the model at most, and a term's least chi-square, rows in the sample, and share of label 1 over the base
+#: rate. Terms that go with label 0 are left out: there, they are the words of frequent texts.
+MAX_TERMS, MIN_CHI, MIN_ROWS, MIN_LIFT = 2_000, 20.0, 4, 2.0
 #: A text that has a term this often has the term of that level too.
 LEVELS = (1, 2, 3, 5)
 NEIGHBOURS, BLOCK, SHRINK, THRESHOLD = 15, 32, 0.5, 0.7
@@ -181,7 +184,7 @@ class Index:
         self._query[t] = w
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
+            if bound[b] <= 0 or len(best) == k and bound[b] <= -best[-1][0] + 1e-12:
                 break
             lo, hi = b * BLOCK, min(len(self.ids), (b + 1) * BLOCK)
             s = slice(self.ptr[lo], self.ptr[hi])
@@ -224,13 +227,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", holdout: tup
     share = int(min(1.0, sample_rows / total) * (1 << 20))
     known = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 20)) < share)
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")  # sample_rows ids at most, about
+    sample = cut(sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min_by("label", "doc_id").alias("label")).select("doc_id", "label", "text"))
     counted = sample.select("text", "label").mapInArrow(_sample_counts, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
     n_pos, n_all = sample.agg(F.sum("label"), F.count("*")).first()
     n_pos, n_all = n_pos or 0, n_all or 1
     a, b, p, q = F.col("a"), F.col("b"), float(n_pos), float(n_all - n_pos)
     gap = a * q - b * p
     chi = n_all * gap * gap / ((a + b) * (n_all - a - b) * F.lit(max(p * q, 1.0)))
-    top = counted.where(F.col("a") + F.col("b") >= MIN_ROWS).withColumn("chi", chi).where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "term").limit(MAX_TERMS).select("term").collect()
+    top = counted.where((a + b >= MIN_ROWS) & (a * float(n_all) >= MIN_LIFT * p * (a + b))).withColumn("chi", chi).where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "term").limit(MAX_TERMS).select("term").collect()
     terms = {r[0]: i for i, r in enumerate(top)}
     df = np.zeros(len(terms) + 1)
     for r in docs.select("text").mapInArrow(_frequencies(terms), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
