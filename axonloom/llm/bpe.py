@@ -18,7 +18,9 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,6 +31,10 @@ from axonloom.llm.textops import chunks
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces held with their ids; the table starts anew beyond, so memory is bounded.
 KEEP_PIECES = 300_000
+#: Ids of a pair are packed into one number; places of a rank up to which they are merged one by one.
+WIDTH, FEW = 1 << 20, 12
+#: Text bytes that are split and merged together.
+CHUNK_BYTES = 4 << 20
 #: Longer pieces are encoded each time they occur.
 KEEP_CHARS = 64
 
@@ -50,11 +56,12 @@ class ByteBpe:
             raise ValueError("only byte-level BPE without normaliser or prefix space is supported")
         chars, vocab = _byte_chars(), spec["model"]["vocab"]
         self.bytes_of = {i: bytes(map(chars.__getitem__, token)) for token, i in vocab.items()}
-        self.byte_ids = [0] * 256
+        self.byte_symbol = np.full(256, -1)
         for token, i in vocab.items():
             if len(token) == 1:
-                self.byte_ids[chars[token]] = i
-        self.rank: dict[tuple[int, int], int] = {}
+                self.byte_symbol[chars[token]] = i
+        self.byte_symbol[0xFF] = -1
+        self.rank: dict[int, int] = {}
         self.merged: list[int] = []
         self.parts: list[tuple[int, int]] = []
         made: dict[int, int] = {}
@@ -64,9 +71,11 @@ class ByteBpe:
             if any(made.get(p, -1 if len(self.bytes_of[p]) == 1 else r) >= r for p in (x, y)):
                 raise ValueError("a merge comes before the merges of its parts")
             made.setdefault(xy, r)
-            self.rank[x, y] = r
+            self.rank[x * WIDTH + y] = r
             self.parts.append((x, y))
             self.merged.append(xy)
+        self.keys = np.array(sorted(self.rank))
+        self.key_rank = np.array([self.rank[k] for k in self.keys.tolist()])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("special tokens that strip or match whole words aren't supported")
@@ -84,43 +93,70 @@ class ByteBpe:
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         """Ids of each piece, by one pass over the pair occurrence index of all of them."""
-        symbol: list[int] = []
-        owner: list[int] = []
-        for n, piece in enumerate(pieces):
-            ids = [self.special[piece]] if piece in self.special else [self.byte_ids[b] for b in piece.encode("utf-8")]
-            symbol += ids
-            owner += [n] * len(ids)
-        n, rank = len(symbol), self.rank
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # 0xFF never occurs in UTF-8: it parts the pieces, as a symbol that pairs with nothing
+        raw = np.frombuffer(b"\xff".join([p.encode("utf-8") for p in pieces]) + b"\xff", np.uint8)
+        symbol = self.byte_symbol[raw]
+        n = len(symbol)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        sym, nxt, prv = memoryview(symbol), memoryview(after), memoryview(before)  # plain ints for single places
         where: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            if owner[i] == owner[i + 1] and (r := rank.get((symbol[i], symbol[i + 1]))) is not None:
-                where.setdefault(r, []).append(i)
+        self._index(where, [], np.arange(n - 1), symbol[:-1] * WIDTH + symbol[1:])
         active = list(where)
         heapq.heapify(active)
+        rank = self.rank
         while active:
             r = heapq.heappop(active)
-            a, b = self.parts[r]
-            new = self.merged[r]
-            for i in sorted(where.pop(r)):
-                if symbol[i] != a or (j := after[i]) >= n or symbol[j] != b or owner[i] != owner[j]:
+            (a, b), new = self.parts[r], self.merged[r]
+            at = where.pop(r)
+            if len(at) > FEW and a != b:
+                pos = np.array(at)
+                pos = pos[symbol[pos] == a]
+                j = after[pos]
+                ok = symbol[j] == b
+                pos, j = pos[ok], j[ok]
+                k = after[j]
+                symbol[pos], symbol[j] = new, -1
+                after[pos], before[k] = k, pos
+                left = before[pos]
+                key = np.concatenate([np.where(left >= 0, symbol[left], -1) * WIDTH + new, new * WIDTH + symbol[k]])
+                self._index(where, active, np.concatenate([left, pos]), key)
+                continue
+            for i in sorted(at):  # few places, or runs of one symbol: left to right
+                if sym[i] != a or sym[j := nxt[i]] != b:
                     continue  # an earlier merge took one of them
-                symbol[i], symbol[j] = new, -1
-                after[i] = k = after[j]
-                if k < n:
-                    before[k] = i
-                for left, right in ((before[i], i), (i, k)):
-                    if 0 <= left and right < n and owner[left] == owner[right] and (q := rank.get((symbol[left], symbol[right]))) is not None:
+                sym[i], sym[j] = new, -1
+                nxt[i] = k = nxt[j]
+                prv[k] = i
+                left = prv[i]
+                for p, key in ((left, sym[left] * WIDTH + new if left >= 0 else -1), (i, new * WIDTH + sym[k])):
+                    if (q := rank.get(key)) is not None:
                         if q not in where:
                             where[q] = []
                             heapq.heappush(active, q)
-                        where[q].append(left)
-        out: list[list[int]] = [[] for _ in pieces]
-        for s, o in zip(symbol, owner):
-            if s >= 0:
-                out[o].append(s)
+                        where[q].append(p)
+        alive = np.flatnonzero((symbol >= 0) | (raw == 0xFF))
+        ids = symbol[alive]
+        ends = np.flatnonzero(ids < 0)
+        flat, out, start = ids.tolist(), [], 0
+        for end in ends.tolist():
+            out.append(flat[start:end])
+            start = end + 1
         return out
 
+    def _index(self, where: dict[int, list[int]], active: list[int], places: np.ndarray, keys: np.ndarray) -> None:
+        """Adds the places of mergeable pairs to their ranks' lists; new ranks become active."""
+        at = np.searchsorted(self.keys, keys)
+        hit = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+        ranks, places = self.key_rank[at[hit]], places[hit]
+        by = np.argsort(ranks, kind="stable")
+        ranks, places = ranks[by], places[by].tolist()
+        cuts = np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1])) if len(ranks) else ranks
+        for q, lo, hi in zip(ranks[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(ranks)]):
+            if q not in where:
+                where[q] = []
+                heapq.heappush(active, q)
+            where[q].extend(places[lo:hi])
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -143,14 +179,12 @@ class Encoder:
             self.known = {}
         known = self.known
         fresh = [p for p in set().union(*split) if p not in known] if split else []
-        passing: dict[str, tuple[int, ...]] = {}
+        passing = {p: (i,) for p, i in self.bpe.special.items()}
+        fresh = [p for p in fresh if p not in passing]
         for piece, ids in zip(fresh, self.bpe.encode_pieces(fresh)):
             (known if len(piece) <= KEEP_CHARS else passing)[piece] = tuple(ids)
         for pieces in split:
-            ids: list[int] = []
-            for p in pieces:
-                ids += known.get(p) or passing[p]
-            yield ids
+            yield list(chain.from_iterable([known.get(p) or passing[p] for p in pieces]))
 
 
 def _coder(path: str, keep_ids: bool):
@@ -160,7 +194,7 @@ def _coder(path: str, keep_ids: bool):
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             kept = batch.num_columns - 1
-            for a, b in chunks([t.encode() for t in texts]):
+            for a, b in chunks([t.encode() for t in texts], CHUNK_BYTES):
                 counts, ids_sha, text_sha, all_ids = [], [], [], []
                 for ids in encoder.encode(texts[a:b]):
                     counts.append(len(ids))
