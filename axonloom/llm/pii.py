@@ -169,3 +169,58 @@ def sanitised(docs: DataFrame, **settings) -> DataFrame:
     clean = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("_text"), acc["at"] + 1)))
     text = F.when(F.col("text").isNull() | (F.size("_all") == 0), F.col("text")).otherwise(clean)
     return rows.withColumn("text", text).select(*columns)
+
+
+def found_sql(min_lines: int = MIN_LINES, alpha: float = ALPHA, generalise: int = GENERALISE) -> str:
+    """``found`` in DuckDB's SQL, with the plain patterns."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[ -]?[0-9])+",
+        "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    }
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(length({digits})), lambda i: (case when i % 2 = 1 then (2 * substr(reverse({digits}), i + 1, 1)::int) // 10 + (2 * substr(reverse({digits}), i + 1, 1)::int) % 10 else substr(reverse({digits}), i + 1, 1)::int end))) % 10 = 0"
+    checks = {
+        "email": "true",
+        "ip": "list_bool_and(list_transform(string_split(v, '.'), lambda x: x::hugeint <= 255))",
+        "card": f"length({digits}) between 14 and 19 and {luhn}",
+        "phone": f"length({digits}) between 10 and 15",
+    }
+
+    def places(source: str, key: str, column: str, pattern: str) -> str:
+        """(key, s, e, v): matches with their places, from the lengths of the pieces between."""
+        m, gaps = f"regexp_extract_all({column}, '{pattern}')", f"string_split_regex({column}, '{pattern}')"
+        inner = f"select {key}, unnest(range(len({m}))) as n, unnest({m}) as v, {m} as ms, {gaps} as gs from {source} where len({m}) > 0"
+        s = "coalesce(list_sum(list_transform(gs[1:n + 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:n], lambda x: length(x))), 0)"
+        return f"select {key}, ({s})::int as s, ({s})::int + length(v) as e, v from ({inner})"
+
+    def base(source: str, key: str) -> str:
+        return " union all ".join(f"select {key}, {i} as k, s, e, v from ({places(source, key, 't', p)}) where {checks[name]}" for i, (name, p) in enumerate(plain.items()))
+
+    kinds = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    listed = f"string_agg(({kinds})[k + 1] || ':' || s || ':' || e, ',' order by s, k)"
+    counts = ", ".join(f"count(*) filter (k = {i}) as n_{k}" for i, k in enumerate(PATTERNS))
+    term = r"[\p{L}\p{N}]+"
+    return f"""
+with docs as (select doc_id, row_number() over () as row_no, coalesce(text, '') as t from documents),
+spans as materialized ({base("docs", "row_no")}),
+lines as (select unnest(string_split(t, chr(10))) as t from docs),
+total as (select count(*)::double as n from lines),
+ln as materialized (select row_number() over () as line, t from (select distinct t from lines where contains(t, '@') or regexp_matches(t, '[0-9][ .()-]{{0,2}}[0-9]'))),
+held as materialized ({base("ln", "line")}),
+bare as (select line, any_value(ln.t) as t, list(v order by s, k) as vs from held join ln using (line) group by line),
+terms as (select line, unnest(list_distinct(regexp_extract_all(lower(list_reduce(vs, lambda a, x: replace(a, x, ' '), t)), '{term}'))) as term from bare),
+ents as (select distinct line, k, lower(v) as h from held),
+n_e as (select k, h, count(*) as n_e from ents group by all having count(*) >= {min_lines}),
+met as materialized (select k, h, n_e, term, count(*) as n_te from ents join n_e using (k, h) join terms using (line) group by all having count(*) >= {min_lines}),
+n_t as (select term, count(*) as n_t from (select unnest(list_distinct(regexp_extract_all(lower(t), '{term}'))) as term from lines) where term in (select term from met) group by term),
+found as (select k, h, term, n_t <= {generalise} as removed from met join n_t using (term), total where log2(n / n_e) > 0 and log2(n_te * n / (n_t * n_e)) >= {alpha} * log2(n / n_e)),
+hide as (select row_no, term, bool_or(removed) as removed from (select distinct row_no, k, lower(v) as h from spans) join found using (k, h) group by all),
+hits as (select row_no, s, e, v from ({places("(select * from docs where row_no in (select row_no from hide))", "row_no", "t", term)})),
+extra as (select hits.row_no, case when removed then 4 else 5 end as k, hits.s, hits.e, hits.v from hits join hide on hide.row_no = hits.row_no and hide.term = lower(hits.v)
+  where not exists (select 1 from spans b where b.row_no = hits.row_no and hits.s < b.e and b.s < hits.e)),
+b as (select row_no, {counts}, {listed} as listed from spans group by row_no),
+a as (select row_no, {listed} as listed from (select * from spans union all select * from extra) group by row_no)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in PATTERNS)}, sha256(coalesce(b.listed, '')) as base_sha256, coalesce(a.listed, '') as spans
+from docs left join b using (row_no) left join a using (row_no)"""

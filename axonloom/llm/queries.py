@@ -111,4 +111,4 @@ f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_fail
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {' and '.join(tests)} as kept from f"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_quality_rules": op3_sql(), "op7_sharding": sharding.sharded_sql(40)}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_quality_rules": op3_sql(), "op5_pii": pii.found_sql(), "op7_sharding": sharding.sharded_sql(40)}

@@ -259,6 +259,12 @@ def test_disclosing_terms(spark):
     rows += [(100 + i, f"the day was long and line number {i} says nothing") for i in range(200)]
     found = {(r.term, r.removed) for r in pii.disclosures(frame(spark, rows)).collect()}
     assert ("quibbler", True) in found and not any(t in ("the", "day3", "on day3") for t, _ in found)
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    got = pii.found(frame(spark, rows))
+    assert sorted(tuple(r) for r in got.select("doc_id", "base_sha256", "spans").collect()) == sorted(con.execute(f"select doc_id, base_sha256, spans from ({pii.found_sql()})").fetchall())
+    assert any("removed" in r.spans for r in got.collect())
     clean = {r.doc_id: r.text for r in pii.sanitised(frame(spark, rows)).collect()}
     assert "zed@" not in clean[0] and "Quibbler" not in clean[0] and "<email>" in clean[0]
     assert clean[101] == rows[9][1]
