@@ -41,6 +41,16 @@ def without_uuid(label: str) -> Column:
     return F.regexp_replace(label, r"[-_ ]*[0-9a-fA-F]+(-[0-9a-fA-F]+){4}$", "")
 
 
+def data_file_name(path: str, prefix: str = "data") -> Column:
+    """'<prefix>NNN' from the last number of the last path part."""
+    return F.concat(F.lit(prefix), F.lpad(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"([0-9]+)[^0-9]*$", 1), 3, "0"))
+
+
+def good_cells(spikes: DataFrame, labels: DataFrame, wanted: str = "good") -> DataFrame:
+    """Spikes of clusters with a wanted label; ``cell_id`` is the cluster's number + 1."""
+    return spikes.join(labels.where(F.col("label") == wanted).select("cluster_id"), "cluster_id").withColumn("cell_id", F.col("cluster_id") + 1)
+
+
 def electrode_pitch(array_id: str) -> Column:
     a = F.col(array_id)
     return F.when(a < 1501, 60).when(a < 3501, 30).otherwise(120)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from axonloom.operators.joins import band_pairs
+from axonloom.operators.joins import band_pairs, last_mark
 from axonloom.operators.ordered import intervals
 from axonloom.tables import floor_div
 
@@ -42,6 +42,29 @@ def dense(sparse: DataFrame, groups: DataFrame, n_bins: int, value: str = "n", b
     return grid.join(sparse, [*groups.columns, bin], "left").withColumn(value, F.coalesce(value, F.lit(0)))
 
 
+def frame_counts(points: DataFrame, frames: DataFrame, keys: Sequence[str], cells: Sequence[str], n_frames: int, stride: int = 1, t: str = "t_us") -> DataFrame:
+    """(cells, keys, frame, n): counts between consecutive frame times, ``stride`` equal parts a frame, for frames
+    0..n-1 (later ones trimmed, missing ones zero). Frames: (keys, frame, t); the last frame closes the one before."""
+    w = W.partitionBy(*keys).orderBy("frame")
+    edges = frames.withColumn("_next", F.lead(t).over(w)).where("_next is not null and frame < " + str(n_frames))
+    marks = edges.select(*keys, t)
+    seen = last_mark(points, marks, keys, t)
+    at = seen.join(edges.select(*keys, F.col(t).alias("mark_us"), "frame", "_next"), [*keys, "mark_us"])
+    inside = at.where((F.col(t) < F.col("_next")) | ((F.col("frame") == n_frames - 1) & (F.col(t) == F.col("_next"))))
+    part = F.least(F.floor((F.col(t) - F.col("mark_us")) * stride / (F.col("_next") - F.col("mark_us"))), F.lit(stride - 1))
+    sparse = inside.groupBy(*cells, *keys, (F.col("frame") * stride + part).cast("bigint").alias("frame")).agg(F.count("*").alias("n"))
+    groups = points.select(*cells, *keys).distinct()
+    return dense(sparse, groups, n_frames * stride, bin="frame")
+
+
+def best_matches(pairs: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(a, b, score): each a's b with the largest weighted mean of several correlations (ties: smaller b)."""
+    total = sum(weights.values())
+    score = sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0)) / total
+    best = pairs.withColumn("score", score).groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("nb"))).alias("m"))
+    return best.select("a", (-F.col("m.nb")).alias("b"), F.col("m.score").alias("score"))
+
+
 def data_size(epochs: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     """Epochs and the largest number of bins per key."""
     return epochs.groupBy(*keys).agg(F.count("*").alias("n_epochs"), F.max(F.ceil(F.col("dur_us") / width)).alias("max_bins"))

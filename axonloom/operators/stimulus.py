@@ -11,16 +11,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def noise_frames(epochs: DataFrame, pixels: int, stride: int = 1) -> DataFrame:
-    """(epoch_id, frame, pixels): binary noise of each epoch's seed, n_frames long, every image ``stride`` frames."""
+def noise_frames(epochs: DataFrame, pixels: int, stride: int = 1, kind: str = "binary", repeat: int = 0, density: float = 0.1) -> DataFrame:
+    """(epoch_id, frame, pixels): noise of each epoch's seed, n_frames long, every image shown ``stride`` frames.
+    ``binary`` is -1 or 1, ``sparse`` is 0 but for a share of -1 and 1; the last ``repeat`` images of an epoch come
+    from one seed that all epochs share."""
+
+    def images(seed: int, n: int) -> np.ndarray:
+        g = np.random.RandomState(seed)
+        sign = g.randint(0, 2, (n, pixels)) * 2 - 1
+        return (sign if kind == "binary" else sign * (g.random_sample((n, pixels)) < density)).astype(np.float32)
 
     def play(batches):
         for pdf in batches:
-            rows = []
             for e, seed, n in zip(pdf.epoch_id, pdf.seed, pdf.n_frames):
-                images = np.random.RandomState(int(seed)).randint(0, 2, (-(-int(n) // stride), pixels)).astype(np.float32) * 2 - 1
-                rows += [(e, f, images[f // stride].tolist()) for f in range(int(n))]
-            yield pd.DataFrame(rows, columns=["epoch_id", "frame", "pixels"])
+                count = -(-int(n) // stride)
+                own = images(int(seed), max(0, count - repeat))
+                shown = np.concatenate([own, images(1, min(repeat, count))])
+                yield pd.DataFrame({"epoch_id": int(e), "frame": np.arange(int(n), dtype=np.int32), "pixels": [shown[f // stride] for f in range(int(n))]})
 
     return epochs.select("epoch_id", "seed", "n_frames").mapInPandas(play, "epoch_id bigint, frame int, pixels array<float>")
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from axonloom.functions import scalars as S
+from axonloom.functions.listeners import array_correlation, ordered_aggregate
 from axonloom.operators import aggregates as A
 from axonloom.operators import clustering as C
 from axonloom.operators import fields as R
@@ -371,3 +373,69 @@ def noise_replay(spark: SparkSession, d: str) -> DataFrame:
     counts, _ = _frames(spark, d)
     days = counts.groupBy("epoch_id").agg(F.sum("n").cast("int").alias("seed")).withColumn("n_frames", F.lit(24))
     return X.triggered_average(counts, X.noise_frames(days, 16), 3).withColumn("value", r6("value"))
+
+
+@query(with_sql("spikes") + """, g as (select cell_id, t_us, row_number() over (partition by cell_id order by t_us) - 1 as frame from spikes where channel = 'signup'), e as (select *, lead(t_us) over (partition by cell_id order by frame) as nx from g),
+n as (select e.cell_id, e.frame * 2 + least(floor((s.t_us - e.t_us) * 2.0 / (nx - e.t_us)), 1)::bigint as frame, count(*) as n from e join spikes s on s.cell_id = e.cell_id and s.t_us >= e.t_us and (s.t_us < nx or (e.frame = 4 and s.t_us = nx)) where nx is not null and e.frame < 5 group by all)
+select c.cell_id, f as frame, coalesce(n, 0) as n from (select distinct cell_id from spikes) c cross join range(10) t(f) left join n on n.cell_id = c.cell_id and n.frame = f""")
+def frame_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts between triggers as frames, two parts each, the first five."""
+    s = spikes(spark, d)
+    frames = O.ranked(s.where("channel = 'signup'").select("cell_id", "t_us"), ["cell_id"], ["t_us"], "frame").withColumn("frame", F.col("frame") - 1)
+    return A.frame_counts(s.select("cell_id", "t_us"), frames, ["cell_id"], [], 5, 2)
+
+
+@query(_UNIT + """, p as (select a.cell_id as a, b.cell_id as b, list_inner_product(a.v, b.v) as r, 1 - abs(a.class - b.class) / 10.0 as k from u a, u b where a.cell_id % 2 = 0 and b.cell_id % 2 = 1 and list_inner_product(a.v, b.v) >= 0.2),
+q as (select *, (3 * r + k) / 4 as score from p) select a, arg_max(b, score) as b, round(max(score), 6) as score from q group by a""")
+def best_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Best match by a weighted mean of two measures."""
+    v = vectors(spark, d)
+    pairs = J.correlated_pairs(v.where("cell_id % 2 = 0"), 0.2, right=v.where("cell_id % 2 = 1"))
+    pairs = pairs.join(v.select(F.col("cell_id").alias("a"), F.col("class").alias("ca")), "a").join(v.select(F.col("cell_id").alias("b"), F.col("class").alias("cb")), "b")
+    found = A.best_matches(pairs.withColumn("k", 1 - F.abs(F.col("ca") - F.col("cb")) / 10.0), {"r": 3.0, "k": 1.0})
+    return found.withColumn("score", r6("score"))
+
+
+@query("select p_partkey, p_type || '-' || p_size as label, 'data' || lpad((p_partkey % 1000)::varchar, 3, '0') as file from part")
+def renamed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Labels without their UUID, data files by their number."""
+    p = table(spark, d, "part").withColumn("l", F.concat_ws("-", "p_type", F.col("p_size").cast("string"), F.lit("0a1b-22-33-44-55ff")))
+    p = p.withColumn("f", F.concat(F.lit("/raw/d12/rec"), (F.col("p_partkey") % 1000).cast("string"), F.lit(".bin")))
+    return p.select("p_partkey", S.without_uuid("l").alias("label"), S.data_file_name("f").alias("file"))
+
+
+@query("select user_id + 1 as cell_id, count(*) as n from events where user_id in (select vec_id from embeddings where label < 5) group by all")
+def good_cells(spark: SparkSession, d: str) -> DataFrame:
+    labels = vectors(spark, d).select(F.col("cell_id").alias("cluster_id"), F.when(F.col("class") < 5, "good").otherwise("mua").alias("label"))
+    return S.good_cells(spikes(spark, d).withColumnRenamed("cell_id", "cluster_id"), labels).groupBy("cell_id").agg(F.count("*").alias("n"))
+
+
+@query(with_sql("spikes") + ", i as (select channel, abs(amplitude - lag(amplitude) over (partition by channel order by t_us)) as step from spikes) select channel, round(sum(step), 4) as total from i group by channel")
+def listener_totals(spark: SparkSession, d: str) -> DataFrame:
+    """A user aggregate over each channel's ordered events: the sum of absolute steps, by days and then in all."""
+    s = spikes(spark, d).withColumn("day", floor_div("t_us", DAY_US))
+    walk = ordered_aggregate(lambda t, x: np.abs(np.diff(x)).sum())
+    ends = s.groupBy("channel", "day").agg(F.min_by("amplitude", "t_us").alias("a"), F.max_by("amplitude", "t_us").alias("z"))
+    gap = F.abs(F.col("a") - F.lag("z").over(Window.partitionBy("channel").orderBy("day")))
+    between = ends.withColumn("gap", gap).groupBy("channel").agg(F.sum("gap").alias("gap"))
+    inside = s.groupBy("channel", "day").agg(walk("t_us", "amplitude").alias("x")).groupBy("channel").agg(F.sum("x").alias("x"))
+    return inside.join(between, "channel").select("channel", F.round(F.col("x") + F.coalesce("gap", F.lit(0.0)), 4).alias("total"))
+
+
+@query(_UNIT + " select a.cell_id, round(list_inner_product(a.v, b.v), 6) as r from u a join u b on b.cell_id = a.cell_id + 1")
+def neighbour_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """Correlation of consecutive cells' vectors by the vectorised pair function."""
+    v = vectors(spark, d).select("cell_id", "v")
+    after = v.select((F.col("cell_id") - 1).alias("cell_id"), F.col("v").alias("w"))
+    return v.join(after, "cell_id").select("cell_id", r6(array_correlation("v", "w")).alias("r"))
+
+
+@query(with_sql("spikes") + """, n as (select cell_id, t_us % 86400000000 // 10800000000 as k, count(*) as n from spikes group by all),
+s as (select cell_id, sum(n) as w, sum(n * cos(radians(45 * k))) as c, sum(n * sin(radians(45 * k))) as s, sum(n * cos(radians(90 * k))) as c2, sum(n * sin(radians(90 * k))) as s2 from n group by cell_id)
+select cell_id, round(sqrt(c * c + s * s) / w, 6) as ds, round(sqrt(c2 * c2 + s2 * s2) / w, 6) as os from s""")
+def direction_harmonics(spark: SparkSession, d: str) -> DataFrame:
+    """Direction and orientation vectors as harmonics 1 and 2 over 0 of eight direction bins."""
+    s = spikes(spark, d)
+    bins = s.groupBy("cell_id", floor_div(F.pmod("t_us", F.lit(DAY_US)), 3 * H).alias("bin")).agg(F.count("*").alias("n"))
+    h = A.harmonics(bins, ["cell_id"], 8, [1, 2], "n")
+    return h.select("cell_id", r6(F.col("f1") / 2 / F.col("mean")).alias("ds"), r6(F.col("f2") / 2 / F.col("mean")).alias("os"))

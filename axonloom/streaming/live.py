@@ -91,3 +91,17 @@ def live_spikes(chunks: DataFrame, alpha: float, threshold: float, refractory: i
 
     kind = dict(chunks.dtypes)[key]
     return chunks.select(key, "chunk", "data").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, t bigint, amplitude double", "mean double, at bigint, start bigint, peak bigint, amp double, last bigint", "append", "NoTimeout")
+
+
+def online_f1(counts: DataFrame, n: int, sink, keys: tuple[str, ...] = ("cell_id", "contrast"), share: float = 0.1):
+    """Starts a query that, as epochs finish, gives ``sink(f1, leaders)`` the first harmonic of what has arrived in the
+    batch, per keys, and the strongest cells by it. ``counts``: streaming rows (keys, bin, n)."""
+    from axonloom.operators.aggregates import harmonics
+    from axonloom.operators.clustering import top_share
+
+    def batch(df: DataFrame, _: int) -> None:
+        f1 = harmonics(df, list(keys), n, [1], "n")
+        mean = f1.groupBy(keys[0]).agg(F.avg("f1").alias("f1")).withColumnRenamed(keys[0], "cell_id")
+        sink(f1, top_share(mean.withColumn("_all", F.lit(0)), "f1", share, ["_all"]).drop("_all"))
+
+    return counts.writeStream.foreachBatch(batch).trigger(availableNow=True).start()

@@ -106,3 +106,12 @@ def test_live_spikes_match_batch(spark, tmp_path):
     want = [p for _, p, _, _ in detect(x, 0.02, 10.0)[0]]
     kept = [p for i, p in enumerate(want) if i == 0 or p - want[i - 1] > 5]
     assert got == kept
+
+
+def test_online_f1(spark, tmp_path):
+    rows = [(c, 0, b, float(c) if b == 0 else 0.0) for c in range(1, 11) for b in range(4)]
+    spark.createDataFrame(rows, "cell_id int, contrast int, bin int, n double").write.parquet(str(tmp_path / "s"))
+    seen = []
+    q = live.online_f1(files.stream_of_chunks(spark, str(tmp_path / "s"), "cell_id int, contrast int, bin int, n double", 10), 4, lambda f1, top: seen.append((f1.count(), [r.cell_id for r in top.collect()])))
+    q.awaitTermination(120)
+    assert seen == [(10, [10])]
