@@ -4,7 +4,8 @@ Base spans (email, ip, card, phone) are regular expressions with checks; a span'
 the pieces between matches. The entities found are protected. Corpus co-occurrence tells which terms reveal them:
 over distinct lines (copies count once), a term t discloses entity e if they meet in at least ``MIN_LINES`` lines and
 the pointwise mutual information log2(p(t, e) / (p(t) p(e))) reaches ``ALPHA`` of e's information -log2 p(e), which
-says that t fixes at least that share of e. Every occurrence of such a term in a document with e becomes a span: terms
+says that t fixes at least that share of e. Where an entity's lines share most of their words, they are near-copies of
+one line and no evidence: their mean pairwise overlap must not exceed ``MAX_OVERLAP``. Every occurrence of such a term in a document with e becomes a span: terms
 of at most ``GENERALISE`` words a line on average are removed, commoner ones generalised.
 
 Counting is by shuffles with partial sums. Only lines with an entity are grouped; a term's total over the corpus is
@@ -32,9 +33,11 @@ PATTERNS = {
 KINDS = [*PATTERNS, "removed", "general"]
 #: Mutual lines an entity and a term need, the share of the entity's information that counts as disclosure.
 MIN_LINES, ALPHA = 3, 0.8
+#: Largest mean share of words that two of an entity's lines may have in common.
+MAX_OVERLAP = 0.6
 #: A disclosing term is removed if it occurs in at most this many lines of the corpus, else generalised.
 GENERALISE = 50
-#: Candidate terms up to which they are broadcast for counting.
+#: Terms (or terms of texts, when they are applied) up to which they are broadcast.
 BROADCAST_TERMS = 20_000
 TERM = r"[\p{L}\p{N}]+"
 
@@ -101,8 +104,11 @@ def disclosures(docs: DataFrame, min_lines: int = MIN_LINES, alpha: float = ALPH
     entity = F.transform("_base", lambda x: F.struct(x["k"].alias("k"), F.xxhash64(F.lower(x["v"])).alias("h")))
     each = held.select("line", F.explode(F.array_distinct(entity)).alias("entity"), terms.alias("terms"))
     totals = each.groupBy("entity").agg(F.count("*").alias("n_e")).where(f"n_e >= {min_lines}")
-    met = each.join(totals, "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where(f"n_te >= {min_lines}")
-    met = cut(met)
+    counts = cut(each.join(totals, "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")))
+    # shared words of all pairs of lines, over what the pairs could share: sums over terms, no pairs are made
+    shared_words = F.sum(F.col("n_te") * (F.col("n_te") - 1)) / (F.max("n_e") - 1) / F.sum("n_te")
+    varied = counts.groupBy("entity").agg(shared_words.alias("overlap")).where(F.col("overlap") <= MAX_OVERLAP).select("entity")
+    met = cut(counts.where(f"n_te >= {min_lines}").join(varied, "entity", "left_semi"))
     wanted = met.select("term").distinct()
     if met.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         wanted = F.broadcast(wanted)
@@ -128,7 +134,9 @@ def spans(docs: DataFrame, min_lines: int = MIN_LINES, alpha: float = ALPHA) ->
     entity = F.transform("_base", lambda x: F.struct(x["k"].alias("k"), F.xxhash64(F.lower(x["v"])).alias("h")))
     texts = rows.where(F.size("_base") > 0).select(key.alias("_key"), F.explode(F.array_distinct(entity)).alias("entity")).distinct()
     terms = texts.join(found, "entity").groupBy("_key").agg(F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("_gone"), F.collect_set("term").alias("_terms"))
-    joined = rows.withColumn("_key", key).join(terms, "_key", "left")
+    terms = cut(terms)
+    held = terms.agg(F.sum(F.size("_terms"))).first()[0] or 0
+    joined = rows.withColumn("_key", key).join(F.broadcast(terms) if held <= BROADCAST_TERMS else terms, "_key", "left")
     places = F.transform(_places("_text", TERM, "general"), lambda x: x.withField("k", F.when(F.array_contains("_gone", F.lower(x["v"])), KINDS.index("removed")).otherwise(x["k"])))
     hidden = F.filter(places, lambda x: F.array_contains("_terms", F.lower(x["v"])) & ~F.exists("_base", lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
     extra = F.when(F.col("_terms").isNotNull(), hidden).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,v:string>>"))
@@ -213,7 +221,9 @@ bare as (select line, any_value(ln.t) as t, list(v order by s, k) as vs from hel
 terms as (select line, unnest(list_distinct(regexp_extract_all(lower(list_reduce(vs, lambda a, x: replace(a, x, ' '), t)), '{term}'))) as term from bare),
 ents as (select distinct line, k, lower(v) as h from held),
 n_e as (select k, h, count(*) as n_e from ents group by all having count(*) >= {min_lines}),
-met as materialized (select k, h, n_e, term, count(*) as n_te from ents join n_e using (k, h) join terms using (line) group by all having count(*) >= {min_lines}),
+counts as materialized (select k, h, n_e, term, count(*) as n_te from ents join n_e using (k, h) join terms using (line) group by all),
+varied as (select k, h from counts group by all having sum(n_te * (n_te - 1)) / (max(n_e) - 1) / sum(n_te) <= {MAX_OVERLAP}),
+met as materialized (select counts.* from counts semi join varied using (k, h) where n_te >= {min_lines}),
 n_t as (select term, count(*) as n_t from (select unnest(list_distinct(regexp_extract_all(lower(t), '{term}'))) as term from lines) where term in (select term from met) group by term),
 found as (select k, h, term, n_t <= {generalise} as removed from met join n_t using (term), total where log2(n / n_e) > 0 and log2(n_te * n / (n_t * n_e)) >= {alpha} * log2(n / n_e)),
 hide as (select row_no, term, bool_or(removed) as removed from (select distinct row_no, k, lower(v) as h from spans) join found using (k, h) group by all),

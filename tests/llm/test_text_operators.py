@@ -255,10 +255,11 @@ def test_pii_equals_plain_patterns(spark):
 
 
 def test_disclosing_terms(spark):
-    rows = [(i, f"note {i} from someone about item{i}\nask Quibbler at zed@mail.example.com on day{i} the") for i in range(8)]
+    rows = [(i, f"note {i} from someone about item{i}\n" + " ".join(f"filler{i}x{k}" for k in range(i + 3)) + f" Quibbler zed@mail.example.com day{i} the") for i in range(8)]
+    rows += [(50 + i, f"copies of one line that hold rareword near it for copy{i} me@mail.example.com there") for i in range(9)]
     rows += [(100 + i, f"the day was long and line number {i} says nothing") for i in range(200)]
     found = {(r.term, r.removed) for r in pii.disclosures(frame(spark, rows)).collect()}
-    assert ("quibbler", True) in found and not any(t in ("the", "day3", "on day3") for t, _ in found)
+    assert ("quibbler", True) in found and not any(t in ("the", "day3", "rareword") for t, _ in found)
     con = duckdb.connect()
     con.execute("create table documents (doc_id bigint, text varchar)")
     con.executemany("insert into documents values (?, ?)", rows)
@@ -267,7 +268,7 @@ def test_disclosing_terms(spark):
     assert any("removed" in r.spans for r in got.collect())
     clean = {r.doc_id: r.text for r in pii.sanitised(frame(spark, rows)).collect()}
     assert "zed@" not in clean[0] and "Quibbler" not in clean[0] and "<email>" in clean[0]
-    assert clean[101] == rows[9][1]
+    assert clean[101] == dict(rows)[101] and "rareword" in clean[50]
 
 
 # ---- 6 BPE
