@@ -63,9 +63,11 @@ UNKNOWN = [
     "Distributed under the example source license, version 1.0", "The license of this work is not known", "Released under a custom license", "Permission to use this text is subject to conditions",
 ]
 FAMILIES = ["none", "unknown", *TEMPLATES]
-#: Corpus paragraphs that training sees at most (about), variations of each template, slots of the weights.
-SAMPLE_ROWS, VARIATIONS, SLOT_BITS = 3_000, 40, 16
+#: Corpus paragraphs that training sees at most (about) and their length at most; variations of each template.
+SAMPLE_ROWS, SAMPLE_CHARS, VARIATIONS = 3_000, 2_000, 40
 SURE, COVERED, GRAMS = 0.6, 0.6, (1, 2, 3)
+#: Known n-grams that a licence paragraph has at least: a lone word ('mit', say) is no evidence.
+LEAST_GRAMS = 4
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x30:0x3A] = IS_WORD[0x41:0x5B] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
@@ -119,7 +121,8 @@ class Model:
     def __init__(self, grams: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float, templates: list[tuple[int, np.ndarray]]):
         self.grams, self.weights, self.bias, self.temperature, self.templates = grams, weights, bias, temperature, templates
 
-    def logits(self, p: Paragraphs) -> np.ndarray:
+    def logits(self, p: Paragraphs) -> tuple[np.ndarray, np.ndarray]:
+        """Class scores and the number of known n-grams of each paragraph."""
         out = np.tile(self.bias, (p.n, 1))
         unit, g = p.features()
         at = np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)
@@ -128,18 +131,19 @@ class Model:
         scale = 1 / np.sqrt(np.maximum(p.size, 1) * len(GRAMS))
         for j in range(out.shape[1]):
             out[:, j] += np.bincount(unit, self.weights[at, j], p.n) * scale
-        return out
+        return out, np.bincount(unit, minlength=p.n)
 
     def classify(self, p: Paragraphs) -> list[tuple[int, str, float, float]]:
         """(paragraph, family or unknown, probability, template coverage) of those that aren't ``none``."""
         if not p.n:
             return []
-        z = self.logits(p) / self.temperature
+        z, known = self.logits(p)
+        z = z / self.temperature
         z -= z.max(axis=1, keepdims=True)
         prob = np.exp(z)
         prob /= prob.sum(axis=1, keepdims=True)
         out = []
-        for i in np.flatnonzero(1 - prob[:, 0] >= SURE).tolist():
+        for i in np.flatnonzero((1 - prob[:, 0] >= SURE) & (known >= LEAST_GRAMS)).tolist():
             words = np.arange(*np.searchsorted(p.unit, [i, i + 1]))
             grams = _grams(p.hash[words], np.zeros(len(words), np.int64), min(3, len(words)))[0]
             j = 1 + int(prob[i, 1:].argmax())
@@ -185,8 +189,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 3) -> Mod
     lines = (
         docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(4)), F.lit(1 << 20)) < share)
         .select(F.element_at(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0), -1).alias("line"))
-        .where("line is not null and not lower(line) rlike 'licen|copyright|reserved'")
-        .select(F.substring("line", 1, 400).alias("line"))  # of the sample only: a model's input, not a text scanned
+        .where(f"line is not null and length(line) <= {SAMPLE_CHARS} and not lower(line) rlike 'licen|copyright|reserved'")
     )
     plain = sorted(r[0] for r in lines.collect())
     rng = np.random.default_rng(seed)
