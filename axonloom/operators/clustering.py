@@ -276,7 +276,10 @@ def noise_events(points: DataFrame, keys: Sequence[str], length: int, per_key: i
 
 
 def top_share(cells: DataFrame, x: str, share: float, keys: Sequence[str] = ()) -> DataFrame:
-    """The int(n * share) largest rows by ``x`` (ties: smaller id)."""
-    n = F.count("*").over(W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)))
-    rank = F.row_number().over((W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(F.desc(x), "cell_id"))
+    """The int(n * share) largest rows by ``x`` (ties: smaller id), of each key with their rank; without keys by a
+    distributed sort."""
+    if not keys:
+        return cells.orderBy(F.desc(x), "cell_id").limit(int(cells.count() * share))
+    n = F.count("*").over(W.partitionBy(*keys))
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(x), "cell_id"))
     return cells.withColumn("_n", n).withColumn("rank", rank).where(F.col("rank") <= F.floor(F.col("_n") * share)).drop("_n")

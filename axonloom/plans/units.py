@@ -98,7 +98,7 @@ def transferred_classes(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- triggered averages: epochs are days, frames hours, pixels the channels' counts in the hour
 
-_STA = with_sql("spikes") + """, n as (select t_us // 86400000000 as epoch_id, t_us % 86400000000 // 3600000000 as frame, channel, count(*) as x from spikes group by all), fr as (select distinct epoch_id, frame from n), pix as (select epoch_id, frame, p, coalesce(x, 0) as x from fr cross join (values (0, 'click'), (1, 'error'), (2, 'purchase'), (3, 'signup'), (4, 'view')) c(p, channel) left join n using (epoch_id, frame, channel)),
+_STA = with_sql("spikes") + """, n as (select t_us // 86400000000 as epoch_id, t_us % 86400000000 // 3600000000 as frame, channel, count(*) as x from spikes group by all), fr as (select distinct epoch_id, frame from n), hours as (select distinct epoch_id, h as frame from n cross join range(24) t(h)), pix as (select epoch_id, frame, p, coalesce(x, 0) as x from hours cross join (values (0, 'click'), (1, 'error'), (2, 'purchase'), (3, 'signup'), (4, 'view')) c(p, channel) left join n using (epoch_id, frame, channel)),
 k as (select t_us // 86400000000 as epoch_id, t_us % 86400000000 // 3600000000 as frame, channel as cell, count(*) as n from spikes where amplitude > 30 group by all),
 j as (select cell, lag, p, k.n, x from k cross join range(4) l(lag) join pix on pix.epoch_id = k.epoch_id and pix.frame = k.frame - lag)"""
 _CHANNELS = ["click", "error", "purchase", "signup", "view"]
@@ -145,9 +145,7 @@ def generator_signal(spark: SparkSession, d: str) -> DataFrame:
     kernel = frames.where("frame < 4").select(F.col("frame").alias("lag")).distinct()
     kernel = kernel.select(F.lit(0).alias("cell_id"), "lag", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda p: (F.col("lag") + 1) * 0.1 + p * 0.01).alias("pixels"))
     hours = frames.select("epoch_id", "frame", "pixels")
-    seen = _frames(spark, d)[1].select("epoch_id", "frame")
-    reach = seen.withColumn("frame", F.explode(F.sequence(F.col("frame"), F.least(F.col("frame") + 3, F.lit(23))))).distinct()
-    return X.generator_signal(kernel, hours, 4).join(reach, ["epoch_id", "frame"], "left_semi").select("epoch_id", "frame", F.round("g", 5).alias("g"))
+    return X.generator_signal(kernel, hours, 4).select("epoch_id", "frame", F.round("g", 5).alias("g"))
 
 
 @query("select event_type as kind, user_id % 3 as color, round(sum((case when user_id % 3 = 2 and event_type = 'view' then 0 else 1 end) * value) / nullif(sum(case when user_id % 3 = 2 and event_type = 'view' then 0 else 1 end), 0), 6) as value from events where not (user_id % 3 = 2 and event_type = 'view') group by all")

@@ -102,6 +102,6 @@ def online_f1(counts: DataFrame, n: int, sink, keys: tuple[str, ...] = ("cell_id
     def batch(df: DataFrame, _: int) -> None:
         f1 = harmonics(df, list(keys), n, [1], "n")
         mean = f1.groupBy(keys[0]).agg(F.avg("f1").alias("f1")).withColumnRenamed(keys[0], "cell_id")
-        sink(f1, top_share(mean.withColumn("_all", F.lit(0)), "f1", share, ["_all"]).drop("_all"))
+        sink(f1, top_share(mean, "f1", share))
 
     return counts.writeStream.foreachBatch(batch).trigger(availableNow=True).start()
