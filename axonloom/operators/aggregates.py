@@ -108,10 +108,10 @@ def folded(points: DataFrame, keys: Sequence[str], period: int, width: int, t: s
 # ---- intervals and correlograms
 
 
-def isi_histogram(points: DataFrame, keys: Sequence[str], width: int, bins: int, normalise: str = "in_range", tie: Sequence[str] = ()) -> DataFrame:
+def isi_histogram(points: DataFrame, keys: Sequence[str], width: int, bins: int, normalise: str = "in_range", tie: Sequence[str] = (), bucket: int | None = None) -> DataFrame:
     """(cell keys, bin, n, fraction): interval counts below bins * width. ``normalise``: 'in_range' divides by the
     counts in range, 'all' by all intervals."""
-    rows = intervals(points, keys, tie=tie).where("isi is not null").withColumn("bin", floor_div("isi", width))
+    rows = intervals(points, keys, tie=tie, bucket=bucket).where("isi is not null").withColumn("bin", floor_div("isi", width))
     inside = F.col("bin") < bins
     counts = rows.groupBy(*keys, F.when(inside, F.col("bin")).alias("bin")).agg(F.count("*").alias("n"))
     w = W.partitionBy(*keys)

@@ -92,7 +92,7 @@ def class_separation(cells: DataFrame, features: Sequence[str], excluded: Sequen
                 size = float(np.linalg.norm(d))
                 u = d / size if size else d
                 spread = float(u @ white @ c1 @ white @ u + u @ white @ c2 @ white @ u)
-                out.append((getattr(r, "class") if hasattr(r, "class") else r[0], r[4], size / np.sqrt(spread) if spread > 0 else 0.0))
+                out.append((r[0], r[4], size / np.sqrt(spread) if spread > 0 else 0.0))
             yield pd.DataFrame(out, columns=["a", "b", "separation"])
 
     kind = dict(cells.dtypes)["class"]

@@ -50,14 +50,26 @@ def concatenated_by_length(points: DataFrame, files: DataFrame, length: str, fil
     return points.join(cumulative_offsets(files, length, file).select(file, "offset"), file).withColumn("t_concat", F.col(t) + F.col("offset")).drop("offset")
 
 
-def last_mark(points: DataFrame, marks: DataFrame, keys: Sequence[str], t: str = "t_us") -> DataFrame:
+def last_mark(points: DataFrame, marks: DataFrame, keys: Sequence[str], t: str = "t_us", bucket: int | None = None) -> DataFrame:
     """Backward as-of join: each point with ``mark_us``, the last mark at or before it (ties go to the mark), and
-    ``mark_no``, that mark's number from 1; null and 0 before the first."""
+    ``mark_no``, that mark's number from 1; null and 0 before the first. With ``bucket``, rows are ordered within time
+    buckets only; what came before a bucket is read from a small table of its marks."""
     both = points.withColumn("_kind", F.lit(1)).unionByName(marks.select(*keys, t).withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-    w = W.partitionBy(*keys).orderBy(t, "_kind").rowsBetween(W.unboundedPreceding, 0)
+    by = list(keys)
+    if bucket is not None:
+        both = both.withColumn("_b", floor_div(t, bucket))
+        by = [*keys, "_b"]
+    w = W.partitionBy(*by).orderBy(t, "_kind").rowsBetween(W.unboundedPreceding, 0)
     is_mark = F.col("_kind") == 0
     seen = both.select("*", F.last(F.when(is_mark, F.col(t)), ignorenulls=True).over(w).alias("mark_us"), F.sum(is_mark.cast("int")).over(w).alias("mark_no"))
-    return seen.where("_kind = 1").drop("_kind")
+    seen = seen.where("_kind = 1").drop("_kind")
+    if bucket is None:
+        return seen
+    held = both.groupBy(*by).agg(F.max(F.when(is_mark, F.col(t))).alias("_last"), F.sum(is_mark.cast("int")).alias("_n"))
+    past = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    before = held.select(*by, F.max("_last").over(past).alias("_last"), F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_n"))
+    joined = seen.join(before, by)
+    return joined.withColumn("mark_us", F.coalesce("mark_us", "_last")).withColumn("mark_no", F.col("mark_no") + F.col("_n")).drop("_b", "_last", "_n")
 
 
 def nearest_gap(points: DataFrame, marks: DataFrame, keys: Sequence[str], t: str = "t_us") -> DataFrame:

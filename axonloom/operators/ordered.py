@@ -10,14 +10,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from axonloom.tables import floor_div
+
 
 def _w(keys: Sequence[str], order: Sequence[str]):
     return W.partitionBy(*keys).orderBy(*order)
 
 
-def intervals(points: DataFrame, keys: Sequence[str], t: str = "t_us", tie: Sequence[str] = ()) -> DataFrame:
-    """With ``isi``: time since the previous point (null for the first)."""
-    return points.withColumn("isi", F.col(t) - F.lag(t).over(_w(keys, [t, *tie])))
+def intervals(points: DataFrame, keys: Sequence[str], t: str = "t_us", tie: Sequence[str] = (), bucket: int | None = None) -> DataFrame:
+    """With ``isi``: time since the previous point (null for the first). With ``bucket``, rows are sorted within time
+    buckets only, so that a key with a large share of the rows isn't one task's; a bucket's first point takes the
+    last time of the bucket before from a small table."""
+    if bucket is None:
+        return points.withColumn("isi", F.col(t) - F.lag(t).over(_w(keys, [t, *tie])))
+    rows = points.withColumn("_b", floor_div(t, bucket))
+    ends = rows.groupBy(*keys, "_b").agg(F.max(t).alias("_end"))
+    before = ends.select(*keys, "_b", F.lag("_end").over(_w(keys, ["_b"])).alias("_prev"))
+    rows = rows.withColumn("_lag", F.lag(t).over(_w([*keys, "_b"], [t, *tie]))).join(before, [*keys, "_b"])
+    return rows.withColumn("isi", F.col(t) - F.coalesce("_lag", "_prev")).select(*points.columns, "isi")
 
 
 def crossings(signal: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, threshold: float, up: bool = True) -> DataFrame:

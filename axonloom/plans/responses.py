@@ -97,7 +97,7 @@ def bar_aligned(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_ISI + " select event_id, coalesce(isi, -1) as isi from i")
 def isi(spark: SparkSession, d: str) -> DataFrame:
-    return O.intervals(spikes(spark, d), ["cell_id"], tie=["event_id"]).select("event_id", F.coalesce("isi", F.lit(-1)).alias("isi"))
+    return O.intervals(spikes(spark, d), ["cell_id"], tie=["event_id"], bucket=7 * DAY_US).select("event_id", F.coalesce("isi", F.lit(-1)).alias("isi"))
 
 
 _HIST = """, h as (select cell_id, case when isi // 3600000000 < 24 then isi // 3600000000 end as bin, count(*) as n from i where isi is not null group by all)"""
@@ -105,17 +105,17 @@ _HIST = """, h as (select cell_id, case when isi // 3600000000 < 24 then isi //
 
 @query(_ISI + _HIST + " select cell_id, bin, n, round(n / sum(n) over (partition by cell_id), 6) as fraction from h where bin is not null")
 def isi_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return A.isi_histogram(spikes(spark, d), ["cell_id"], H, 24, tie=["event_id"]).withColumn("fraction", r6("fraction"))
+    return A.isi_histogram(spikes(spark, d), ["cell_id"], H, 24, tie=["event_id"], bucket=7 * DAY_US).withColumn("fraction", r6("fraction"))
 
 
 @query(_ISI + _HIST + " select * from (select cell_id, bin, n, round(n / sum(n) over (partition by cell_id), 6) as fraction from h) where bin is not null")
 def isi_histogram_all(spark: SparkSession, d: str) -> DataFrame:
-    return A.isi_histogram(spikes(spark, d), ["cell_id"], H, 24, "all", tie=["event_id"]).withColumn("fraction", r6("fraction"))
+    return A.isi_histogram(spikes(spark, d), ["cell_id"], H, 24, "all", tie=["event_id"], bucket=7 * DAY_US).withColumn("fraction", r6("fraction"))
 
 
 @query(_ISI + _HIST + ", f as (select cell_id, bin, n / sum(n) over (partition by cell_id) as fraction from h where bin is not null) select cell_id, round(100 * sum(case when bin < 3 then fraction else 0 end), 6) as refractory from f group by cell_id")
 def refractory_percent(spark: SparkSession, d: str) -> DataFrame:
-    h = A.isi_histogram(spikes(spark, d), ["cell_id"], H, 24, tie=["event_id"])
+    h = A.isi_histogram(spikes(spark, d), ["cell_id"], H, 24, tie=["event_id"], bucket=7 * DAY_US)
     return A.refractory_percent(h, ["cell_id"], 3).withColumn("refractory", r6("refractory"))
 
 
@@ -348,14 +348,14 @@ _MARK = with_sql("spikes") + ", g as (select event_id, cell_id, t_us from spikes
 
 @query(_MARK + " select event_id, coalesce(mark_us, -1) as mark_us, mark_no from m")
 def last_trigger(spark: SparkSession, d: str) -> DataFrame:
-    return J.last_mark(spikes(spark, d), triggers(spark, d), ["cell_id"]).select("event_id", F.coalesce("mark_us", F.lit(-1)).alias("mark_us"), F.coalesce("mark_no", F.lit(0)).alias("mark_no"))
+    return J.last_mark(spikes(spark, d), triggers(spark, d), ["cell_id"], bucket=7 * DAY_US).select("event_id", F.coalesce("mark_us", F.lit(-1)).alias("mark_us"), F.coalesce("mark_no", F.lit(0)).alias("mark_no"))
 
 
 @query(_MARK + ", r as (select cell_id, count(*) as runs from g group by all) select cell_id, (t_us - mark_us) // 21600000000 as bin, round(count(*) / any_value(runs), 6) as rate from m join r using (cell_id) where mark_us is not null and t_us - mark_us < 86400000000 group by all")
 def run_psth(spark: SparkSession, d: str) -> DataFrame:
     """Spikes after each run's trigger, per run."""
     marks = triggers(spark, d)
-    rows = J.last_mark(spikes(spark, d), marks, ["cell_id"]).withColumn("dt", F.col("t_us") - F.col("mark_us")).where(F.col("dt") < DAY_US)
+    rows = J.last_mark(spikes(spark, d), marks, ["cell_id"], bucket=7 * DAY_US).withColumn("dt", F.col("t_us") - F.col("mark_us")).where(F.col("dt") < DAY_US)
     runs = marks.groupBy("cell_id").agg(F.count("*").alias("runs"))
     return A.binned(rows, ["cell_id"], 6 * H, "dt").join(runs, "cell_id").select("cell_id", "bin", r6(F.col("n") / F.col("runs")).alias("rate"))
 

@@ -158,3 +158,12 @@ def test_helpers():
 def test_greedy_clusters(spark):
     pairs = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 4, 5)], "f int, a bigint, b bigint")
     assert sorted((r.head, r.member) for r in M.greedy_clusters(pairs, ["f"]).collect()) == [(1, 2), (4, 5)]
+
+
+def test_buckets_change_nothing(spark):
+    g = np.random.default_rng(6)
+    points = spark.createDataFrame([(int(c), int(t), i) for i, (c, t) in enumerate(zip(g.integers(0, 3, 300), g.integers(-400, 400, 300)))], "cell_id bigint, t_us bigint, id int")
+    marks = points.where("id % 7 = 0").select("cell_id", "t_us").distinct()
+    rows = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    assert rows(O.intervals(points, ["cell_id"], tie=["id"])) == rows(O.intervals(points, ["cell_id"], tie=["id"], bucket=23))
+    assert rows(J.last_mark(points, marks, ["cell_id"])) == rows(J.last_mark(points, marks, ["cell_id"], bucket=23))
