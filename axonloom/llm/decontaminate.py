@@ -130,10 +130,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     contexts = contexts.join(contexts.groupBy("g").agg(F.min(F.struct("b_left", "b_right")).alias("head")), "g").withColumn(
         "is_head", F.struct("b_left", "b_right") == F.col("head")
     ).drop("head")
-    slots = grams.select(F.inline("grams")).select(F.expr(f"h & {BITMAP_BITS - 1}").alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).collect()
-    bitmap = np.zeros(BITMAP_BITS, bool)
-    bitmap[[r[0] for r in slots]] = True
-    if sum(r[1] for r in slots) <= BROADCAST_CONTEXTS:
+    slots = grams.select(F.inline("grams")).select(F.expr(f"h & {BITMAP_BITS - 1}").alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).toArrow()
+    bitmap = np.zeros(BITMAP_BITS, bool)  # at most that many rows come, as two packed columns
+    bitmap[slots["slot"].to_numpy()] = True
+    if slots["n"].to_numpy().sum() <= BROADCAST_CONTEXTS:
         contexts = F.broadcast(contexts)
 
     rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_key"), "text")
