@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axonloom.llm.textops import Words, chunks, mix, raw
+from axonloom.llm.textops import Words, chunks, listed, mix, raw
 
 #: Word bytes after lower-casing: 0-9, a-z and all of UTF-8's non-ASCII.
 IS_WORD = np.zeros(256, bool)
@@ -172,5 +172,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """``docs`` without the contaminated rows, columns as they were."""
-    bad = contamination(docs, benchmark, **settings).where("n_hit > 0").select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs["text"]) == F.col("_bad_key")), "left_anti")
+    return listed(docs, contamination(docs, benchmark, **settings).where("n_hit > 0"), "left_anti")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axonloom.llm.textops import LOWER, raw
+from axonloom.llm.textops import LOWER, listed, raw
 from axonloom.session import cut
 
 SHINGLE, SEED, BITS = 3, 42, 2
@@ -140,7 +140,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, count: int = PIVOTS
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one document of each group, its smallest doc_id; columns as they were. Of repeated rows one stays.
     Rows without an id can't be named: they stay unless they repeat or their group has an id."""
-    found = near_duplicates(docs, **settings)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")) & (F.xxhash64(docs["text"]) == F.col("_gone_key")), "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"])
+    found = cut(near_duplicates(docs, **settings))
+    kept = listed(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))), "left_anti")
+    repeated = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return kept
+    return listed(kept, repeated, "left_anti").unionByName(listed(kept, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))

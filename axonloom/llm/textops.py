@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from axonloom.session import cut
 
 #: A-Z to a-z; every other byte stays, so UTF-8 sequences are untouched.
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -18,6 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of (id, text hash) up to which a list of documents is broadcast: 2 MB of keys.
+BROADCAST_IDS = 100_000
+
+
+def listed(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``docs`` whose (doc_id, text hash) is in ``ids`` (doc_id, text_key) by a left_semi join, or isn't by a
+    left_anti; null ids are equal. A list that is proven small is broadcast, so the texts aren't shuffled."""
+    ids = cut(ids.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")), how)
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column; None for null."""
     return column.cast(pa.binary()).to_pylist()
