@@ -163,8 +163,8 @@ def found(docs: DataFrame, **settings) -> DataFrame:
 def sanitised(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with every base span of the text replaced by its kind in angle brackets, disclosing terms removed or
     replaced by ``<general>``; other columns as they were."""
-    columns = docs.columns
-    rows = spans(docs, **settings)
+    # the other columns travel as one struct, so that their names can't clash with those made here
+    rows = spans(docs.select("text", F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_doc")), **settings)
     marks = F.array(*(F.lit("" if k == "removed" else f"<{k}>") for k in KINDS))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -176,7 +176,7 @@ def sanitised(docs: DataFrame, **settings) -> DataFrame:
 
     clean = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("_text"), acc["at"] + 1)))
     text = F.when(F.col("text").isNull() | (F.size("_all") == 0), F.col("text")).otherwise(clean)
-    return rows.withColumn("text", text).select(*columns)
+    return rows.select(*(text.alias(c) if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns))
 
 
 def found_sql(min_lines: int = MIN_LINES, alpha: float = ALPHA, generalise: int = GENERALISE) -> str:

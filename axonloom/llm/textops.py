@@ -29,9 +29,8 @@ def listed(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """``docs`` whose (doc_id, text hash) is in ``ids`` (doc_id, text_key) by a left_semi join, or isn't by a
     left_anti; null ids are equal. A list that is proven small is broadcast, so the texts aren't shuffled."""
     ids = cut(ids.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")), how)
+    same = docs["doc_id"].eqNullSafe(ids["_id"]) & (F.xxhash64(docs["text"]) == ids["_key"])
+    return docs.join(F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids, same, how)
 
 
 def raw(column: pa.Array) -> list[bytes | None]:

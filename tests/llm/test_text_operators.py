@@ -68,6 +68,16 @@ def test_odd_inputs(spark, corpus, models, name):
     assert f(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("name", ["decontaminate", "pii", "simhash", "language"])
+def test_filters_keep_clashing_columns(spark, corpus, models, name):
+    f = {"decontaminate": lambda d: decontaminate.decontaminated(d, corpus[1]), "pii": pii.sanitised, "simhash": simhash.deduplicated, "language": lambda d: language.with_language(d, models["language"])}[name]
+    df = frame(spark, ODD).withColumns({c: F.lit("clash") for c in [*CLASH, "_id", "_key", "_doc", "_all", "a", "line"]})
+    got = f(df)
+    assert got.columns == df.columns
+    rows = got.collect()
+    assert rows and all(r["_id"] == r["_all"] == r["fp"] == r["_text"] == "clash" for r in rows)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, sf, name):
     con = duckdb.connect()
