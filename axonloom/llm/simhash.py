@@ -10,6 +10,13 @@ shared by more than ``crowd`` fingerprints isn't paired off. Its fingerprints ar
 bit away (d = 2: two fingerprints are linked if and only if those neighbourhoods meet), each point's members to
 their smallest only, which is linear and keeps the same components.
 
+With a ``similarity`` the groups follow the word sets instead: documents are linked if the Jaccard similarity of their
+shingle sets reaches it. No bit distance is tight enough for that (at 0.8 two 64-bit fingerprints are about 10 bits
+apart, up to 20; pivot distances exclude nothing there), so candidates share one of ``BANDS`` keys of ``ROWS`` minhashes
+(a pair at 0.8 is missed with probability 3e-5), and each is verified on the exact sets. Keys shared by up to ``NEAR``
+sets are paired off. Of larger ones the members are compared to heads, in rounds with four times the heads, until a
+key's members are one component or every two of them were compared; so a large group of copies costs a pair a member.
+
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; repeated rows stay rows;
 null doc_ids take part and get their group's smallest id (null if it has none); other columns are ignored.
 """
@@ -25,25 +32,31 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axonloom.llm.textops import LOWER, listed, raw
+from axonloom.llm.textops import BROADCAST_IDS, LOWER, listed, mix, raw
 from axonloom.session import cut
 
 SHINGLE, SEED, BITS = 3, 42, 2
 #: References of the pivot table, and fingerprints of a block key beyond which it isn't paired off.
 PIVOTS, CROWD = 16, 64
+#: Keys a document gets, minhashes a key, and sets of a key beyond which it isn't paired off.
+BANDS, ROWS, NEAR = 20, 4, 8
 #: Hashes counted at once.
 _STEP = 1 << 14
 
 
+def _shingles(text: bytes | None, shingle: int) -> list[bytes]:
+    """Runs of ``shingle`` words; all words of a shorter text, none of a blank one."""
+    words = (text or b"").translate(LOWER).split()
+    if len(words) < shingle:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[j:] for j in range(shingle)))))
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """Bit j is set if over half of the shingles' hashes have it; repeats count each time."""
-    words = (text or b"").translate(LOWER).split()
-    if not words:
+    shingles = _shingles(text, shingle)
+    if not shingles:
         return 0
-    if len(words) < shingle:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = list(map(b" ".join, zip(*(words[j:] for j in range(shingle)))))
     votes = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(shingles), _STEP):
@@ -126,11 +139,108 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, count: int = PIVOTS, crowd: int = CROWD) -> DataFrame:
-    """doc_id, text_key, fp, component_id (smallest doc_id reachable over links) of every row of ``docs``."""
-    rows = cut(fingerprints(docs, shingle))
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(s, SEED) for s in _shingles(text, shingle)), np.uint64))
+
+
+def _set_id(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0).astype(np.int64))
+
+
+def _sketches(shingle: int):
+    rng = np.random.default_rng(11)
+    odd, plus = (rng.integers(0, 2**64, BANDS * ROWS, np.uint64) for _ in range(2))
+    odd |= np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            least, ids, sizes = np.full((n, BANDS * ROWS), 2**64 - 1, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            for i, text in enumerate(raw(batch.column(2))):
+                h = shingle_set(text, shingle)
+                ids[i], sizes[i] = _set_id(h), len(h)
+                for at in range(0, len(h), _STEP):
+                    np.minimum(least[i], (h[at : at + _STEP, None] * odd + plus).min(axis=0), out=least[i])
+            keys = np.tile(np.arange(BANDS, dtype=np.uint64), (n, 1))
+            for j in range(ROWS):
+                keys = mix(keys * np.uint64(31) + least[:, j::ROWS])
+            ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[sizes > 0].ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids), pa.array(sizes), bands], names=["doc_id", "text_key", "fp", "size", "bands"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in raw(batch.column(0))]
+            ids = pa.array([_set_id(h) for h in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["fp", "hashes"])
+
+    return run
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) whose sets are similar enough."""
+    one = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x"))
+    two = sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return pairs.join(one, "a").join(two, "b").where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+
+
+def similar_links(docs: DataFrame, sketches: DataFrame, shingle: int, similarity: float, near: int = NEAR) -> DataFrame:
+    """(a, b), a < b: links between distinct shingle sets ``fp``; from keys with more than ``near`` sets enough of them
+    to connect the same components. ``sketches``: doc_id, text_key, fp, size, bands of every row of ``docs``."""
+    nodes = sketches.groupBy("fp").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    keyed = nodes.select("fp", "text_key", "size", F.posexplode("bands").alias("c", "v"))
+    sizes = keyed.groupBy("c", "v").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(keyed.join(sizes, ["c", "v"]))
+    left = shared.where(f"n <= {near}").select("c", "v", F.col("fp").alias("a"), F.col("size").alias("m"))
+    right = left.select("c", "v", F.col("a").alias("b"), F.col("m").alias("m_"))
+    fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+    pairs = cut(left.join(right, ["c", "v"]).where((F.col("a") < F.col("b")) & fits("m", "m_")).select("a", "b").distinct())
+
+    members = cut(shared.where(f"n > {near}").select("c", "v", "n", "fp", "size", F.col("fp").alias("root")))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(members.select("fp")).distinct()
+    keys = cut(shared.join(nodes, "fp", "left_semi").select(F.col("text_key").alias("_key")).distinct())
+    small = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = docs.select("text").join(F.broadcast(keys) if small else keys, F.xxhash64("text") == F.col("_key"), "left_semi")
+    sets = cut(texts.mapInArrow(_sets(shingle), "fp bigint, hashes array<bigint>").groupBy("fp").agg(F.first("hashes").alias("hashes")))
+    links = cut(_alike(pairs, sets, similarity))
+    heads_of = 1
+    while not members.isEmpty():
+        part = F.pmod(F.xxhash64("fp"), F.lit(heads_of))
+        heads = members.groupBy("c", "v", part.alias("part")).agg(F.min(F.struct("fp", "size", "root")).alias("head"))
+        heads = cut(heads.select("c", "v", "head"))
+        new = members.join(heads, ["c", "v"]).where((F.col("root") != F.col("head.root")) & fits("size", "head.size"))
+        new = new.select(F.least("fp", "head.fp").alias("a"), F.greatest("fp", "head.fp").alias("b")).distinct()
+        links = cut(links.unionByName(_alike(new, sets, similarity)).distinct())
+        found = components(links)
+        members = members.drop("root").join(found, F.col("fp") == F.col("node"), "left").select("c", "v", "n", "fp", "size", F.coalesce("root", "fp").alias("root"))
+        members = cut(members)
+        parted = members.groupBy("c", "v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("c", "v")
+        tried = heads.groupBy("c", "v").agg(F.count("*").alias("tried"))
+        members = cut(members.join(parted.join(tried, ["c", "v"]), ["c", "v"]).where("n - tried > 1").drop("tried"))
+        heads_of *= 4
+    return links
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, count: int = PIVOTS, crowd: int = CROWD, similarity: float | None = None) -> DataFrame:
+    """doc_id, text_key, fp, component_id (smallest doc_id reachable over links) of every row of ``docs``. With a
+    ``similarity``, fp stands for the shingle set and links are pairs of sets with at least that Jaccard similarity."""
+    if similarity is None:
+        rows = cut(fingerprints(docs, shingle))
+        linked = links(rows.select("fp").distinct(), count, crowd)
+    else:
+        source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+        rows = cut(source.mapInArrow(_sketches(shingle), "doc_id bigint, text_key bigint, fp bigint, size bigint, bands array<bigint>"))
+        linked = similar_links(docs, rows, shingle, similarity)
+        rows = rows.select("doc_id", "text_key", "fp")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = cut(components(links(distinct.select("fp"), count, crowd)))
+    found = cut(components(linked))
     named = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = cut(named)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -382,3 +382,45 @@ def test_near_duplicates_and_dedup(spark, corpus):
     assert got == {i: ids[c] for i, c in zip(ids, want)}
     assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == sorted(set(got.values()))
     assert simhash.deduplicated(frame(spark, [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "zz yy xx")])).count() == 2
+
+
+def jaccard_components(rows):
+    s = []
+    for x in rows:
+        w = (x or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split()
+        s.append({b" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(s)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(s)):
+        for j in range(i):
+            if s[i] == s[j] or 5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(s))]
+
+
+def test_similar_documents_are_grouped_as_by_brute_force(spark, corpus):
+    g = random.Random(4)
+    word = lambda: f"w{g.randrange(5_000)}"
+    base = [word() for _ in range(150)]
+    texts = [r.text for r in corpus[0].orderBy("doc_id").collect()] + [None, "", " \n", "one two", "ONE  two", "one three"]
+    for _ in range(60):  # a crowd: single words of one text changed
+        texts.append(" ".join(word() if g.random() < 0.01 else w for w in base))
+    for i in range(0, 150, 4):  # a chain: neighbours are alike, ends aren't
+        texts.append(" ".join(base[:i] + [f"new{k}" for k in range(150 - i)]))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(spark, list(enumerate(texts))), shingle=5, similarity=0.8).collect()}
+    assert [got[i] for i in range(len(texts))] == jaccard_components(texts)
+
+
+def test_the_stage_drops_what_is_similar(spark, corpus, sf):
+    import corpus_pipeline
+
+    docs = corpus[0]
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    want = {rows[c].doc_id for c in jaccard_components([r.text for r in rows])}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()} == want
