@@ -112,11 +112,13 @@ def disclosures(docs: DataFrame, min_lines: int = MIN_LINES, alpha: float = ALPH
     wanted = met.select("term").distinct()
     if met.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         wanted = F.broadcast(wanted)
-    words = lines.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    line = [F.xxhash64("text").alias("line"), F.length("text").alias("size")]
+    words = lines.select(*line, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     if met.isEmpty():
         return met.select("entity", "term", F.lit(True).alias("removed"))
-    df = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    n = float(lines.count())
+    # as for the entities, copies of a line count once; only wanted terms are moved for that
+    df = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    n = float(lines.select(*line).distinct().count())
     information = F.log2(F.lit(n) / F.col("n_e"))
     shared = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
     found = met.join(df, "term").where((information > 0) & (shared >= alpha * information))

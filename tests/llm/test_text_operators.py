@@ -281,6 +281,12 @@ def test_disclosing_terms(spark):
     assert clean[101] == dict(rows)[101] and "rareword" in clean[50]
 
 
+def test_copies_of_lines_count_once(spark):
+    rows = [(c * 100 + i, f"{' '.join(f'filler{i}x{k}' for k in range(i + 9))} Quibbler zed@mail.example.com day{i}") for i in range(5) for c in range(40)]
+    rows += [(9_000 + i, f"line number {i} says nothing") for i in range(200)]
+    assert {(r.term, r.removed) for r in pii.disclosures(frame(spark, rows)).collect()} == {("quibbler", True)}
+
+
 # ---- 6 BPE
 
 
