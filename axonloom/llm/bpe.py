@@ -7,8 +7,8 @@ that this makes are extended. In a vocabulary whose merges come after the merges
 loading) this is the same as merging each piece on its own. Pieces are kept with their ids, up to a bound.
 
 Defined cases: null is encoded as empty; the special tokens' strings in a text become their ids, as the library does
-by default; decoding replaces broken UTF-8. Memory in a task: the piece table (``KEEP_PIECES`` entries at most) and a
-chunk's chain.
+by default; decoding replaces broken UTF-8. Memory in a task: the piece table (``KEEP_PIECES`` entries at most), the
+pieces of a chunk (``CHUNK_BYTES`` of short texts, or ``CHUNK_PIECES`` of one long text) and a chunk's ids.
 """
 
 from __future__ import annotations
@@ -26,17 +26,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axonloom.llm.textops import chunks
+from axonloom.llm.textops import sliced
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces held with their ids; the table starts anew beyond, so memory is bounded.
-KEEP_PIECES = 300_000
+KEEP_PIECES = 200_000
 #: Ids of a pair are packed into one number; places of a rank up to which they are merged one by one.
 WIDTH, FEW = 1 << 20, 12
-#: Text bytes that are split and merged together.
-CHUNK_BYTES = 4 << 20
-#: Longer pieces are encoded each time they occur.
-KEEP_CHARS = 64
+#: Text bytes that are split and merged together; longer texts are taken so many pieces at a time.
+CHUNK_BYTES, CHUNK_PIECES = 2 << 20, 1 << 18
 
 
 def _byte_chars() -> dict[str, int]:
@@ -80,7 +78,10 @@ class ByteBpe:
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("special tokens that strip or match whole words aren't supported")
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
-        self.split = regex.compile(PATTERN).findall
+        #: The ids as decimals.
+        self.names = [str(i) for i in range(max(self.bytes_of) + 1)]
+        pattern = regex.compile(PATTERN)
+        self.split, self.walk = pattern.findall, pattern.finditer
         self.parted = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def pieces(self, text: str) -> list[str]:
@@ -91,8 +92,22 @@ class ByteBpe:
             out.extend([part] if i % 2 else self.split(part))
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each piece, by one pass over the pair occurrence index of all of them."""
+    def stretches(self, text: str) -> Iterator[list[str]]:
+        """The pieces of a long text, so many at a time; its list of pieces is never whole."""
+        held: list[str] = []
+        marked = self.parted is not None and any(t in text for t in self.special)
+        for i, part in enumerate(self.parted.splititer(text) if marked else [text]):
+            for piece in [part] if marked and i % 2 else (m[0] for m in self.walk(part)):
+                held.append(piece)
+                if len(held) == CHUNK_PIECES:
+                    yield held
+                    held = []
+        if held:
+            yield held
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after the other and where each piece's end, by one pass over the pair occurrence index
+        of all of them."""
         # 0xFF never occurs in UTF-8: it parts the pieces, as a symbol that pairs with nothing
         raw = np.frombuffer(b"\xff".join([p.encode("utf-8") for p in pieces]) + b"\xff", np.uint8)
         symbol = self.byte_symbol[raw]
@@ -137,11 +152,7 @@ class ByteBpe:
         alive = np.flatnonzero((symbol >= 0) | (raw == 0xFF))
         ids = symbol[alive]
         ends = np.flatnonzero(ids < 0)
-        flat, out, start = ids.tolist(), [], 0
-        for end in ends.tolist():
-            out.append(flat[start:end])
-            start = end + 1
-        return out
+        return ids[ids >= 0].astype(np.int32), ends - np.arange(len(ends))
 
     def _index(self, where: dict[int, list[int]], active: list[int], places: np.ndarray, keys: np.ndarray) -> None:
         """Adds the places of mergeable pairs to their ranks' lists; new ranks become active."""
@@ -167,24 +178,57 @@ def load(path: str) -> ByteBpe:
 
 
 class Encoder:
-    """Encodes texts chunk by chunk and keeps what it has learnt of pieces."""
+    """Encodes texts chunk by chunk and keeps what it has learnt of pieces: their ids lie in one array."""
 
     def __init__(self, bpe: ByteBpe):
         self.bpe = bpe
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        split = [self.bpe.pieces(t) for t in texts]
-        if len(self.known) > KEEP_PIECES:
-            self.known = {}
-        known = self.known
-        fresh = [p for p in set().union(*split) if p not in known] if split else []
-        passing = {p: (i,) for p, i in self.bpe.special.items()}
-        fresh = [p for p in fresh if p not in passing]
-        for piece, ids in zip(fresh, self.bpe.encode_pieces(fresh)):
-            (known if len(piece) <= KEEP_CHARS else passing)[piece] = tuple(ids)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place = {p: n for n, p in enumerate(self.bpe.special)}
+        self.ids = [np.array(list(self.bpe.special.values()), np.int32)]
+        self.ends = [np.arange(len(self.bpe.special) + 1)]
+
+    def _learn(self, met: set[str]) -> None:
+        fresh = [p for p in met if p not in self.place]
+        if not fresh:
+            return
+        ids, ends = self.bpe.encode_pieces(fresh)
+        self.place |= zip(fresh, range(len(self.place), len(self.place) + len(fresh)))
+        held = np.concatenate([*self.ids, ids])
+        self.ends = [np.concatenate([*self.ends, self.ends[-1][-1] + ends])]
+        self.ids = [held]
+
+    def _encode(self, split: list[list[str]]) -> Iterator[np.ndarray]:
+        """The ids of each text of a chunk from its pieces."""
+        if len(self.place) > KEEP_PIECES or len(self.ids[-1]) > 8 * KEEP_PIECES:
+            self._forget()
+        self._learn(set().union(*split))
+        (ids,), (ends,) = self.ids, self.ends
         for pieces in split:
-            yield list(chain.from_iterable([known.get(p) or passing[p] for p in pieces]))
+            at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+            size = ends[at + 1] - ends[at]
+            upto = np.cumsum(size)
+            yield ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(ends[at] - upto + size, size)]
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if len(texts) == 1 and len(texts[0]) > CHUNK_BYTES:
+            yield np.concatenate([next(self._encode([pieces])) for pieces in self.bpe.stretches(texts[0])])
+        else:
+            yield from self._encode([self.bpe.pieces(t) for t in texts])
+
+
+def _joined(names: list[str], ids: np.ndarray) -> Iterator[bytes]:
+    """The ids as decimals, comma-joined, in parts."""
+    for at in range(0, len(ids), CHUNK_PIECES):
+        yield (b"," if at else b"") + ",".join(map(names.__getitem__, ids[at : at + CHUNK_PIECES].tolist())).encode()
+
+
+def _digests(bpe: ByteBpe, ids: np.ndarray) -> tuple[str, str]:
+    of_ids = hashlib.sha256()
+    for part in _joined(bpe.names, ids):
+        of_ids.update(part)
+    return of_ids.hexdigest(), hashlib.sha256(bpe.decode(ids.tolist()).encode()).hexdigest()
 
 
 def _coder(path: str, keep_ids: bool):
@@ -192,22 +236,23 @@ def _coder(path: str, keep_ids: bool):
         bpe = load(path)
         encoder = Encoder(bpe)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             kept = batch.num_columns - 1
-            for a, b in chunks([t.encode() for t in texts], CHUNK_BYTES):
-                counts, ids_sha, text_sha, all_ids = [], [], [], []
-                for ids in encoder.encode(texts[a:b]):
+            for a, b, texts in sliced(batch.column(kept), CHUNK_BYTES):
+                counts, digests, all_ids = [], [], []
+                for ids in encoder.encode([(t or b"").decode("utf-8", "replace") for t in texts]):
                     counts.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-                    all_ids.append(ids if keep_ids else None)
+                    digests.append(_digests(bpe, ids))
+                    if keep_ids:
+                        all_ids.append(ids)
                 columns = [batch.column(c).slice(a, b - a) for c in range(kept)]
-                columns += [pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
+                columns += [pa.array(counts, pa.int64()), *(pa.array(x, pa.string()) for x in zip(*digests))]
                 names = [*batch.schema.names[:kept], "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axonloom.llm.textops import Words, chunks, listed, mix, raw
+from axonloom.llm.textops import Words, listed, mix, sliced
 
 #: Word bytes after lower-casing: 0-9, a-z and all of UTF-8's non-ASCII.
 IS_WORD = np.zeros(256, bool)
@@ -71,9 +71,8 @@ def _extract(key_types: list[pa.DataType], window: int, gram: int, short: list[i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bitmap is None else np.frombuffer(bitmap, np.uint8)
         for batch in batches:
-            texts = raw(batch.column(batch.num_columns - 1))
-            for a, b in chunks(texts):
-                words = Words(texts[a:b], IS_WORD)
+            for a, b, texts in sliced(batch.column(batch.num_columns - 1)):
+                words = Words(texts, IS_WORD)
                 counts, hashes = words.counts(), words.hashes()
                 found: list[list[dict]] = [[] for _ in range(b - a)]
                 for k, w, need in _shapes(window, gram, short):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axonloom.llm.textops import Words, chunks, raw
+from axonloom.llm.textops import Words, drawn, sliced
 
 #: Labelled rows that training sees at most (about; chosen by a hash of their id).
 SAMPLE_ROWS = 6_000
@@ -143,9 +143,8 @@ class Mil:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = raw(batch.column(2))
-        for a, b in chunks(texts):
-            x, first = passages(texts[a:b])
+        for a, b, texts in sliced(batch.column(2)):
+            x, first = passages(texts)
             rows = [x[first[i] : first[i + 1]].astype(np.float32).ravel() for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(rows, pa.list_(pa.float32()))], names=["doc_id", "label", "x"])
 
@@ -158,8 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", holdout: t
     total = known.count()
     if not total:
         return None
-    share = int(min(1.0, sample_rows / total) * (1 << 20))
-    known = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(8)), F.lit(1 << 20)) < share)
+    known = known.where(drawn(F.col("doc_id"), sample_rows, total, 8))
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")  # sample_rows ids at most, about
     xs, ys = [], []
     for r in sample.mapInArrow(_bags, "doc_id bigint, label int, x array<float>").orderBy("doc_id", "label").toLocalIterator():
@@ -174,12 +172,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", holdout: t
 def _scorer(model: Mil | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = raw(batch.column(1))
-            for a, b in chunks(texts):
+            for a, b, texts in sliced(batch.column(1)):
                 if model is None:
                     scores, top, n = np.full(b - a, 0.5), np.zeros(b - a), np.zeros(b - a)
                 else:
-                    x, first = passages(texts[a:b])
+                    x, first = passages(texts)
                     f = model.forward(x, first)
                     scores, n = f["y"], np.diff(first)
                     top = np.array([int(np.argmax(f["a"][first[i] : first[i + 1]])) for i in range(b - a)])

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axonloom.session import cut
@@ -38,17 +39,22 @@ def raw(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def chunks(texts: list[bytes | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges whose texts hold about ``limit`` bytes, one row at least."""
-    start = held = 0
-    for i, text in enumerate(texts):
-        n = len(text or b"") + 1
-        if held and held + n > limit:
-            yield start, i
-            start, held = i, 0
-        held += n
-    if start < len(texts):
-        yield start, len(texts)
+def sliced(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """Row ranges whose texts hold about ``limit`` bytes (one row at least) with their texts, null as None. Sizes come
+    from the column's offsets; only one range's texts are made at a time."""
+    column = column.cast(pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start = 0
+    while start < len(column):
+        held = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, held + limit, side="right")))
+        yield start, end, column.slice(start, end - start).to_pylist()
+        start = end
+
+
+def drawn(key: Column, rows: int, total: int, seed: int) -> Column:
+    """True for about ``rows`` of ``total`` keys, by a uniform 62-bit hash: the bound holds at any total."""
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 62)) < F.lit(min(1 << 62, (1 << 62) * rows // max(total, 1)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,8 +101,10 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, from prefix sums of its bytes; temporaries stay at a block of words."""
+    def hashes(self, end: np.ndarray | None = None) -> np.ndarray:
+        """A 64-bit hash of each word (or of its bytes up to ``end``), from prefix sums; temporaries stay at a block of
+        words."""
+        ends = self.end if end is None else end
         out = np.empty(self.n, np.uint64)
         inverse = np.uint64(pow(_BASE, -1, 1 << 64))
         for lo in range(0, self.n, self.BLOCK):
@@ -105,7 +113,7 @@ class Words:
             seg = self.bytes[at : self.end[hi - 1]].astype(np.uint64) + np.uint64(1)
             sums = np.zeros(len(seg) + 1, np.uint64)
             np.cumsum(seg * _powers_to(len(seg)), out=sums[1:])
-            s, e = self.start[lo:hi] - at, self.end[lo:hi] - at
+            s, e = self.start[lo:hi] - at, ends[lo:hi] - at
             down = np.full(len(seg) + 1, inverse, np.uint64)
             down[0] = 1
             down = np.cumprod(down)
