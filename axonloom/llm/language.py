@@ -16,15 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axonloom.llm.textops import Words, chunks, raw
+from axonloom.llm.textops import Words, sliced
 
 N_SLOTS = 1 << 15
 #: Labelled rows of each language that training counts at most (those with the smallest hash of their id).
 SAMPLE_ROWS = 3_000
 ROUNDS, MIN_SHARE, PENALTY = 8, 0.04, 1.0
+#: What isn't told, and the least score that the filter keeps: its leading language holds half of the text.
+UND, LEAST_SCORE = "und", 0.5
 SPACE = 0x20
 IS_LETTER = np.zeros(256, bool)
 IS_LETTER[0x41:0x5B] = IS_LETTER[0x61:0x7B] = IS_LETTER[0x80:] = True
@@ -62,9 +65,9 @@ def _count(langs: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(langs), N_SLOTS), np.int64)
         for batch in batches:
-            texts, of = raw(batch.column(0)), batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                words = Words(texts[a:b], IS_LETTER)
+            of = batch.column(1).to_pylist()
+            for a, b, texts in sliced(batch.column(0)):
+                words = Words(texts, IS_LETTER)
                 if not words.n:
                     continue
                 slots, begin = _slots(words)
@@ -98,8 +101,8 @@ def train(docs: DataFrame, holdout: int | None = 2, sample_rows: int = SAMPLE_RO
     if not langs:
         return Model([], np.zeros((0, N_SLOTS)))
     # a threshold on a uniform hash of the id takes about sample_rows of each language, without a sort
-    share = F.create_map(*(F.lit(x) for lang in langs for x in (lang, min(1.0, sample_rows / sizes[lang]))))
-    taken = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    limits = F.create_map(*(F.lit(x) for lang in langs for x in (lang, (1 << 62) * min(sample_rows, sizes[lang]) // sizes[lang])))
+    taken = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 62)) < limits[F.col("lang")])
     counts = np.zeros((len(langs), N_SLOTS))
     rows = taken.select("text", "lang").mapInArrow(_count(langs), "lang int, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     for r in rows.toLocalIterator():
@@ -119,7 +122,7 @@ def _fit(like: np.ndarray, text: np.ndarray, n_texts: int, size: np.ndarray, sha
 def predict_chunk(model: Model, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, list[list[tuple[str, float]]]]:
     """Language, score and the chosen mixture (language, proportion) of each text."""
     n, langs = len(texts), len(model.langs)
-    names, scores, mixtures = ["und"] * n, np.zeros(n), [[] for _ in range(n)]
+    names, scores, mixtures = [UND] * n, np.zeros(n), [[] for _ in range(n)]
     words = Words(texts, IS_LETTER)
     ok = np.array([has_letter(t) for t in texts], bool)
     if not langs or not words.n or not ok.any():
@@ -167,9 +170,9 @@ def _predict(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, kept = raw(batch.column(batch.num_columns - 1)), batch.num_columns - 1
-            for a, b in chunks(texts):
-                names, scores, mixtures = predict_chunk(model, texts[a:b])
+            kept = batch.num_columns - 1
+            for a, b, texts in sliced(batch.column(kept)):
+                names, scores, mixtures = predict_chunk(model, texts)
                 mixed = pa.array([[{"lang": x, "share": y} for x, y in m] for m in mixtures], kind)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(a, b - a) for c in range(kept)), pa.array(names), pa.array(scores), mixed],
@@ -186,20 +189,23 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_predict(model), f"doc_id {kind}, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
 
 
-def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rows whose language can't be told (``und``), columns as they were. The verdict is a column
-    of its own while it lasts; no join."""
+def with_language(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` whose language can be told: rows predicted ``und``, and those of which no language of the mixture holds
+    ``least``, go. A null ``lang`` takes the prediction; other columns, and a given ``lang``, stay as they were. The
+    verdict is a column of its own while it lasts; no join."""
     columns = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    text_at = columns.index("text")
+    text_at, lang_at = columns.index("text"), columns.index("lang") if "lang" in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = raw(batch.column(text_at))
-            keep: list[bool] = []
-            for a, b in chunks(texts):
-                keep += [x != "und" for x in predict_chunk(model, texts[a:b])[0]]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for a, b, texts in sliced(batch.column(text_at)):
+                names, scores, _ = predict_chunk(model, texts)
+                part = batch.slice(a, b - a)
+                if lang_at is not None:
+                    given = part.column(lang_at)
+                    filled = pc.coalesce(given, pa.array(names, given.type))
+                    part = part.set_column(lang_at, part.schema.field(lang_at), filled)
+                yield part.filter(pa.array([x != UND and s >= least for x, s in zip(names, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, kinds)
-
