@@ -1,23 +1,27 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The examples are a bounded sample of the labelled rows, each text once. Terms are words and word beginnings (4 to 6
-letters), each at several levels of how often a text has it, since stems that are harmless once can be telling when
-they pile up; those that go with label 1 beyond chance in the sample are used. Their document frequencies are counted
-over all documents. Examples lie in blocks; the index holds, for each term, its largest weight in every block that has
-it. A query adds those up to bound each block's best cosine, opens blocks from the highest bound on, scores their
-examples exactly, and stops when no bound exceeds the k-th best: the k largest cosines are exact, and of examples tied
-for the last place those opened first are taken. Votes weighted by cosine, shrunk to the base rate, are calibrated by
-isotonic regression on the examples themselves, each left out.
+The examples are a bounded sample of the labelled rows of either label, each text once. Terms are all words and word
+beginnings (4 to 6 letters, marked) that two examples share, of both labels. A term's weight in a text is
+(1 + log tf) x idf x (FLOOR + association): document frequencies are counted over all documents, and the association is
+the phi coefficient of term and label in the sample beyond chance (supervised term weighting: every term counts, those
+that tell the labels apart count more). Vectors have unit length.
+
+Examples lie in blocks of like ones, made by halving them along their leading direction. The index holds, for each
+term, its largest weight in every block that has it, and below that its weights in the block's examples; the longest
+postings (``DENSE`` terms at most) are kept as a dense matrix, whose part of all cosines is one product. A query adds
+that part's best and the block maxima up to bound each block's best cosine, scores the examples of the ``FIRST`` blocks
+with the highest bounds, and then opens every block whose bound reaches the k-th best cosine so far: the k largest
+cosines are exact, of equal ones the example with the smaller id comes first. Votes weighted by cosine (and by how densely each label was
+sampled), shrunk to the base rate, are calibrated by isotonic regression on the examples, each left out.
 
 Defined cases: null and empty texts, and texts without a known term, get the rate among examples without one; without
-labels every score is 0.5; repeated rows stay rows; labels of repeated ids count once each; other columns are ignored.
-The model's size is bounded by SAMPLE_ROWS and MAX_TERMS, whatever the corpus.
+labels every score is 0.5; repeated rows stay rows; labels of repeated ids count once each; with labels of one kind all
+votes go to it; other columns are ignored. The model's size is bounded by the terms of SAMPLE_ROWS examples a label,
+whatever the corpus.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,112 +29,93 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axonloom.llm.textops import Words, drawn, mix, sliced
 from axonloom.session import cut
 
-#: Labelled rows that serve as examples at most (about; chosen by a hash of their id).
-SAMPLE_ROWS = 10_000
-#: Terms of the model at most, and a term's least chi-square, rows in the sample, and share of label 1 over the base
-#: rate. Terms that go with label 0 are left out: there, they are the words of frequent texts.
-MAX_TERMS, MIN_CHI, MIN_ROWS, MIN_LIFT = 2_000, 20.0, 4, 2.0
-#: A text that has a term this often has the term of that level too.
-LEVELS = (1, 2, 3, 5)
-NEIGHBOURS, BLOCK, SHRINK, THRESHOLD = 15, 32, 0.5, 0.7
+#: Labelled rows of each label that serve as examples at most (about; chosen by a hash of their id): label 1, label 0.
+SAMPLE_ROWS = (1_200, 2_000)
+NEIGHBOURS, BLOCK, SHRINK, THRESHOLD = 15, 64, 0.5, 0.7
+#: Blocks that are opened first, queries that are searched together, and what single precision may miss.
+FIRST, TOGETHER, NEAR = 2, 64, 1e-5
+#: Terms whose postings are dense at most; they lie in one of so many examples at least.
+DENSE, DENSE_SHARE = 1_024, 64
+#: What a term counts without any association with the label, and the chi-square that chance may reach.
+FLOOR, CHANCE = 0.02, 20.0
 PREFIXES = (4, 5, 6)
-#: Words whose terms a worker remembers; it starts anew beyond.
-KEEP_WORDS = 400_000
 
-_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
-
-
-def words_of(text: str | None) -> list[str]:
-    return _WORDS(text.lower()) if text else []
-
-
-def terms_of(word: str) -> list[str]:
-    """A word and its beginnings (marked) as terms."""
-    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n)]
-
-
-def leveled(counts: dict[str, int]) -> list[str]:
-    return [t if n == 1 else f"{t}@{n}" for t, c in counts.items() for n in LEVELS if c >= n]
-
-
-class _Known(dict):
-    """Word to the numbers of its base terms (or None), filled on demand."""
-
-    def __init__(self, terms: dict[str, int]):
-        super().__init__()
-        self.base: dict[str, int] = {}
-        self.levels: list[list[tuple[int, int]]] = []
-        for term, i in terms.items():
-            name, _, level = term.partition("@")
-            if name not in self.base:
-                self.base[name] = len(self.levels)
-                self.levels.append([])
-            self.levels[self.base[name]].append((int(level or 1), i))
-
-    def __missing__(self, word: str):
-        if len(self) > KEEP_WORDS:
-            self.clear()
-        found = tuple(self.base[t] for t in terms_of(word) if t in self.base) or None
-        self[word] = found
-        return found
-
-    def terms_in(self, text: str | None) -> list[int]:
-        """The model's terms of a text, sorted."""
-        seen: Counter = Counter()
-        for found in filter(None, map(self.__getitem__, words_of(text))):
-            seen.update(found)
-        return sorted(i for b, c in seen.items() for level, i in self.levels[b] if c >= level)
-
-
-def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, label) to partial (term, rows with label 1, rows with label 0); at most 200,000 terms are held."""
-
-    def out(held: dict[str, list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())], names=["term", "pos", "neg"])
-
-    held: dict[str, list[int]] = {}
+IS_WORD = np.zeros(256, bool)
+IS_WORD[0x30:0x3A] = IS_WORD[0x41:0x5B] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
+
+
+def terms(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, term hash) of every word and word beginning."""
+    w = Words(texts, IS_WORD)
+    if not w.n:
+        return w.text, np.zeros(0, np.uint64)
+    lead = np.flatnonzero((w.bytes & 0xC0) != 0x80)  # first bytes of characters
+    first = np.searchsorted(lead, w.start)
+    letters = np.searchsorted(lead, w.end) - first
+    lead = np.append(lead, len(w.bytes))
+    text, hashes = [w.text], [w.hashes()]
+    for n in PREFIXES:
+        long = letters >= n
+        cut_at = np.where(long, lead[np.minimum(first + n, len(lead) - 1)], w.end)
+        text.append(w.text[long])
+        hashes.append(mix(w.hashes(cut_at)[long] + np.uint64(n)))
+    return np.concatenate(text), np.concatenate(hashes)
+
+
+def _counted(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, times), sorted by both."""
+    if not len(key):
+        return text, key, text
+    by = np.lexsort((key, text))
+    text, key = text[by], key[by]
+    at = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1])))
+    return text[at], key[at], np.diff(np.append(at, len(key)))
+
+
+def known_terms(vocabulary: np.ndarray, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in the vocabulary, times) of the known terms, sorted by both."""
+    text, h = terms(texts)
+    if not len(vocabulary) or not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.searchsorted(vocabulary, h)
+    hit = vocabulary[np.minimum(at, len(vocabulary) - 1)] == h
+    key, times = np.unique(text[hit].astype(np.int64) * len(vocabulary) + at[hit], return_counts=True)
+    return key // len(vocabulary), key % len(vocabulary), times
+
+
+def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, label, text) to (doc_id, label, terms, times), the last two as packed numbers."""
     for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for term in leveled(Counter(t for w in words_of(text) for t in terms_of(w))):
-                held.setdefault(term, [0, 0])[1 - label] += 1
-            if len(held) > 200_000:
-                yield out(held)
-                held = {}
-    if held:
-        yield out(held)
+        for a, b, texts in sliced(batch.column(2)):
+            text, h, n = _counted(*terms(texts))
+            at = np.searchsorted(text, np.arange(b - a + 1))
+            parts = [(h[x:y].tobytes(), n[x:y].astype(np.int32).tobytes()) for x, y in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array(x, pa.binary()) for x in zip(*parts))], names=["doc_id", "label", "terms", "times"])
 
 
-def _frequencies(terms: dict[str, int]):
+def _frequencies(vocabulary: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, df = _Known(terms), np.zeros(len(terms) + 1, np.int64)
+        df = np.zeros(len(vocabulary) + 1, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                df[-1] += 1
-                df[known.terms_in(text)] += 1
+            for a, b, texts in sliced(batch.column(0)):
+                df[-1] += b - a
+                df[:-1] += np.bincount(known_terms(vocabulary, texts)[1], minlength=len(vocabulary))
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "n"])
 
     return run
 
 
-def _vectors(terms: dict[str, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(terms)
-        for batch in batches:
-            held = [known.terms_in(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.int32()))], names=["doc_id", "label", "held"])
-
-    return run
-
-
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Steps (from x on, value) of the best non-decreasing fit, by pooling violators."""
     order = np.argsort(x, kind="stable")
+    weight = np.ones(len(x)) if weight is None else weight
     pools: list[list[float]] = []
-    for a, b in zip(x[order], y[order]):
-        pools.append([a, b, 1.0])
+    for a, b, w in zip(x[order].tolist(), y[order].tolist(), weight[order].tolist()):
+        pools.append([a, b, w])
         while len(pools) > 1 and (pools[-2][1] >= pools[-1][1] or pools[-2][0] == pools[-1][0]):
             _, v, n = pools.pop()
             p = pools[-1]
@@ -138,110 +123,207 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in pools]), np.array([p[1] for p in pools])
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges, and the number of the range each lies in."""
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size - start, size), of
+
+
+def _alike(row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int, n_terms: int, size: int) -> np.ndarray:
+    """An order of the rows in which like ones are near: halves along the leading direction, down to ``size`` rows."""
+    order, groups = np.arange(n), [(0, n)]
+    ptr = np.searchsorted(row, np.arange(n + 1))
+    while groups:
+        lo, hi = groups.pop()
+        if hi - lo <= size:
+            continue
+        at, of = _spread(ptr[order[lo:hi]], ptr[order[lo:hi] + 1] - ptr[order[lo:hi]])
+        c, v, m = col[at], val[at], hi - lo
+        mean = np.bincount(c, v, n_terms) / m
+        x = np.random.default_rng(0).normal(size=m)
+        for _ in range(6):  # power iteration on the centred rows
+            y = np.bincount(c, v * x[of], n_terms) - mean * x.sum()
+            x = np.bincount(of, v * y[c], m) - mean @ y
+            x /= np.linalg.norm(x) or 1.0
+        half = -(-m // size) // 2 * size  # whole blocks on the left
+        order[lo:hi] = order[lo:hi][np.argsort(x, kind="stable")]
+        groups += [(lo, lo + half), (lo + half, hi)]
+    return order
+
+
 class Index:
-    """Examples as unit vectors in blocks, with block maxima by term."""
-
-    def __init__(self, terms: dict[str, int], idf: np.ndarray, ids: list[int], labels: list[int], held: list[list[int]]):
-        self.terms, self.idf = terms, idf
-        rows = [self.vector(c) for c in held]
-        self.base = (sum(labels) + 0.5) / (len(labels) + 1)
-        bare = [y for (t, _), y in zip(rows, labels) if not len(t)]
-        self.bare = (sum(bare) + self.base) / (len(bare) + 1)
-        # examples that share their heaviest term lie together, so bounds differ between blocks
-        order = sorted((int(t[np.argmax(w)]), int(labels[i]), int(ids[i]), i) for i, (t, w) in enumerate(rows) if len(t))
-        rows = [rows[i] for *_, i in order]
-        self.ids = np.array([ids[i] for *_, i in order], np.int64)
-        self.labels = np.array([labels[i] for *_, i in order], float)
-        self.ptr = np.concatenate([[0], np.cumsum([len(t) for t, _ in rows])]).astype(np.int64)
-        self.col = np.concatenate([t for t, _ in rows]) if rows else np.zeros(0, np.int64)
-        self.val = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
-        self.blocks = -(-len(rows) // BLOCK)
-        block_of = np.repeat(np.arange(len(rows)), np.diff(self.ptr)) // BLOCK
-        key = self.col * max(1, self.blocks) + block_of
-        self.block_max: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(terms)
-        if len(key):
-            by = np.argsort(key, kind="stable")
-            uniq, first = np.unique(key[by], return_index=True)
-            peak = np.maximum.reduceat(self.val[by], first)
-            for t in np.unique(self.col):
-                s = slice(*np.searchsorted(uniq, [t * self.blocks, (t + 1) * self.blocks]))
-                self.block_max[t] = (uniq[s] % self.blocks, peak[s])
+    """Examples as unit vectors in blocks, with block maxima by term.
+
+    ``vocabulary``: sorted term hashes; ``weight``: idf x association of each; an example is (terms, times)."""
+
+    def __init__(self, vocabulary: np.ndarray, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, examples: list[tuple[np.ndarray, np.ndarray]], share: tuple[float, float] = (1.0, 1.0), block: int = BLOCK):
+        self.vocabulary, self.weight, self.block = vocabulary, weight, block
+        some = np.array([len(t) > 0 for t, _ in examples], bool)
+        labels, ids = np.asarray(labels, float), np.asarray(ids, np.int64)
+        each = np.where(labels > 0, 1 / share[0], 1 / share[1])
+        self.base = float((each @ labels + 0.5) / (each.sum() + 1))
+        bare = each[~some]
+        self.bare = float((bare @ labels[~some] + self.base) / (bare.sum() + 1))
+        kept = np.flatnonzero(some)
+        kept = kept[np.argsort(ids[kept], kind="stable")]
+        size = np.array([len(examples[i][0]) for i in kept], np.int64)
+        row = np.repeat(np.arange(len(kept)), size)
+        col = np.concatenate([examples[i][0] for i in kept]) if len(kept) else np.zeros(0, np.int64)
+        times = np.concatenate([examples[i][1] for i in kept]) if len(kept) else np.zeros(0)
+        val = self.unit(row, col, times, len(kept))
+        #: Example numbers follow the ids; ``place`` is an example's place in the blocks.
+        self.ids, self.labels, self.each = ids[kept], labels[kept], each[kept]
+        n, terms_ = len(kept), len(vocabulary)
+        place = np.empty(n, np.int64)
+        place[_alike(row, col, val, n, terms_, block)] = np.arange(n)
+        self.blocks = -(-n // block)
+        often = np.argsort(-np.bincount(col, minlength=terms_), kind="stable")[:DENSE]
+        often = often[np.bincount(col, minlength=terms_)[often] * DENSE_SHARE >= max(n, 1)]
+        #: Column of the dense matrix of each term, -1 for those with postings.
+        self.column = np.full(terms_, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n), np.float32)
+        full = self.column[col] >= 0
+        self.dense[self.column[col[full]], row[full]] = val[full]
+        self.block_by_example = (place // block).astype(np.int32)
+        self.ptr, self.col, self.val = np.concatenate([[0], np.cumsum(size)]), col.astype(np.int32), val.astype(np.float32)
+        row, col, val = row[~full], col[~full], val[~full]
+        by = np.lexsort((place[row], col))
+        self.example, self.value = row[by].astype(np.int32), val[by].astype(np.float32)
+        key = col[by] * max(1, self.blocks) + place[row[by]] // block
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.block_of = (key[first] % max(1, self.blocks)).astype(np.int32)
+        self.peak = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0, np.float32)
+        self.below = np.append(first, len(key)).astype(np.int64)
+        self.entry = np.searchsorted(key[first] // max(1, self.blocks), np.arange(terms_ + 1))
         self.steps = self.values = np.zeros(0)
-        self._query = np.zeros(len(terms))
-
-    def vector(self, held: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of a text, at unit length; how often it has a term lies in the levels."""
-        t = np.array(held, np.int64)
-        w = self.idf[t]
-        return t, w / (np.sqrt((w * w).sum()) or 1.0)
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, leave: int = -1) -> list[tuple[float, int]]:
-        """The k largest cosines above 0 with their examples' places, best first."""
-        bound = np.zeros(self.blocks)
-        for i, x in zip(t.tolist(), w.tolist()):
-            at, peak = self.block_max[i]
-            bound[at] += x * peak
-        self._query[t] = w
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] <= -best[-1][0] + 1e-12:
-                break
-            lo, hi = b * BLOCK, min(len(self.ids), (b + 1) * BLOCK)
-            s = slice(self.ptr[lo], self.ptr[hi])
-            score = np.add.reduceat(self._query[self.col[s]] * self.val[s], self.ptr[lo:hi] - self.ptr[lo])
-            best = sorted(best + [(-x, lo + j) for j, x in enumerate(score.tolist()) if x > 0 and lo + j != leave])[:k]
-        self._query[t] = 0
-        return [(-s, j) for s, j in best]
-
-    def vote(self, found: list[tuple[float, int]]) -> float:
-        weight = sum(s for s, _ in found)
-        return (sum(s * self.labels[j] for s, j in found) + SHRINK * self.base) / (weight + SHRINK)
+
+    def unit(self, row: np.ndarray, col: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        """Weights of the rows' terms, each row at unit length."""
+        w = (1 + np.log(np.maximum(times, 1))) * self.weight[col]
+        return w / np.sqrt(np.maximum(np.bincount(row, w * w, n), 1e-30))[row]
+
+    def cosines(self, row: np.ndarray, col: np.ndarray, w: np.ndarray, n: int, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+        """Cosines (to single precision) of ``n`` queries with the examples of all blocks that can hold one of the k
+        largest, no more than the true ones elsewhere, and the number of blocks opened. ``leave``: an example each query
+        mustn't find."""
+        m = len(self.ids)
+        full = self.column[col] >= 0
+        query = np.zeros((n, len(self.dense)), np.float32)
+        query[row[full], self.column[col[full]]] = w[full]
+        score = (query @ self.dense).astype(np.float64) if len(self.dense) else np.zeros((n, m))
+        row, col, w = row[~full], col[~full], w[~full]
+        at, of = _spread(self.entry[col], self.entry[col + 1] - self.entry[col])
+        query, block = row[of], self.block_of[at]
+        by = np.argsort(self.block_by_example, kind="stable")
+        begins = np.searchsorted(self.block_by_example[by], np.arange(self.blocks))
+        bound = np.maximum.reduceat(score[:, by], begins, axis=1) + np.bincount(query * self.blocks + block, w[of] * self.peak[at], n * self.blocks).reshape(n, self.blocks)
+
+        def open_(which: np.ndarray) -> None:
+            sel = which[query, block]
+            inner, up = _spread(self.below[at[sel]], self.below[at[sel] + 1] - self.below[at[sel]])
+            if len(inner):
+                score.ravel()[:] += np.bincount(query[sel][up] * m + self.example[inner], w[of[sel]][up] * self.value[inner], score.size)
+            if leave is not None:
+                score[np.arange(n), leave] = 0
+
+        begun = np.zeros_like(bound, bool)
+        np.put_along_axis(begun, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, 1)
+        open_(begun)
+        kth = np.partition(score, -k, axis=1)[:, -k] if m >= k else np.zeros(n)
+        rest = ~begun & (bound >= kth[:, None] - NEAR)
+        open_(rest)
+        return score, int(begun.sum() + rest.sum())
+
+    def near(self, row: np.ndarray, col: np.ndarray, w: np.ndarray, n: int, k: int = NEIGHBOURS, leave: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of ``n`` queries (unit vectors, sorted by row) the k largest cosines above 0, best first, with their
+        examples' numbers. What can be among them is summed again in double precision."""
+        vector = np.zeros(len(self.vocabulary))
+        for lo in range(0, n, TOGETHER):
+            hi = min(n, lo + TOGETHER)
+            ends = np.searchsorted(row, np.arange(lo, hi + 1))
+            s = slice(ends[0], ends[-1])
+            if not len(self.ids):
+                yield from [(np.zeros(0), np.zeros(0, np.int64))] * (hi - lo)
+                continue
+            score, _ = self.cosines(row[s] - lo, col[s], w[s], hi - lo, k, None if leave is None else leave[lo:hi])
+            least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.zeros(hi - lo)
+            for i in range(hi - lo):
+                own = slice(ends[i], ends[i + 1])
+                found = np.flatnonzero((score[i] >= least[i] - NEAR) & (score[i] > 0))
+                if not len(found):
+                    yield np.zeros(0), found
+                    continue
+                vector[col[own]] = w[own]
+                at, of = _spread(self.ptr[found], self.ptr[found + 1] - self.ptr[found])
+                cosine = np.bincount(of, vector[self.col[at]] * self.val[at], len(found))
+                vector[col[own]] = 0
+                best = np.argsort(-cosine, kind="stable")[:k]
+                yield cosine[best], found[best]
+
+    def vote(self, cosine: np.ndarray, found: np.ndarray) -> float:
+        weight = cosine * self.each[found]
+        return float((weight @ self.labels[found] + SHRINK * self.base) / (weight.sum() + SHRINK))
 
     def calibrate(self) -> None:
-        votes = []
-        for i in range(len(self.ids)):
-            s = slice(self.ptr[i], self.ptr[i + 1])
-            votes.append(self.vote(self.nearest(self.col[s], self.val[s], leave=i)))
+        row = np.repeat(np.arange(len(self.ids)), np.diff(self.ptr))
+        votes = [self.vote(*x) for x in self.near(row, self.col, self.val, len(self.ids), leave=np.arange(len(self.ids)))]
         if votes:
-            self.steps, self.values = isotonic(np.array(votes), self.labels)
+            self.steps, self.values = isotonic(np.array(votes), self.labels, self.each)
+
+    def scores(self, texts: list[bytes | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """(score, cosines, examples) of each text."""
+        row, col, times = known_terms(self.vocabulary, texts)
+        for cosine, found in self.near(row, col, self.unit(row, col, times, len(texts)), len(texts)):
+            if not len(found):
+                yield self.bare, cosine, found
+                continue
+            vote = self.vote(cosine, found)
+            at = max(int(np.searchsorted(self.steps, vote, side="right")) - 1, 0)
+            # a little of the vote keeps the order within a step
+            yield min(1.0, max(0.0, 0.97 * float(self.values[at]) + 0.03 * vote)), cosine, found
+
 
-    def score(self, held: list[int]) -> tuple[float, list[tuple[float, int]]]:
-        if not held or not len(self.ids):
-            return self.bare, []
-        found = self.nearest(*self.vector(held))
-        vote = self.vote(found)
-        at = int(np.searchsorted(self.steps, vote, side="right")) - 1
-        fitted = float(self.values[max(at, 0)])
-        return min(1.0, max(0.0, 0.97 * fitted + 0.03 * vote)), found  # a little of the vote keeps the order within a step
+def association(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
+    """The phi coefficient of having a term and having label 1, beyond what chance may reach."""
+    n, rows = n_pos + n_neg, pos + neg
+    chi = n * (pos * n_neg - neg * n_pos) ** 2 / np.maximum(rows * (n - rows) * max(n_pos * n_neg, 1.0), 1e-9)
+    return np.sqrt(np.maximum(chi - CHANCE, 0.0) / max(n, 1.0))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", holdout: tuple[int, int] | None = (3, 1), sample_rows: int = SAMPLE_ROWS) -> Index | None:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", holdout: tuple[int, int] | None = (3, 1), sample_rows: tuple[int, int] = SAMPLE_ROWS) -> Index | None:
     """The index over a sample of rows with a 0/1 label that aren't held out: crc32(doc_id) mod holdout[0] is
     holdout[1]. None without labels."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
     if holdout is not None:
         known = known.where(F.crc32(F.col("doc_id").cast("string")) % holdout[0] != holdout[1])
-    total = known.count()
+    total = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if not total:
         return None
-    share = int(min(1.0, sample_rows / total) * (1 << 20))
-    known = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 20)) < share)
+    n_of = [total.get(1, 0), total.get(0, 0)]
+    known = known.where(F.when(F.col("label") == 1, drawn(F.col("doc_id"), sample_rows[0], n_of[0], 5)).otherwise(drawn(F.col("doc_id"), sample_rows[1], n_of[1], 5)))
+    share = tuple(min(1.0, rows / max(n, 1)) for rows, n in zip(sample_rows, n_of))
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")  # sample_rows ids at most, about
-    sample = cut(sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min_by("label", "doc_id").alias("label")).select("doc_id", "label", "text"))
-    counted = sample.select("text", "label").mapInArrow(_sample_counts, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
-    n_pos, n_all = sample.agg(F.sum("label"), F.count("*")).first()
-    n_pos, n_all = n_pos or 0, n_all or 1
-    a, b, p, q = F.col("a"), F.col("b"), float(n_pos), float(n_all - n_pos)
-    gap = a * q - b * p
-    chi = n_all * gap * gap / ((a + b) * (n_all - a - b) * F.lit(max(p * q, 1.0)))
-    top = counted.where((a + b >= MIN_ROWS) & (a * float(n_all) >= MIN_LIFT * p * (a + b))).withColumn("chi", chi).where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "term").limit(MAX_TERMS).select("term").collect()
-    terms = {r[0]: i for i, r in enumerate(top)}
-    df = np.zeros(len(terms) + 1)
-    for r in docs.select("text").mapInArrow(_frequencies(terms), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    sample = sample.groupBy("text").agg(F.min("doc_id").cast("bigint").alias("doc_id"), F.min_by("label", "doc_id").alias("label")).select("doc_id", "label", "text")
+    rows = cut(sample.mapInArrow(_sample_terms, "doc_id bigint, label int, terms binary, times binary")).orderBy("doc_id").collect()  # the terms of sample_rows texts
+    held = [(np.frombuffer(r[2], np.uint64), np.frombuffer(r[3], np.int32)) for r in rows]
+    y = np.array([r[1] for r in rows], float)
+    vocabulary, place, n = np.unique(np.concatenate([h for h, _ in held]) if held else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+    of = np.repeat(y, [len(h) for h, _ in held])
+    pos = np.bincount(place, of, len(vocabulary))
+    shared = n >= 2
+    vocabulary, pos, n = vocabulary[shared], pos[shared], n[shared].astype(float)
+    df = np.zeros(len(vocabulary) + 1)
+    for r in docs.select("text").mapInArrow(_frequencies(vocabulary), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         df[r[0]] = r[1]
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
-    rows = sample.mapInArrow(_vectors(terms), "doc_id bigint, label int, held array<int>").collect()  # sample_rows short vectors
-    index = Index(terms, idf, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+    weight = idf * (FLOOR + association(pos, n - pos, float(y.sum()), float(len(y) - y.sum())))
+    examples = []
+    for h, times in held:
+        at = np.minimum(np.searchsorted(vocabulary, h), max(len(vocabulary) - 1, 0))
+        hit = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), bool)
+        examples.append((at[hit], times[hit]))
+    index = Index(vocabulary, weight, np.array([r[0] for r in rows], np.int64), y, examples, share)
     index.calibrate()
     return index
 
@@ -250,14 +332,13 @@ def _scorer(index: Index | None):
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(index.terms if index else {})
         for batch in batches:
-            scores, found = [], []
-            for text in batch.column(1).to_pylist():
-                s, near = index.score(known.terms_in(text)) if index else (0.5, [])
-                scores.append(s)
-                found.append([{"doc_id": int(index.ids[j]), "label": int(index.labels[j]), "cosine": c} for c, j in near[:5]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(found, evidence)], names=["doc_id", "score", "predicted", "evidence"])
+            for a, b, texts in sliced(batch.column(1)):
+                scores, found = [], []
+                for s, cosine, near in index.scores(texts) if index else [(0.5, np.zeros(0), np.zeros(0, np.int64))] * (b - a):
+                    scores.append(s)
+                    found.append([{"doc_id": int(index.ids[j]), "label": int(index.labels[j]), "cosine": float(c)} for c, j in zip(cosine[:5], near[:5])])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(found, evidence)], names=["doc_id", "score", "predicted", "evidence"])
 
     return run
 
