@@ -1,15 +1,23 @@
 """Personal data: base kinds by pattern, then information-theoretic sanitisation. DataFrame functions only.
 
 Base spans (email, ip, card, phone) are regular expressions with checks; a span's place follows from the lengths of
-the pieces between matches. The entities found are protected. Corpus co-occurrence tells which terms reveal them:
-over distinct lines (copies count once), a term t discloses entity e if they meet in at least ``MIN_LINES`` lines and
-the pointwise mutual information log2(p(t, e) / (p(t) p(e))) reaches ``ALPHA`` of e's information -log2 p(e), which
-says that t fixes at least that share of e. Where an entity's lines share most of their words, they are near-copies of
-one line and no evidence: their mean pairwise overlap must not exceed ``MAX_OVERLAP``. Every occurrence of such a term in a document with e becomes a span: terms
-of at most ``GENERALISE`` words a line on average are removed, commoner ones generalised.
-
-Counting is by shuffles with partial sums. Only lines with an entity are grouped; a term's total over the corpus is
-counted for the terms that occur next to entities often enough, by a broadcast only while they are few.
+the pieces between matches. Protected entities are the values found, those of their parts that recur (the local part
+and the domain of an email, the first three numbers of an ip; digits only for cards and phones), and secrets. All
+probabilities are over the n distinct lines of the corpus, so copies count once; lines with an entity that are
+near-copies of each other count as one context: contexts are the inverse Simpson index over minhashes of the lines'
+terms (``SIGNATURES`` of them, averaged), which no number of variants of one line moves far from 1.
+
+- A term t discloses entity e if they meet in two lines at least, the pointwise mutual information
+  log2(n_te n / (n_t n_e)) reaches ``ALPHA`` of e's information log2(n / n_e), and the evidence, contexts of (t, e) times
+  that mutual information, reaches log2(entities x terms) + ``MARGIN`` bits: a significance test against all pairs that
+  could have met by chance. Every occurrence of t in a document with e is a span: ``removed`` if half of t's lines hold
+  e, else ``general``.
+- An opaque term (``OPAQUE``, with ``SWITCHES`` changes between letters and digits) stands in no language model, so what
+  it tells is what the corpus leaves open: log2(n / contexts of t). It is a ``secret`` if that reaches ``SECRET`` of log2(n),
+  the most any term can tell; identifiers that many different lines use aren't.
+
+Counting is by shuffles with partial sums; only lines with an entity or an opaque term are grouped whole. A term's total
+over the corpus is counted for the terms that are tested, by a broadcast only while they are few.
 
 Defined cases: null and empty texts have no spans; equal rows keep a row each; a null doc_id is an ordinary value;
 an empty table gives an empty result; other columns are kept by ``sanitised`` and ignored otherwise.
@@ -30,16 +38,18 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-KINDS = [*PATTERNS, "removed", "general"]
-#: Mutual lines an entity and a term need, the share of the entity's information that counts as disclosure.
-MIN_LINES, ALPHA = 3, 0.8
-#: Largest mean share of words that two of an entity's lines may have in common.
-MAX_OVERLAP = 0.6
-#: A disclosing term is removed if it occurs in at most this many lines of the corpus, else generalised.
-GENERALISE = 50
-#: Terms (or terms of texts, when they are applied) up to which they are broadcast.
+KINDS = [*PATTERNS, "removed", "general", "secret"]
+#: Shares of an entity's information, and of the largest possible information, that count as disclosure.
+ALPHA, SECRET = 0.8, 0.5
+#: Bits of evidence beyond the number of pairs that could have met, and minhashes of a line.
+MARGIN, SIGNATURES = 7.0, 4
+#: Terms (or terms of texts, when they are applied) up to which they are broadcast; terms are words of this length at most.
 BROADCAST_TERMS = 20_000
 TERM = r"[\p{L}\p{N}]+"
+#: Keys, tokens and hashes: long runs that mix letters and digits.
+OPAQUE, SWITCH, SWITCHES = "[A-Za-z0-9+/_=-]{16,}", "[A-Za-z][0-9]|[0-9][A-Za-z]", 4
+#: What a line with an entity or an opaque term matches.
+LINES = r"text like '%@%' or text rlike '[0-9][ .()-]{0,2}[0-9]' or text rlike '[A-Za-z0-9+/_=-]{16}'"
 
 
 def _digits(m: Column) -> Column:
@@ -92,57 +102,104 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows.withColumn("_base", F.array_sort(F.concat(*(_spans("_text", k) for k in PATTERNS))))
 
 
-def disclosures(docs: DataFrame, min_lines: int = MIN_LINES, alpha: float = ALPHA) -> DataFrame:
-    """(entity, term, removed): terms that reveal a protected entity, over the distinct lines of the corpus. An entity
-    is its kind's number and a hash of its lower-cased value."""
+def _opaque(text: str) -> Column:
+    """The opaque terms of a text as structs (start, kind number, end, value)."""
+    return F.filter(_places(text, OPAQUE, "secret"), lambda x: F.size(F.regexp_extract_all(x["v"], F.lit(SWITCH), F.lit(0))) >= SWITCHES)
+
+
+def _entities(spans: str) -> Column:
+    """The protected entities of base spans: the value and the parts that recur, each (kind number, value)."""
+
+    def of(x: Column) -> Column:
+        kind, v = x["k"], F.lower(x["v"])
+        name = lambda k, value: F.struct(F.lit(k).alias("k"), value.alias("v"))
+        email = F.array(name(0, v), name(10, F.substring_index(v, "@", 1)), name(11, F.substring_index(v, "@", -1)))
+        ip = F.array(name(1, v), name(12, F.substring_index(v, ".", 3)))
+        return F.when(kind == 0, email).when(kind == 1, ip).when(kind == 2, F.array(name(2, _digits(v)))).otherwise(F.array(name(3, _digits(v))))
+
+    return F.array_distinct(F.flatten(F.transform(spans, of)))
+
+
+def _line() -> list[Column]:
+    """A line's identity: a hash and its length."""
+    return [F.xxhash64("text").alias("line"), F.length("text").alias("size")]
+
+
+def _contexts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, contexts): the inverse Simpson index over the minhashes (``signs``) of the keys' rows."""
+    each = rows.select(*keys, F.posexplode("signs").alias("j", "sign")).groupBy(*keys, "j", "sign").agg(F.count("*").alias("m"))
+    met = each.groupBy(*keys, "j").agg((F.sum(F.col("m") * F.col("m")) / (F.sum("m") * F.sum("m"))).alias("same"))
+    return met.groupBy(*keys).agg((1 / F.avg("same")).alias("contexts"))
+
+
+def _signs(terms: Column) -> Column:
+    return F.array(*(F.array_min(F.transform(terms, lambda t, j=j: F.md5(F.concat(F.lit(f"{j}:"), t)))) for j in range(SIGNATURES)))
+
+
+def evidence(docs: DataFrame) -> tuple[DataFrame, float]:
+    """The distinct lines with an entity or an opaque term, and the number of all distinct lines. A line has its terms
+    without the entities in it, and their minhashes."""
     lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("text"))
-    some = lines.where(r"text like '%@%' or text rlike '[0-9][ .()-]{0,2}[0-9]'")
-    held = base_spans(some).where(F.size("_base") > 0).groupBy(F.xxhash64("_text").alias("line"), F.length("_text")).agg(F.first("_text").alias("_text"), F.first("_base").alias("_base"))
-    held = cut(held.select("line", "_text", "_base"))
-    kinds_out = F.aggregate("_base", F.col("_text"), lambda t, x: F.replace(t, x["v"], F.lit(" ")))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(kinds_out), F.lit(TERM), F.lit(0)))
-    entity = F.transform("_base", lambda x: F.struct(x["k"].alias("k"), F.xxhash64(F.lower(x["v"])).alias("h")))
-    each = held.select("line", F.explode(F.array_distinct(entity)).alias("entity"), terms.alias("terms"))
-    totals = each.groupBy("entity").agg(F.count("*").alias("n_e")).where(f"n_e >= {min_lines}")
-    counts = cut(each.join(totals, "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")))
-    # shared words of all pairs of lines, over what the pairs could share: sums over terms, no pairs are made
-    shared_words = F.sum(F.col("n_te") * (F.col("n_te") - 1)) / (F.max("n_e") - 1) / F.sum("n_te")
-    varied = counts.groupBy("entity").agg(shared_words.alias("overlap")).where(F.col("overlap") <= MAX_OVERLAP).select("entity")
-    met = cut(counts.where(f"n_te >= {min_lines}").join(varied, "entity", "left_semi"))
-    wanted = met.select("term").distinct()
-    if met.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    line = [F.xxhash64("text").alias("line"), F.length("text").alias("size")]
-    words = lines.select(*line, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    if met.isEmpty():
-        return met.select("entity", "term", F.lit(True).alias("removed"))
+    some = base_spans(lines.where(LINES)).withColumn("_opaque", _opaque("_text")).where("size(_base) > 0 or size(_opaque) > 0")
+    some = some.groupBy(*_line()).agg(*(F.first(c).alias(c) for c in ("_text", "_base", "_opaque")))
+    bare = F.aggregate(F.concat("_base", "_opaque"), F.col("_text"), lambda t, x: F.replace(t, x["v"], F.lit(" ")))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(TERM), F.lit(0)))
+    held = some.select("line", "size", "_base", "_opaque", words.alias("words"))
+    held = held.select("line", "size", _entities("_base").alias("entities"), F.array_distinct(F.transform("_opaque", lambda x: x["v"])).alias("opaque"), "words", _signs(F.col("words")).alias("signs"))
+    n = float(lines.select(*_line()).distinct().count())
+    return cut(held), n
+
+
+def secrets(held: DataFrame, n: float, share: float = SECRET) -> DataFrame:
+    """(term): opaque terms that tell at least ``share`` of what a term can."""
+    return _contexts(held.select(F.explode("opaque").alias("term"), "signs"), ["term"]).where(F.log2(F.lit(max(n, 1.0)) / F.col("contexts")) >= share * F.log2(F.lit(max(n, 1.0)))).select("term")
+
+
+def disclosures(docs: DataFrame, alpha: float = ALPHA, margin: float = MARGIN, found: tuple[DataFrame, float] | None = None) -> DataFrame:
+    """(entity, term, removed): terms that reveal a protected entity, over the distinct lines of the corpus. An entity
+    is its kind's number and its value."""
+    held, n = evidence(docs) if found is None else found
+    each = held.where("size(entities) > 0").select(F.explode("entities").alias("entity"), "words", "signs")
+    n_e = each.groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = each.select("entity", F.explode("words").alias("term"), "signs")
+    tested = n_e.count() * held.where("size(entities) > 0").select(F.explode("words").alias("term")).distinct().count()
+    counts = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where("n_te > 1")
+    met = cut(counts.join(n_e, "entity"))
+    few = met.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    near = F.broadcast if few else (lambda x: x)
+    contexts = _contexts(pairs.join(near(met.select("entity", "term")), ["entity", "term"], "left_semi"), ["entity", "term"])
     # as for the entities, copies of a line count once; only wanted terms are moved for that
-    df = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    n = float(lines.select(*line).distinct().count())
-    information = F.log2(F.lit(n) / F.col("n_e"))
-    shared = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
-    found = met.join(df, "term").where((information > 0) & (shared >= alpha * information))
-    return found.select("entity", "term", (F.col("n_t") <= GENERALISE).alias("removed"))
-
-
-def spans(docs: DataFrame, min_lines: int = MIN_LINES, alpha: float = ALPHA) -> DataFrame:
-    """``docs`` with ``_text``, ``_base`` and ``_all``: base spans and those of disclosing terms, by start and kind."""
-    rows = base_spans(docs)
-    found = cut(disclosures(docs, min_lines, alpha))
-    plain = rows.withColumn("_all", F.col("_base"))
-    if found.isEmpty():
-        return plain
+    lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("text"))
+    words = lines.select(*_line(), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    n_t = words.join(near(met.select("term").distinct()), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    mutual = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
+    wanted = met.join(contexts, ["entity", "term"]).join(n_t, "term").where((F.col("n_e") < n) & (mutual >= alpha * F.log2(F.lit(n) / F.col("n_e"))) & (F.col("contexts") * mutual >= F.log2(F.lit(float(max(tested, 1)))) + margin))
+    return wanted.select("entity", "term", (2 * F.col("n_te") >= F.col("n_t")).alias("removed"))
+
+
+def spans(docs: DataFrame, alpha: float = ALPHA, margin: float = MARGIN, share: float = SECRET) -> DataFrame:
+    """``docs`` with ``_text``, ``_base`` and ``_all``: base spans, secrets and those of disclosing terms, by start and
+    kind. Added spans don't touch base ones."""
+    held, n = evidence(docs)
+    hidden, found = cut(secrets(held, n, share)), cut(disclosures(docs, alpha, margin, (held, n)))
+    rows = base_spans(docs).withColumn("_opaque", _opaque("_text"))
     key = F.struct(F.coalesce(F.xxhash64("_text"), F.lit(0)).alias("a"), F.length("_text").alias("b"))
-    entity = F.transform("_base", lambda x: F.struct(x["k"].alias("k"), F.xxhash64(F.lower(x["v"])).alias("h")))
-    texts = rows.where(F.size("_base") > 0).select(key.alias("_key"), F.explode(F.array_distinct(entity)).alias("entity")).distinct()
-    terms = texts.join(found, "entity").groupBy("_key").agg(F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("_gone"), F.collect_set("term").alias("_terms"))
-    terms = cut(terms)
-    held = terms.agg(F.sum(F.size("_terms"))).first()[0] or 0
-    joined = rows.withColumn("_key", key).join(F.broadcast(terms) if held <= BROADCAST_TERMS else terms, "_key", "left")
+    some = rows.where("size(_base) > 0 or size(_opaque) > 0")
+    small = lambda x: F.broadcast(x) if x.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else x
+    no_text = F.lit(None).cast("string")
+    told = some.select(key.alias("_key"), F.explode(_entities("_base")).alias("entity")).distinct().join(small(found), "entity").select("_key", F.when(F.col("removed"), F.col("term")).alias("gone"), "term", no_text.alias("secret"))
+    kept = some.select(key.alias("_key"), F.explode(F.transform("_opaque", lambda x: x["v"])).alias("secret")).distinct().join(small(hidden.withColumnRenamed("term", "secret")), "secret").select("_key", no_text.alias("gone"), no_text.alias("term"), "secret")
+    terms = cut(told.unionByName(kept).groupBy("_key").agg(F.collect_set("gone").alias("_gone"), F.collect_set("term").alias("_terms"), F.collect_set("secret").alias("_secrets")))
+    size = terms.agg(F.sum(F.size("_terms") + F.size("_secrets"))).first()[0] or 0
+    joined = rows.withColumn("_key", key).join(F.broadcast(terms) if size <= BROADCAST_TERMS else terms, "_key", "left")
+    apart = lambda column, x: ~F.exists(column, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))
+    empty = F.array().cast("array<struct<s:int,k:int,e:int,v:string>>")
+    opaque = F.filter("_opaque", lambda x: F.array_contains("_secrets", x["v"]) & apart("_base", x))
+    with_secrets = joined.withColumn("_opaque", F.when(F.size("_secrets") > 0, opaque).otherwise(empty))
     places = F.transform(_places("_text", TERM, "general"), lambda x: x.withField("k", F.when(F.array_contains("_gone", F.lower(x["v"])), KINDS.index("removed")).otherwise(x["k"])))
-    hidden = F.filter(places, lambda x: F.array_contains("_terms", F.lower(x["v"])) & ~F.exists("_base", lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
-    extra = F.when(F.col("_terms").isNotNull(), hidden).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,v:string>>"))
-    return joined.withColumn("_all", F.array_sort(F.concat("_base", extra))).drop("_key", "_gone", "_terms")
+    extra = F.filter(places, lambda x: F.array_contains("_terms", F.lower(x["v"])) & apart("_base", x) & apart("_opaque", x))
+    all_spans = F.array_sort(F.concat("_base", "_opaque", F.when(F.size("_terms") > 0, extra).otherwise(empty)))
+    return with_secrets.withColumn("_all", all_spans).drop("_key", "_gone", "_terms", "_secrets", "_opaque")
 
 
 def _count(kind: int) -> Column:
@@ -156,15 +213,15 @@ def joined(column: str) -> Column:
 
 
 def found(docs: DataFrame, **settings) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256, spans (as text) and found (structs) of every row."""
+    """doc_id, counts of the base kinds, base_sha256, spans (as text) and n_spans of every row."""
     rows = spans(docs.select("doc_id", "text"), **settings)
     counts = [_count(i).alias(f"n_{k}") for i, k in enumerate(PATTERNS)]
-    return rows.select("doc_id", *counts, F.sha2(joined("_base"), 256).alias("base_sha256"), joined("_all").alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(joined("_base"), 256).alias("base_sha256"), joined("_all").alias("spans"), F.size("_all").cast("bigint").alias("n_spans"))
 
 
 def sanitised(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with every base span of the text replaced by its kind in angle brackets, disclosing terms removed or
-    replaced by ``<general>``; other columns as they were."""
+    """``docs`` with every base span of the text replaced by its kind in angle brackets, secrets by ``<secret>``,
+    disclosing terms removed or replaced by ``<general>``; other columns as they were."""
     # the other columns travel as one struct, so that their names can't clash with those made here
     rows = spans(docs.select("text", F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_doc")), **settings)
     marks = F.array(*(F.lit("" if k == "removed" else f"<{k}>") for k in KINDS))
@@ -181,7 +238,7 @@ def sanitised(docs: DataFrame, **settings) -> DataFrame:
     return rows.select(*(text.alias(c) if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns))
 
 
-def found_sql(min_lines: int = MIN_LINES, alpha: float = ALPHA, generalise: int = GENERALISE) -> str:
+def found_sql(alpha: float = ALPHA, margin: float = MARGIN, share: float = SECRET) -> str:
     """``found`` in DuckDB's SQL, with the plain patterns."""
     plain = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -212,27 +269,47 @@ def found_sql(min_lines: int = MIN_LINES, alpha: float = ALPHA, generalise: int
     listed = f"string_agg(({kinds})[k + 1] || ':' || s || ':' || e, ',' order by s, k)"
     counts = ", ".join(f"count(*) filter (k = {i}) as n_{k}" for i, k in enumerate(PATTERNS))
     term = r"[\p{L}\p{N}]+"
+    is_opaque = f"len(regexp_extract_all(v, '{SWITCH}')) >= {SWITCHES}"
+    words = f"list_distinct(regexp_extract_all(lower(list_reduce(list_prepend(t, vs), lambda a, x: replace(a, x, ' '))), '{term}'))"
+    signs = ", ".join(f"list_min(list_transform(words, lambda x: md5('{j}:' || x)))" for j in range(SIGNATURES))
+    parts = {0: "lower(v)", 10: "split_part(lower(v), '@', 1)", 11: "split_part(lower(v), '@', 2)", 1: "v", 12: r"regexp_extract(v, '^([0-9]+\.[0-9]+\.[0-9]+)', 1)", 2: digits, 3: digits}
+
+    def entities(source: str, key: str) -> str:
+        of = {10: 0, 11: 0, 12: 1}
+        return " union ".join(f"select {key}, {k} as ek, {v} as ev from {source} where k = {of.get(k, k)}" for k, v in parts.items())
+
+    def contexts(source: str, keys: str) -> str:
+        """As _contexts; ``source`` has the keys and the lines (key ``line``)."""
+        each = f"select {keys}, j, sign, count(*) as m from (select {keys}, j, signs[j] as sign from {source} join words_of using (line), (select unnest(range(1, {SIGNATURES + 1})) as j)) group by all"
+        return f"select {keys}, 1 / avg(same) as contexts from (select {keys}, j, sum(m * m) / (sum(m) * sum(m)) as same from ({each}) group by all) group by all"
+
     return f"""
 with docs as (select doc_id, row_number() over () as row_no, coalesce(text, '') as t from documents),
 spans as materialized ({base("docs", "row_no")}),
-lines as (select unnest(string_split(t, chr(10))) as t from docs),
+dark as materialized (select row_no, {KINDS.index("secret")} as k, s, e, v from ({places("docs", "row_no", "t", OPAQUE)}) where {is_opaque}),
+lines as materialized (select row_number() over () as line, t from (select distinct unnest(string_split(t, chr(10))) as t from docs)),
 total as (select count(*)::double as n from lines),
-ln as materialized (select row_number() over () as line, t from (select distinct t from lines where contains(t, '@') or regexp_matches(t, '[0-9][ .()-]{{0,2}}[0-9]'))),
+ln as materialized (select * from lines where contains(t, '@') or regexp_matches(t, '[0-9][ .()-]{{0,2}}[0-9]') or regexp_matches(t, '[A-Za-z0-9+/_=-]{{16}}')),
 held as materialized ({base("ln", "line")}),
-bare as (select line, any_value(ln.t) as t, list(v order by s, k) as vs from held join ln using (line) group by line),
-terms as (select line, unnest(list_distinct(regexp_extract_all(lower(list_reduce(vs, lambda a, x: replace(a, x, ' '), t)), '{term}'))) as term from bare),
-ents as (select distinct line, k, lower(v) as h from held),
-n_e as (select k, h, count(*) as n_e from ents group by all having count(*) >= {min_lines}),
-counts as materialized (select k, h, n_e, term, count(*) as n_te from ents join n_e using (k, h) join terms using (line) group by all),
-varied as (select k, h from counts group by all having sum(n_te * (n_te - 1)) / (max(n_e) - 1) / sum(n_te) <= {MAX_OVERLAP}),
-met as materialized (select counts.* from counts semi join varied using (k, h) where n_te >= {min_lines}),
+opaque as materialized (select line, s, v from ({places("ln", "line", "t", OPAQUE)}) where {is_opaque}),
+gone as (select line, list(v order by o, s, k) as vs from (select line, 0 as o, s, k, v from held union all select line, 1, s, 0, v from opaque) group by line),
+words_of as materialized (select line, words, [{signs}] as signs from (select line, {words} as words from gone join ln using (line))),
+ents as materialized ({entities("held", "line")}),
+n_e as materialized (select ek, ev, count(*) as n_e from ents group by all),
+pairs as materialized (select ek, ev, line, unnest(words) as term from ents join words_of using (line)),
+tested as (select (select count(*) from n_e)::double * (select count(distinct term) from pairs) as tests),
+met as materialized (select ek, ev, term, count(*) as n_te, any_value(n_e) as n_e from pairs join n_e using (ek, ev) group by all having count(*) > 1),
+shared as ({contexts("(select pairs.* from pairs semi join met using (ek, ev, term))", "ek, ev, term")}),
 n_t as (select term, count(*) as n_t from (select unnest(list_distinct(regexp_extract_all(lower(t), '{term}'))) as term from lines) where term in (select term from met) group by term),
-found as (select k, h, term, n_t <= {generalise} as removed from met join n_t using (term), total where log2(n / n_e) > 0 and log2(n_te * n / (n_t * n_e)) >= {alpha} * log2(n / n_e)),
-hide as (select row_no, term, bool_or(removed) as removed from (select distinct row_no, k, lower(v) as h from spans) join found using (k, h) group by all),
+found as (select ek, ev, term, 2 * n_te >= n_t as removed from met join shared using (ek, ev, term) join n_t using (term), total, tested
+    where n_e < n and log2(n_te * n / (n_t * n_e)) >= {alpha} * log2(n / n_e) and contexts * log2(n_te * n / (n_t * n_e)) >= log2(greatest(tests, 1)) + {margin}),
+secret as (select term from ({contexts("(select distinct v as term, line from opaque)", "term")}), total where log2(n / contexts) >= {share} * log2(n)),
+dark_spans as (select * from dark where v in (select term from secret) and not exists (select 1 from spans x where x.row_no = dark.row_no and x.s < dark.e and dark.s < x.e)),
+hide as (select row_no, term, bool_or(removed) as removed from ({entities("spans", "row_no")}) join found using (ek, ev) group by all),
 hits as (select row_no, s, e, v from ({places("(select * from docs where row_no in (select row_no from hide))", "row_no", "t", term)})),
-extra as (select hits.row_no, case when removed then 4 else 5 end as k, hits.s, hits.e, hits.v from hits join hide on hide.row_no = hits.row_no and hide.term = lower(hits.v)
-  where not exists (select 1 from spans b where b.row_no = hits.row_no and hits.s < b.e and b.s < hits.e)),
-b as (select row_no, {counts}, {listed} as listed from spans group by row_no),
-a as (select row_no, {listed} as listed from (select * from spans union all select * from extra) group by row_no)
-select doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in PATTERNS)}, sha256(coalesce(b.listed, '')) as base_sha256, coalesce(a.listed, '') as spans
+extra as (select hits.row_no, case when removed then 4 else 5 end as k, hits.s, hits.e from hits join hide on hits.row_no = hide.row_no and lower(hits.v) = hide.term
+    where not exists (select 1 from spans x where x.row_no = hits.row_no and x.s < hits.e and hits.s < x.e) and not exists (select 1 from dark_spans x where x.row_no = hits.row_no and x.s < hits.e and hits.s < x.e)),
+b as (select row_no, {counts}, {listed} as base from spans group by row_no),
+a as (select row_no, {listed} as listed, count(*) as n_spans from (select row_no, k, s, e from spans union all select row_no, k, s, e from dark_spans union all select row_no, k, s, e from extra) group by row_no)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in PATTERNS)}, sha256(coalesce(base, '')) as base_sha256, coalesce(listed, '') as spans, coalesce(n_spans, 0) as n_spans
 from docs left join b using (row_no) left join a using (row_no)"""
