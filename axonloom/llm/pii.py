@@ -25,6 +25,8 @@ an empty table gives an empty result; other columns are kept by ``sanitised`` an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,22 +161,32 @@ def disclosures(docs: DataFrame, alpha: float = ALPHA, margin: float = MARGIN, f
     """(entity, term, removed): terms that reveal a protected entity, over the distinct lines of the corpus. An entity
     is its kind's number and its value."""
     held, n = evidence(docs) if found is None else found
-    each = held.where("size(entities) > 0").select(F.explode("entities").alias("entity"), "words", "signs")
+    held = held.where("size(entities) > 0")
+    each = held.select(F.explode("entities").alias("entity"), "words", "signs")
     n_e = each.groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = each.select("entity", F.explode("words").alias("term"), "signs")
-    tested = n_e.count() * held.where("size(entities) > 0").select(F.explode("words").alias("term")).distinct().count()
+    # a term's lines among these alone: no more than n_t, so what fails with it fails with n_t
+    least = held.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    bits = math.log2(max(n_e.count() * least.count(), 1)) + margin
+    mutual = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
+    tells = (F.col("n_e") < n) & (mutual >= alpha * F.log2(F.lit(n) / F.col("n_e")))
     counts = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where("n_te > 1")
-    met = cut(counts.join(n_e, "entity"))
-    few = met.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    near = F.broadcast if few else (lambda x: x)
-    contexts = _contexts(pairs.join(near(met.select("entity", "term")), ["entity", "term"], "left_semi"), ["entity", "term"])
+    met = cut(counts.join(n_e, "entity").join(least, "term").where(tells & (F.col("n_te") * mutual >= bits)).drop("n_t"))
+    contexts = _contexts(pairs.join(_small(met.select("entity", "term")), ["entity", "term"], "left_semi"), ["entity", "term"])
+    met = cut(met.join(contexts, ["entity", "term"]).join(least, "term").where(F.col("contexts") * mutual >= bits).drop("n_t"))
     # as for the entities, copies of a line count once; only wanted terms are moved for that
     lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("text"))
     words = lines.select(*_line(), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = words.join(near(met.select("term").distinct()), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    mutual = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
-    wanted = met.join(contexts, ["entity", "term"]).join(n_t, "term").where((F.col("n_e") < n) & (mutual >= alpha * F.log2(F.lit(n) / F.col("n_e"))) & (F.col("contexts") * mutual >= F.log2(F.lit(float(max(tested, 1)))) + margin))
-    return wanted.select("entity", "term", (2 * F.col("n_te") >= F.col("n_t")).alias("removed"))
+    wanted = met.select("term").distinct()
+    n_t = words.join(_small(wanted), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    found_ = met.join(n_t, "term").where(tells & (F.col("contexts") * mutual >= bits))
+    return found_.select("entity", "term", (2 * F.col("n_te") >= F.col("n_t")).alias("removed"))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows`` (with a string ``term``), to be broadcast if they are proven few and short."""
+    n, size = rows.limit(BROADCAST_TERMS + 1).agg(F.count("*"), F.sum(F.length("term"))).first()
+    return F.broadcast(rows) if n <= BROADCAST_TERMS and (size or 0) <= 100 * BROADCAST_TERMS else rows
 
 
 def spans(docs: DataFrame, alpha: float = ALPHA, margin: float = MARGIN, share: float = SECRET) -> DataFrame:
