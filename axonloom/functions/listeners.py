@@ -1,4 +1,4 @@
-"""User aggregates over ordered events, and vectorised pair functions, as Arrow UDFs."""
+"""User aggregates over ordered events as Arrow UDFs, and pair functions of arrays."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,13 +23,11 @@ def ordered_aggregate(step: Callable[[np.ndarray, np.ndarray], float]):
     return run
 
 
-@F.pandas_udf(T.DoubleType())
-def array_correlation(a: pd.Series, b: pd.Series) -> pd.Series:
+def array_correlation(a: str | Column, b: str | Column) -> Column:
     """Pearson correlation of two equally long arrays of a row; 0 without spread."""
-    out = np.zeros(len(a))
-    for i, (x, y) in enumerate(zip(a, b)):
-        x, y = np.asarray(x, float), np.asarray(y, float)
-        x, y = x - x.mean(), y - y.mean()
-        d = np.sqrt((x @ x) * (y @ y))
-        out[i] = (x @ y) / d if d > 0 else 0.0
-    return pd.Series(out)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    real = lambda x: F.transform(x, lambda v: v.cast("double"))
+    around = lambda x: F.transform(x, lambda v: v - total(x) / F.size(x))
+    x, y = around(real(a)), around(real(b))
+    power = F.sqrt(total(F.transform(x, lambda v: v * v)) * total(F.transform(y, lambda v: v * v)))
+    return F.when(power > 0, total(F.zip_with(x, y, lambda v, w: v * w)) / power).otherwise(0.0)

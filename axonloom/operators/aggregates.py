@@ -148,21 +148,27 @@ def contamination(points: DataFrame, keys: Sequence[str], lo: int, hi: int, tota
     return out.withColumn("contamination", F.col("nb") * float(total) / (float(hi - lo) * F.col("n") * F.col("n")))
 
 
-def crosscorrelogram(points: DataFrame, keys: Sequence[str], lag_bins: int, width: int, normalise: str | None = None, cells: DataFrame | None = None, total_bins: int | None = None) -> DataFrame:
-    """(keys, a, b, bin, n[, value]) for cells a < b of the same keys: times are cut to units of ``width`` and counted
-    per unit before pairing; bin = lag in units, -lag_bins..lag_bins. ``probability`` divides by the pair's sum,
-    ``correlation`` takes (n - n1 n2 / T) / sqrt(n1 n2) over T units. Lags of (b, a) are those of (a, b) mirrored."""
+def crosscorrelogram(points: DataFrame, keys: Sequence[str], lag_bins: int, width: int, normalise: str | None = None, cells: DataFrame | None = None, unit: int = 1) -> DataFrame:
+    """(keys, a, b, bin, n[, value]) for cells a < b of the same keys. Times are counted per ``unit`` (the recording's
+    resolution) before pairing; differences are exact in units and binned afterwards, to the nearest multiple of
+    ``width`` (halves go up): bin -lag_bins..lag_bins. ``probability`` divides by the pair's sum; ``correlation`` is
+    (n - n1 n2 / T) / sqrt((n1 - n1^2 / T) (n2 - n2^2 / T)) with T the units from the pair's first spike to its last
+    (null where that is 0). Lags of (b, a) are those of (a, b) mirrored."""
     p = points if cells is None else points.join(cells, "cell_id", "left_semi")
-    u = p.groupBy(*keys, "cell_id", floor_div("t_us", width).alias("t_us")).agg(F.count("*").alias("m"))
-    pairs = band_pairs(u, u, max(lag_bins, 1), keys).where((F.col("cell_id") < F.col("cell_id_r")) & (F.abs("dt") <= lag_bins))
-    out = pairs.groupBy(*keys, F.col("cell_id").alias("a"), F.col("cell_id_r").alias("b"), F.col("dt").alias("bin")).agg(F.sum(F.col("m") * F.col("m_r")).alias("n"))
+    u = p.groupBy(*keys, "cell_id", floor_div("t_us", unit).alias("t_us")).agg(F.count("*").alias("m"))
+    wide, reach = width // unit, (2 * lag_bins + 1) * (width // unit)  # reach: twice the largest difference
+    pairs = band_pairs(u, u, max(-(-reach // 2), 1), keys).where((F.col("cell_id") < F.col("cell_id_r")) & (2 * F.col("dt") >= -reach) & (2 * F.col("dt") < reach))
+    out = pairs.groupBy(*keys, F.col("cell_id").alias("a"), F.col("cell_id_r").alias("b"), floor_div(2 * F.col("dt") + wide, 2 * wide).alias("bin")).agg(F.sum(F.col("m") * F.col("m_r")).alias("n"))
     if normalise == "probability":
         return out.withColumn("value", F.col("n") / F.sum("n").over(W.partitionBy(*keys, "a", "b")))
     if normalise == "correlation":
-        sizes = p.groupBy(*keys, "cell_id").agg(F.count("*").alias("_n"))
-        out = out.join(sizes.withColumnRenamed("cell_id", "a").withColumnRenamed("_n", "n1"), [*keys, "a"]).join(sizes.withColumnRenamed("cell_id", "b").withColumnRenamed("_n", "n2"), [*keys, "b"])
-        product = F.col("n1") * F.col("n2")
-        return out.withColumn("value", (F.col("n") - product / float(total_bins or 1)) / F.sqrt(product)).drop("n1", "n2")
+        sizes = u.groupBy(*keys, "cell_id").agg(F.sum("m").cast("double").alias("_n"), F.min("t_us").alias("_lo"), F.max("t_us").alias("_hi"))
+        of = lambda cell, i: sizes.select(*keys, F.col("cell_id").alias(cell), *(F.col(c).alias(f"{c}{i}") for c in ("_n", "_lo", "_hi")))
+        out = out.join(of("a", 1), [*keys, "a"]).join(of("b", 2), [*keys, "b"])
+        n1, n2, span = F.col("_n1"), F.col("_n2"), (F.greatest("_hi1", "_hi2") - F.least("_lo1", "_lo2") + 1).cast("double")
+        spread = F.sqrt((n1 - n1 * n1 / span) * (n2 - n2 * n2 / span))
+        value = F.when(spread > 0, (F.col("n") - n1 * n2 / span) / spread)
+        return out.withColumn("value", value).drop("_n1", "_n2", "_lo1", "_lo2", "_hi1", "_hi2")
     return out
 
 
@@ -173,9 +179,9 @@ def consecutive_correlogram(points: DataFrame, keys: Sequence[str], lag_bins: in
     return counts.withColumn("probability", F.col("n") / F.sum("n").over(W.partitionBy(*keys)))
 
 
-def coincidence(points: DataFrame, keys: Sequence[str], lag_bins: int, width: int, moving: int) -> DataFrame:
+def coincidence(points: DataFrame, keys: Sequence[str], lag_bins: int, width: int, moving: int, unit: int = 1) -> DataFrame:
     """(keys, a, b, p): the largest sum of ``moving`` neighbouring lag bins over the smaller train's size."""
-    ccg = crosscorrelogram(points, keys, lag_bins, width)
+    ccg = crosscorrelogram(points, keys, lag_bins, width, unit=unit)
     # a bin counts in the windows that start up to moving - 1 before it
     starts = ccg.withColumn("s", F.explode(F.sequence(F.col("bin") - (moving - 1), F.col("bin")))).groupBy(*keys, "a", "b", "s").agg(F.sum("n").alias("w"))
     best = starts.groupBy(*keys, "a", "b").agg(F.max("w").alias("w"))

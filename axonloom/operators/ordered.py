@@ -125,11 +125,15 @@ def every_kth(points: DataFrame, keys: Sequence[str], wanted: int, t: str = "t_u
 
 
 def fir_filtered(chunks: DataFrame, keys: Sequence[str], taps: Sequence[float]) -> DataFrame:
-    """Causal FIR filter of chunked traces (keys, chunk, data): each chunk takes the end of the one before along as
-    overlap, by a window over chunks, and is convolved alone. The trace starts on zeros."""
+    """Causal FIR filter of chunked traces (keys, chunk, data): each chunk takes the end of those right before it along
+    as overlap (of several, if they are short), by a window over chunks, and is convolved alone. The trace starts on
+    zeros, and again after a missing chunk."""
     k = len(taps) - 1
-    before = F.lag("data").over(_w(keys, ["chunk"]))
-    rows = chunks.withColumn("_tail", F.when(before.isNotNull(), F.slice(F.concat(F.array_repeat(F.lit(0.0), k), before.cast("array<double>")), -k, k) if k else F.array()))
+    end = F.struct("chunk", F.slice(F.col("data").cast("array<double>"), F.greatest(F.size("data") - k + 1, F.lit(1)), F.lit(k)).alias("data"))
+    past = F.collect_list(end).over(_w(keys, ["chunk"]).rowsBetween(-k, -1))
+    near = F.filter("_past", lambda x, i: x["chunk"] == F.col("chunk") - F.size("_past") + i)  # those without a gap up to here
+    lead = F.concat(F.array_repeat(F.lit(0.0), k), F.flatten(F.transform(near, lambda x: x["data"])))
+    rows = chunks.withColumn("_past", past).withColumn("_tail", F.slice(lead, -k, k)).drop("_past") if k else chunks.withColumn("_tail", F.array().cast("array<double>"))
     h = np.asarray(taps, float)
 
     def run(batches):
@@ -137,8 +141,7 @@ def fir_filtered(chunks: DataFrame, keys: Sequence[str], taps: Sequence[float])
             out = []
             for data, tail in zip(pdf.data, pdf._tail):
                 x = np.asarray(data, float)
-                lead = np.zeros(k) if tail is None else np.asarray(tail, float)
-                out.append(np.convolve(np.concatenate([lead, x]), h)[k : k + len(x)])
+                out.append(np.convolve(np.concatenate([np.asarray(tail, float), x]), h)[k : k + len(x)])
             yield pdf.drop(columns="_tail").assign(data=out)
 
     types = dict(chunks.dtypes)

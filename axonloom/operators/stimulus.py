@@ -39,18 +39,19 @@ def triggered_sums(counts: DataFrame, frames: DataFrame, depth: int, power: int
     def block(c: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         if c.empty or f.empty:
             return pd.DataFrame({"cell_id": [], "lag": [], "total": [], "n": []})
-        f = f.sort_values("frame")
-        shown = np.stack(f.pixels.to_numpy()).astype(float) ** power
-        at = {int(x): i for i, x in enumerate(f.frame)}
+        lo, length = int(f.frame.min()), int(f.frame.max() - f.frame.min()) + 1
+        place = f.frame.to_numpy(np.int64) - lo  # rows follow the frame numbers; missing frames show nothing
+        shown, there = np.zeros((length, len(f.pixels.iloc[0]))), np.zeros(length)
+        shown[place], there[place] = np.stack(f.pixels.to_numpy()).astype(float) ** power, 1.0
         cells, row = np.unique(c.cell_id.to_numpy(), return_inverse=True)
-        weight = np.zeros((len(cells), len(shown)))
-        for r, frame, n in zip(row, c.frame, c.n):
-            if int(frame) in at:
-                weight[r, at[int(frame)]] += n
+        weight, at = np.zeros((len(cells), length)), c.frame.to_numpy(np.int64) - lo
+        inside = (at >= 0) & (at < length)
+        np.add.at(weight, (row[inside], at[inside]), c.n.to_numpy(float)[inside])
+        weight *= there
         out = []
         for lag in range(depth):
-            w = weight[:, lag:]
-            total, n = w @ shown[: len(shown) - lag], w.sum(axis=1)
+            w, end = weight[:, lag:], max(length - lag, 0)
+            total, n = w @ shown[:end], w @ there[:end]
             out += [(int(x), lag, total[i].tolist(), float(n[i])) for i, x in enumerate(cells)]
         return pd.DataFrame(out, columns=["cell_id", "lag", "total", "n"])
 

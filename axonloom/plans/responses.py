@@ -137,24 +137,27 @@ def contamination(spark: SparkSession, d: str) -> DataFrame:
     return A.contamination(spikes(spark, d), ["cell_id"], H // 2, 2 * H, 30 * DAY_US).withColumn("contamination", r6("contamination"))
 
 
-_CCG = with_sql("spikes") + """, u as (select cell_id, file, t_us // 600000000 as h, count(*) as m from spikes group by all),
-c as (select a.file, a.cell_id as a, b.cell_id as b, b.h - a.h as bin, sum(a.m * b.m)::bigint as n from u a join u b on a.file = b.file and a.cell_id < b.cell_id and abs(b.h - a.h) <= 3 group by all)"""
+# lags in ms, binned to the nearest ten minutes after subtraction; up to 3 bins and a half either side
+_CCG = with_sql("spikes") + """, u as (select cell_id, file, t_us // 1000 as h, count(*) as m from spikes group by all),
+c as (select a.file, a.cell_id as a, b.cell_id as b, floor((b.h - a.h + 2100000) / 600000)::bigint - 3 as bin, sum(a.m * b.m)::bigint as n
+      from u a join u b on a.file = b.file and a.cell_id < b.cell_id and b.h - a.h >= -2100000 and b.h - a.h < 2100000 group by all)"""
 
 
 @query(_CCG + " select * from c")
 def crosscorrelogram(spark: SparkSession, d: str) -> DataFrame:
-    return A.crosscorrelogram(spikes(spark, d), ["file"], 3, H // 6)
+    return A.crosscorrelogram(spikes(spark, d), ["file"], 3, H // 6, unit=1_000)
 
 
 @query(_CCG + " select *, round(n / sum(n) over (partition by file, a, b), 6) as value from c")
 def ccg_probability(spark: SparkSession, d: str) -> DataFrame:
-    return A.crosscorrelogram(spikes(spark, d), ["file"], 3, H // 6, "probability").withColumn("value", r6("value"))
+    return A.crosscorrelogram(spikes(spark, d), ["file"], 3, H // 6, "probability", unit=1_000).withColumn("value", r6("value"))
 
 
-@query(_CCG + """, s as (select file, cell_id, count(*) as k from spikes group by all)
-select c.*, round((n - x.k * y.k / 1440.0) / sqrt(x.k * y.k), 6) as value from c join s x on x.file = c.file and x.cell_id = a join s y on y.file = c.file and y.cell_id = b""")
+@query(_CCG + """, s as (select file, cell_id, count(*)::double as k, min(t_us // 1000) as lo, max(t_us // 1000) as hi from spikes group by all),
+p as (select c.*, x.k as n1, y.k as n2, (greatest(x.hi, y.hi) - least(x.lo, y.lo) + 1)::double as span from c join s x on x.file = c.file and x.cell_id = a join s y on y.file = c.file and y.cell_id = b)
+select file, a, b, bin, n, case when (n1 - n1 * n1 / span) * (n2 - n2 * n2 / span) > 0 then round((n - n1 * n2 / span) / sqrt((n1 - n1 * n1 / span) * (n2 - n2 * n2 / span)), 6) end as value from p""")
 def ccg_correlation(spark: SparkSession, d: str) -> DataFrame:
-    return A.crosscorrelogram(spikes(spark, d), ["file"], 3, H // 6, "correlation", total_bins=1440).withColumn("value", r6("value"))
+    return A.crosscorrelogram(spikes(spark, d), ["file"], 3, H // 6, "correlation", unit=1_000).withColumn("value", r6("value"))
 
 
 @query(_ISI + ", h as (select cell_id, isi // 3600000000 as bin, count(*) as n from i where isi // 3600000000 <= 20 group by all) select *, round(n / sum(n) over (partition by cell_id), 6) as probability from h")
@@ -165,7 +168,7 @@ def isi_correlogram(spark: SparkSession, d: str) -> DataFrame:
 @query(_CCG + """, w as (select file, a, b, s, sum(n) as w from (select *, unnest(range(bin - 1, bin + 1)) as s from c) group by all), m as (select file, a, b, max(w) as w from w group by all), s as (select file, cell_id, count(*) as k from spikes group by all)
 select m.file, a, b, x.k as n_a, y.k as n_b, round(w / least(x.k, y.k), 6) as p from m join s x on x.file = m.file and x.cell_id = a join s y on y.file = m.file and y.cell_id = b""")
 def coincidence(spark: SparkSession, d: str) -> DataFrame:
-    return A.coincidence(spikes(spark, d), ["file"], 3, H // 6, 2).withColumn("p", r6("p"))
+    return A.coincidence(spikes(spark, d), ["file"], 3, H // 6, 2, unit=1_000).withColumn("p", r6("p"))
 
 
 @query(with_sql("spikes") + " select cell_id, count(*) as n from spikes group by all having count(*) >= 40")

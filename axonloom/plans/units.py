@@ -56,9 +56,11 @@ def _merges(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TRAIN = with_sql("spikes") + ", " + _PAIR + ", t as (select head as a, member as b, cell_id, t_us from m join spikes on cell_id in (head, member)), i as (select a, b, t_us - lag(t_us) over (partition by a, b order by t_us, cell_id) as isi from t), f as (select a, b, avg(case when isi < 3600000000 then 1.0 else 0.0 end) as fraction from i where isi is not null group by all)"
+# pairs of a dominant cell a and a candidate b, some spike of which no spike of a is near
+_FAR = ", far as (select distinct a, b from {pairs} join spikes s on s.cell_id = b where not exists (select 1 from spikes h where h.cell_id = a and abs(h.t_us - s.t_us) <= 3600000000))"
 
 
-@query(_TRAIN + " select a, b, round(fraction, 6) as fraction, fraction < 0.15 as ok from f")
+@query(_TRAIN + _FAR.format(pairs="f") + " select a, b, round(fraction, 6) as fraction, fraction < 0.15 or (a, b) in (select (a, b) from far) as ok from f")
 def refractory_test(spark: SparkSession, d: str) -> DataFrame:
     pairs = _merges(spark, d).select(F.col("head").alias("a"), F.col("member").alias("b"))
     return M.refractory_test(pairs, spikes(spark, d), H, 0.15).withColumn("fraction", r6("fraction"))
@@ -74,7 +76,10 @@ def complete_map(spark: SparkSession, d: str) -> DataFrame:
     return M.complete_map(spikes(spark, d).select("cell_id").distinct(), _merges(spark, d))
 
 
-@query(_TRAIN + ", n as (select cell_id, count(*) as n from spikes group by all) select case when x.n >= y.n then a else b end as head, case when x.n >= y.n then b else a end as member from f join n x on x.cell_id = a join n y on y.cell_id = b where fraction < 0.15")
+_RANKED = ", n as (select cell_id, count(*) as n from spikes group by all), r as (select case when x.n >= y.n then a else b end as a, case when x.n >= y.n then b else a end as b, fraction from f join n x on x.cell_id = a join n y on y.cell_id = b)"
+
+
+@query(_TRAIN + _RANKED + _FAR.format(pairs="r") + " select a as head, b as member from r where fraction < 0.15 or (a, b) in (select (a, b) from far)")
 def evaluated_merges(spark: SparkSession, d: str) -> DataFrame:
     return M.evaluated(_merges(spark, d), spikes(spark, d).select("cell_id", "t_us"), H, 0.15)
 
@@ -82,7 +87,7 @@ def evaluated_merges(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def cleaned_cells(spark: SparkSession, d: str) -> DataFrame:
     """The cleaning cascade per file."""
-    return M.cleaned(spikes(spark, d), ["file"], 10, H // 2, 2 * H, 10 * DAY_US, 8.0, 3, H // 6, 2, 0.15)
+    return M.cleaned(spikes(spark, d), ["file"], 10, H // 2, 2 * H, 10 * DAY_US, 8.0, 3, H // 6, 2, 0.15, unit=1_000)
 
 
 @query(_UNIT + """, p as (select a.cell_id as source, b.cell_id as target from u a, u b where a.cell_id % 2 = 0 and b.cell_id % 2 = 1 and list_inner_product(a.v, b.v) >= 0.4), k as (select target, min('class/' || class) as class from p join vectors on vectors.cell_id = source group by target)
@@ -322,7 +327,8 @@ def window_counts(spark: SparkSession, d: str) -> DataFrame:
     return live.window_counts(_live(spark, d), "6 hours").select(_start(), "electrode", "n", "max_amplitude")
 
 
-@query("select time_bucket(interval '6 hours', ts) as start, round(count(*) / (21600.0 * 5), 9) as rate, round(avg(value), 6) as mean_amplitude from events group by all")
+@query("""with e as (select time_bucket(interval '6 hours', ts) as start, event_type, count(*) as n, avg(value) as m from events group by all)
+select start, round(sum(n) / (21600.0 * 5), 9) as rate, round(sum(m) / 5, 6) as mean_amplitude from e group by start""")
 def window_rates(spark: SparkSession, d: str) -> DataFrame:
     return live.window_rates(_live(spark, d), "6 hours", 21600.0, 5).select(_start(), F.round("rate", 9).alias("rate"), r6("mean_amplitude").alias("mean_amplitude"))
 

@@ -20,10 +20,11 @@ def window_counts(spikes: DataFrame, width: str, late: str = "0 seconds") -> Dat
 
 
 def window_rates(spikes: DataFrame, width: str, seconds: float, electrodes: int, late: str = "0 seconds") -> DataFrame:
-    """(start, rate, mean_amplitude): rate per electrode and second, and mean amplitude, over all electrodes."""
-    w = F.window("ts", width)
-    rows = spikes.withWatermark("ts", late).groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.avg("amplitude").alias("mean_amplitude"))
-    return rows.select(F.col("w.start").alias("start"), (F.col("n") / (seconds * electrodes)).alias("rate"), "mean_amplitude")
+    """(start, rate, mean_amplitude): means over all ``electrodes`` of each one's spikes a second and of each one's mean
+    amplitude (0 for silent ones)."""
+    each = spikes.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "electrode").agg(F.count("*").alias("n"), F.avg("amplitude").alias("m"))
+    rows = each.groupBy(F.window(F.window_time("w"), width).alias("v")).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return rows.select(F.col("v.start").alias("start"), (F.col("n") / (seconds * electrodes)).alias("rate"), (F.col("m") / electrodes).alias("mean_amplitude"))
 
 
 def window_levels(samples: DataFrame, width: str = "1 second", late: str = "0 seconds") -> DataFrame:

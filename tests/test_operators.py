@@ -167,3 +167,40 @@ def test_buckets_change_nothing(spark):
     rows = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
     assert rows(O.intervals(points, ["cell_id"], tie=["id"])) == rows(O.intervals(points, ["cell_id"], tie=["id"], bucket=23))
     assert rows(J.last_mark(points, marks, ["cell_id"])) == rows(J.last_mark(points, marks, ["cell_id"], bucket=23))
+
+
+def test_correlogram_bins_exact_differences(spark):
+    """Bins are wider than the resolution: times floored to bins first would give bin 0 twice and no -1."""
+    df = spark.createDataFrame([("f", 1, 0), ("f", 1, 10), ("f", 2, 1), ("f", 2, 8), ("f", 2, 15)], "file string, cell_id int, t_us bigint")
+    rows = A.crosscorrelogram(df, ["file"], 2, 2, "correlation").collect()
+    want = {}
+    for x in (0, 10):
+        for y in (1, 8, 15):
+            if -5 <= y - x < 5:
+                b = int((y - x + 4 + 1) / 2) - 2
+                want[b] = want.get(b, 0) + 1
+    assert {r.bin: r.n for r in rows} == want == {1: 1, -1: 1}
+    down = ((2 - 4 / 16) * (3 - 9 / 16)) ** 0.5
+    assert all(abs(r.value - (1 - 6 / 16) / down) < 1e-9 for r in rows)
+
+
+def test_a_far_spike_makes_a_good_merge(spark):
+    points = spark.createDataFrame([(1, 0), (1, 100), (2, 1), (2, 101), (3, 1), (3, 500)], "cell_id int, t_us bigint")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a int, b int")
+    got = {r.b: (round(r.fraction, 3), r.ok) for r in M.refractory_test(pairs, points, 10, 0.1).collect()}
+    assert got == {2: (0.667, False), 3: (0.333, True)}  # 500 lies far from every spike of cell 1
+
+
+def test_filter_over_short_and_missing_chunks(spark):
+    trace = [float(x) for x in range(1, 9)]
+    rows = [(0, trace[:1]), (1, trace[1:2]), (2, trace[2:5]), (4, trace[5:])]
+    got = {r.chunk: r.data for r in O.fir_filtered(spark.createDataFrame(rows, "chunk int, data array<double>").withColumn("k", F.lit(1)), ["k"], [1.0, 10.0, 100.0]).collect()}
+    whole = [sum(h * trace[i - j] for j, h in enumerate([1, 10, 100]) if i >= j) for i in range(5)]
+    assert got[0] + got[1] + got[2] == whole and got[4] == [6.0, 67.0, 678.0]  # chunk 3 is missing: zeros before chunk 4
+
+
+def test_averages_go_by_frame_numbers(spark):
+    frames = spark.createDataFrame([(1, 0, [1.0]), (1, 1, [2.0]), (1, 3, [4.0])], "epoch_id int, frame bigint, pixels array<double>")
+    counts = spark.createDataFrame([(1, 7, 3, 2)], "epoch_id int, cell_id bigint, frame bigint, n bigint")
+    got = {(r.lag, r.total, r.n) for r in X.triggered_sums(counts, frames, 4).collect()}
+    assert got == {(0, 8.0, 2.0), (1, 0.0, 0.0), (2, 4.0, 2.0), (3, 2.0, 2.0)}
