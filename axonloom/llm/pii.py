@@ -106,7 +106,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 def _opaque(text: str) -> Column:
     """The opaque terms of a text as structs (start, kind number, end, value)."""
-    return F.filter(_places(text, OPAQUE, "secret"), lambda x: F.size(F.regexp_extract_all(x["v"], F.lit(SWITCH), F.lit(0))) >= SWITCHES)
+    found = F.filter(_places(text, OPAQUE, "secret"), lambda x: F.size(F.regexp_extract_all(x["v"], F.lit(SWITCH), F.lit(0))) >= SWITCHES)
+    return F.when(F.col(text).rlike("[A-Za-z0-9+/_=-]{16}"), found).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,v:string>>"))
 
 
 def _entities(spans: str) -> Column:
@@ -196,11 +197,15 @@ def spans(docs: DataFrame, alpha: float = ALPHA, margin: float = MARGIN, share:
     hidden, found = cut(secrets(held, n, share)), cut(disclosures(docs, alpha, margin, (held, n)))
     rows = base_spans(docs).withColumn("_opaque", _opaque("_text"))
     key = F.struct(F.coalesce(F.xxhash64("_text"), F.lit(0)).alias("a"), F.length("_text").alias("b"))
-    some = rows.where("size(_base) > 0 or size(_opaque) > 0")
     small = lambda x: F.broadcast(x) if x.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else x
     no_text = F.lit(None).cast("string")
-    told = some.select(key.alias("_key"), F.explode(_entities("_base")).alias("entity")).distinct().join(small(found), "entity").select("_key", F.when(F.col("removed"), F.col("term")).alias("gone"), "term", no_text.alias("secret"))
-    kept = some.select(key.alias("_key"), F.explode(F.transform("_opaque", lambda x: x["v"])).alias("secret")).distinct().join(small(hidden.withColumnRenamed("term", "secret")), "secret").select("_key", no_text.alias("gone"), no_text.alias("term"), "secret")
+    bare = docs.select(F.coalesce("text", F.lit("")).alias("_text"))
+    # each of the two searches the texts only for what it needs
+    kept = bare.select(key.alias("_key"), F.explode(F.transform(_opaque("_text"), lambda x: x["v"])).alias("secret")).distinct().join(small(hidden.withColumnRenamed("term", "secret")), "secret").select("_key", no_text.alias("gone"), no_text.alias("term"), "secret")
+    told = kept.where("false")
+    if not found.isEmpty():
+        with_base = base_spans(bare.withColumnRenamed("_text", "text")).where("size(_base) > 0")
+        told = with_base.select(key.alias("_key"), F.explode(_entities("_base")).alias("entity")).distinct().join(small(found), "entity").select("_key", F.when(F.col("removed"), F.col("term")).alias("gone"), "term", no_text.alias("secret"))
     terms = cut(told.unionByName(kept).groupBy("_key").agg(F.collect_set("gone").alias("_gone"), F.collect_set("term").alias("_terms"), F.collect_set("secret").alias("_secrets")))
     size = terms.agg(F.sum(F.size("_terms") + F.size("_secrets"))).first()[0] or 0
     joined = rows.withColumn("_key", key).join(F.broadcast(terms) if size <= BROADCAST_TERMS else terms, "_key", "left")
