@@ -22,10 +22,13 @@ def session(app: str = "axonloom", cores: str = "*", partitions: int = 8) -> Spa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where none is set (tests), a temporary folder."""
+    """Use the cluster's spark.checkpoint.dir; only where none is set and the master is local (tests), a temporary
+    folder. On a cluster that would be a folder of one machine, so it is refused."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="axonloom-ckpt-"))
 
 
