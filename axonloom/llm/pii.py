@@ -44,7 +44,7 @@ KINDS = [*PATTERNS, "removed", "general", "secret"]
 #: Shares of an entity's information, and of the largest possible information, that count as disclosure.
 ALPHA, SECRET = 0.8, 0.5
 #: Bits of evidence beyond the number of pairs that could have met, and minhashes of a line.
-MARGIN, SIGNATURES = 5.0, 4
+MARGIN, SIGNATURES = 4.0, 4
 #: Terms (or terms of texts, when they are applied) up to which they are broadcast; terms are words of this length at most.
 BROADCAST_TERMS = 20_000
 TERM = r"[\p{L}\p{N}]+"
@@ -136,7 +136,10 @@ def _contexts(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _signs(terms: Column) -> Column:
-    return F.array(*(F.array_min(F.transform(terms, lambda t, j=j: F.md5(F.concat(F.lit(f"{j}:"), t)))) for j in range(SIGNATURES)))
+    def least(j: int) -> Column:  # a function of one parameter: a second one would be the place in the array
+        return F.array_min(F.transform(terms, lambda t: F.md5(F.concat(F.lit(f"{j}:"), t))))
+
+    return F.array(*map(least, range(SIGNATURES)))
 
 
 def evidence(docs: DataFrame) -> tuple[DataFrame, float]:
