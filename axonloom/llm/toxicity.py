@@ -37,8 +37,10 @@ SAMPLE_ROWS = (1_200, 2_000)
 NEIGHBOURS, BLOCK, SHRINK, THRESHOLD = 15, 64, 0.5, 0.7
 #: Blocks that are opened first, queries that are searched together, and what single precision may miss.
 FIRST, TOGETHER, NEAR = 2, 64, 1e-5
+#: Bits by which a term's hash is looked up.
+TOP = 18
 #: Terms whose postings are dense at most; they lie in one of so many examples at least.
-DENSE, DENSE_SHARE = 1_024, 64
+DENSE, DENSE_SHARE = 2_048, 64
 #: What a term counts without any association with the label, and the chi-square that chance may reach.
 FLOOR, CHANCE = 0.02, 20.0
 PREFIXES = (4, 5, 6)
@@ -75,15 +77,27 @@ def _counted(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return text[at], key[at], np.diff(np.append(at, len(key)))
 
 
-def known_terms(vocabulary: np.ndarray, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place in the vocabulary, times) of the known terms, sorted by both."""
+def starts(vocabulary: np.ndarray) -> np.ndarray:
+    """Where the hashes with each value of the top ``TOP`` bits start in the sorted vocabulary."""
+    return np.searchsorted(vocabulary >> np.uint64(64 - TOP), np.arange((1 << TOP) + 1, dtype=np.uint64)).astype(np.int32)
+
+
+def known_terms(vocabulary: np.ndarray, start: np.ndarray, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in the vocabulary, times) of the known terms, sorted by both. ``start``: of starts()."""
     text, h = terms(texts)
-    if not len(vocabulary) or not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.searchsorted(vocabulary, h)
-    hit = vocabulary[np.minimum(at, len(vocabulary) - 1)] == h
-    key, times = np.unique(text[hit].astype(np.int64) * len(vocabulary) + at[hit], return_counts=True)
-    return key // len(vocabulary), key % len(vocabulary), times
+    top = (h >> np.uint64(64 - TOP)).astype(np.int64)
+    at, end = start[top], start[top + 1]
+    some = np.flatnonzero(at < end)
+    text, h, at, end = text[some], h[some], at[some], end[some]
+    keys = []
+    while len(h):  # few hashes share their top bits
+        hit = vocabulary[at] == h
+        keys.append(text[hit].astype(np.int64) * len(vocabulary) + at[hit])
+        at = at + 1
+        rest = ~hit & (at < end)
+        text, h, at, end = text[rest], h[rest], at[rest], end[rest]
+    key, times = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
+    return key // max(1, len(vocabulary)), key % max(1, len(vocabulary)), times
 
 
 def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,11 +112,11 @@ def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _frequencies(vocabulary: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(len(vocabulary) + 1, np.int64)
+        df, start = np.zeros(len(vocabulary) + 1, np.int64), starts(vocabulary)
         for batch in batches:
             for a, b, texts in sliced(batch.column(0)):
                 df[-1] += b - a
-                df[:-1] += np.bincount(known_terms(vocabulary, texts)[1], minlength=len(vocabulary))
+                df[:-1] += np.bincount(known_terms(vocabulary, start, texts)[1], minlength=len(vocabulary))
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "n"])
 
@@ -158,6 +172,7 @@ class Index:
 
     def __init__(self, vocabulary: np.ndarray, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, examples: list[tuple[np.ndarray, np.ndarray]], share: tuple[float, float] = (1.0, 1.0), block: int = BLOCK):
         self.vocabulary, self.weight, self.block = vocabulary, weight, block
+        self.start = starts(vocabulary)
         some = np.array([len(t) > 0 for t, _ in examples], bool)
         labels, ids = np.asarray(labels, float), np.asarray(ids, np.int64)
         each = np.where(labels > 0, 1 / share[0], 1 / share[1])
@@ -182,10 +197,12 @@ class Index:
         #: Column of the dense matrix of each term, -1 for those with postings.
         self.column = np.full(terms_, -1, np.int32)
         self.column[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), n), np.float32)
+        self.dense = np.zeros((n, len(often)), np.float32)
         full = self.column[col] >= 0
-        self.dense[self.column[col[full]], row[full]] = val[full]
+        self.dense[row[full], self.column[col[full]]] = val[full]
         self.block_by_example = (place // block).astype(np.int32)
+        by = np.argsort(self.block_by_example, kind="stable")
+        self.by_block, self.begins = by, np.searchsorted(self.block_by_example[by], np.arange(self.blocks))
         self.ptr, self.col, self.val = np.concatenate([[0], np.cumsum(size)]), col.astype(np.int32), val.astype(np.float32)
         row, col, val = row[~full], col[~full], val[~full]
         by = np.lexsort((place[row], col))
@@ -203,42 +220,41 @@ class Index:
         w = (1 + np.log(np.maximum(times, 1))) * self.weight[col]
         return w / np.sqrt(np.maximum(np.bincount(row, w * w, n), 1e-30))[row]
 
-    def cosines(self, row: np.ndarray, col: np.ndarray, w: np.ndarray, n: int, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, int]:
-        """Cosines (to single precision) of ``n`` queries with the examples of all blocks that can hold one of the k
-        largest, no more than the true ones elsewhere, and the number of blocks opened. ``leave``: an example each query
-        mustn't find."""
-        m = len(self.ids)
+    def cosines(self, row: np.ndarray, col: np.ndarray, w: np.ndarray, n: int, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The cosines of ``n`` queries with the examples in two parts: that of the postings, exact in all blocks that can
+        hold one of the k largest and 0 elsewhere, and that of the dense terms to single precision; and the queries'
+        weights of the dense terms. ``leave``: an example each query mustn't find."""
+        m, blocks = len(self.ids), self.blocks
         full = self.column[col] >= 0
-        query = np.zeros((n, len(self.dense)), np.float32)
+        query = np.zeros((n, self.dense.shape[1]))
         query[row[full], self.column[col[full]]] = w[full]
-        score = (query @ self.dense).astype(np.float64) if len(self.dense) else np.zeros((n, m))
+        part = query.astype(np.float32) @ self.dense.T
+        score = np.zeros((n, m))
         row, col, w = row[~full], col[~full], w[~full]
         at, of = _spread(self.entry[col], self.entry[col + 1] - self.entry[col])
-        query, block = row[of], self.block_of[at]
-        by = np.argsort(self.block_by_example, kind="stable")
-        begins = np.searchsorted(self.block_by_example[by], np.arange(self.blocks))
-        bound = np.maximum.reduceat(score[:, by], begins, axis=1) + np.bincount(query * self.blocks + block, w[of] * self.peak[at], n * self.blocks).reshape(n, self.blocks)
+        query_of, w = row[of], w[of]
+        cell = query_of * blocks + self.block_of[at]
+        bound = np.maximum.reduceat(part[:, self.by_block], self.begins, axis=1) + np.bincount(cell, w * self.peak[at], n * blocks).reshape(n, blocks)
 
         def open_(which: np.ndarray) -> None:
-            sel = which[query, block]
-            inner, up = _spread(self.below[at[sel]], self.below[at[sel] + 1] - self.below[at[sel]])
+            sel = np.flatnonzero(which.ravel()[cell])
+            first = self.below[at[sel]]
+            inner, up = _spread(first, self.below[at[sel] + 1] - first)
             if len(inner):
-                score.ravel()[:] += np.bincount(query[sel][up] * m + self.example[inner], w[of[sel]][up] * self.value[inner], score.size)
+                score.ravel()[:] += np.bincount((query_of[sel] * m)[up] + self.example[inner], w[sel][up] * self.value[inner], score.size)
             if leave is not None:
-                score[np.arange(n), leave] = 0
+                score[np.arange(n), leave] = part[np.arange(n), leave] = 0
 
         begun = np.zeros_like(bound, bool)
         np.put_along_axis(begun, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, 1)
         open_(begun)
-        kth = np.partition(score, -k, axis=1)[:, -k] if m >= k else np.zeros(n)
-        rest = ~begun & (bound >= kth[:, None] - NEAR)
-        open_(rest)
-        return score, int(begun.sum() + rest.sum())
+        kth = np.partition(score + part, -k, axis=1)[:, -k] if m >= k else np.zeros(n)
+        open_(~begun & (bound >= kth[:, None] - NEAR))
+        return score, part, query
 
     def near(self, row: np.ndarray, col: np.ndarray, w: np.ndarray, n: int, k: int = NEIGHBOURS, leave: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each of ``n`` queries (unit vectors, sorted by row) the k largest cosines above 0, best first, with their
-        examples' numbers. What can be among them is summed again in double precision."""
-        vector = np.zeros(len(self.vocabulary))
+        examples' numbers. Of what can be among them the dense part is summed again in double precision."""
         for lo in range(0, n, TOGETHER):
             hi = min(n, lo + TOGETHER)
             ends = np.searchsorted(row, np.arange(lo, hi + 1))
@@ -246,18 +262,13 @@ class Index:
             if not len(self.ids):
                 yield from [(np.zeros(0), np.zeros(0, np.int64))] * (hi - lo)
                 continue
-            score, _ = self.cosines(row[s] - lo, col[s], w[s], hi - lo, k, None if leave is None else leave[lo:hi])
-            least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.zeros(hi - lo)
+            score, part, query = self.cosines(row[s] - lo, col[s], w[s], hi - lo, k, None if leave is None else leave[lo:hi])
+            both = score + part
+            least = np.partition(both, -k, axis=1)[:, -k] if both.shape[1] >= k else np.zeros(hi - lo)
             for i in range(hi - lo):
-                own = slice(ends[i], ends[i + 1])
-                found = np.flatnonzero((score[i] >= least[i] - NEAR) & (score[i] > 0))
-                if not len(found):
-                    yield np.zeros(0), found
-                    continue
-                vector[col[own]] = w[own]
-                at, of = _spread(self.ptr[found], self.ptr[found + 1] - self.ptr[found])
-                cosine = np.bincount(of, vector[self.col[at]] * self.val[at], len(found))
-                vector[col[own]] = 0
+                found = np.flatnonzero((both[i] >= least[i] - NEAR) & (both[i] > 0))
+                # row by row, so that equal examples get equal sums
+                cosine = score[i, found] + (self.dense[found] * query[i]).sum(axis=1)
                 best = np.argsort(-cosine, kind="stable")[:k]
                 yield cosine[best], found[best]
 
@@ -270,10 +281,11 @@ class Index:
         votes = [self.vote(*x) for x in self.near(row, self.col, self.val, len(self.ids), leave=np.arange(len(self.ids)))]
         if votes:
             self.steps, self.values = isotonic(np.array(votes), self.labels, self.each)
+        del self.ptr, self.col, self.val  # queries need the postings and the dense matrix only
 
     def scores(self, texts: list[bytes | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
         """(score, cosines, examples) of each text."""
-        row, col, times = known_terms(self.vocabulary, texts)
+        row, col, times = known_terms(self.vocabulary, self.start, texts)
         for cosine, found in self.near(row, col, self.unit(row, col, times, len(texts)), len(texts)):
             if not len(found):
                 yield self.bare, cosine, found
