@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonloom.llm import bpe, decontaminate, language, licenses, pii, quality_model, quality_rules, sharding, simhash, toxicity
+from axonloom.llm import bpe, decontaminate, language, licenses, periodic, pii, quality_model, quality_rules, sharding, simhash, toxicity
 from axonloom.llm.textops import table
 
 
@@ -70,9 +70,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(4, 2), "lang_pred", "score")
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.runs(periodic.planted(table(spark, sf_dir, "documents")))
+    best = periodic.longest(F.col("runs"))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(periodic.listed_runs(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_toxicity, op3_quality_rules, op4_licenses, op5_pii, op6_bpe, op7_sharding, op8_quality, op9_simhash, op10_language)
+    for f in (op1_decontaminate, op2_toxicity, op3_quality_rules, op4_licenses, op5_pii, op6_bpe, op7_sharding, op8_quality, op9_simhash, op10_language, op11_periodic)
 }
 
 OP1_SQL = r"""
@@ -111,4 +121,23 @@ f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_fail
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {' and '.join(tests)} as kept from f"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_quality_rules": op3_sql(), "op5_pii": pii.found_sql(), "op7_sharding": sharding.sharded_sql(40)}
+#: Squares with at least 12 words contain six words that return a period later: stretches of such returns are runs.
+OP11_SQL = rf"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, {sharding.crc32_sql("doc_id::varchar")} as h from documents),
+k as (select doc_id, w, len(w) as n, case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) end as a, h // 10 as g from w),
+p as (select doc_id, w, n, a, 1 + (n - a) // (3 + g % 8) as p from k),
+d as (select doc_id, n, case when a is null then w else list_transform(range(n), lambda i: w[case when i < a then i else a + (i - a) % p end + 1]) end as w from p),
+s as (select doc_id, i, array_to_string(w[i:i + 5], ' ') as g from (select doc_id, w, unnest(range(1, n - 4)) as i from d where n >= 12)),
+m as (select x.doc_id, x.i, y.i - x.i as q from s x join s y on x.doc_id = y.doc_id and x.g = y.g and x.i < y.i),
+r as (select doc_id, min(i) - 1 as start, count(*) + 5 + q as length, q
+      from (select doc_id, i, q, i - row_number() over (partition by doc_id, q order by i) as island from m) group by doc_id, q, island),
+runs as (select doc_id, start, length, min(q) as period from r where length >= greatest(12, 2 * q) group by doc_id, start, length),
+listed as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as runs,
+             arg_min({{'start': start, 'length': length, 'period': period}}, (-length, start, period)) as best from runs group by doc_id),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from runs),
+kept as (select doc_id, string_agg(x, ' ' order by i) as kept from (select doc_id, unnest(w) as x, unnest(range(n)) as i from d) left join gone using (doc_id, i) where gone.doc_id is null group by doc_id)
+select doc_id, coalesce(n_runs, 0) as n_runs, best.start as start, best.length as length, best.period as period, 1000 * best.length // best.period as exponent_milli,
+       sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from d left join listed using (doc_id) left join kept using (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_quality_rules": op3_sql(), "op5_pii": pii.found_sql(), "op7_sharding": sharding.sharded_sql(40), "op11_periodic": OP11_SQL}

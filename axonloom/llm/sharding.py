@@ -87,10 +87,13 @@ def _crc_table() -> list[int]:
     return [reduce(lambda v, _: step(v), range(8), i) for i in range(256)]
 
 
-_CRC_SQL = (
-    "xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint), "
-    f"lambda c, b: xor(({_crc_table()}::bigint[])[xor(c, b) % 256 + 1], c // 256), 4294967295::bigint), 4294967295::bigint)"
-)
+
+def crc32_sql(text: str) -> str:
+    """The unsigned checksum of a string expression's UTF-8 bytes in DuckDB's SQL."""
+    return (
+        f"xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::bigint), "
+        f"lambda c, b: xor(({_crc_table()}::bigint[])[xor(c, b) % 256 + 1], c // 256), 4294967295::bigint), 4294967295::bigint)"
+    )
 
 
 def sharded_sql(shards: int = 40, base: tuple[int, int, int] = BASE) -> str:
@@ -114,7 +117,7 @@ def sharded_sql(shards: int = 40, base: tuple[int, int, int] = BASE) -> str:
 
     crc = "text_crc32"
     return f"""
-with base as (select doc_id, coalesce(strlen(text), 0) + 16 as size, {_CRC_SQL} as {crc}, coalesce(doc_id::varchar, '') as k from documents),
+with base as (select doc_id, coalesce(strlen(text), 0) + 16 as size, {crc32_sql("coalesce(text, '')")} as {crc}, coalesce(doc_id::varchar, '') as k from documents),
 placed as (select *, ({down(tree(shards, base))})::int as shard, ({down(tree(shards + 1, base))})::int as grown_shard from base)
 select doc_id, size::bigint as size, {crc}, 'key' as law, shard,
        row_number() over (partition by shard order by doc_id, size, {crc}) - 1 as slot, grown_shard from placed"""
