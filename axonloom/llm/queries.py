@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonloom.llm import bpe, decontaminate, language, licenses, periodic, pii, quality_model, quality_rules, sharding, simhash, toxicity
+from axonloom.llm import bpe, decontaminate, imatch, language, licenses, periodic, pii, quality_model, quality_rules, sharding, simhash, toxicity, variants
 from axonloom.llm.textops import table
 
 
@@ -80,9 +81,27 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited(table(spark, sf_dir, "documents"))
+
+
+def _mistyped(doc_id: bytes, word: bytes) -> bytes:
+    """Of every 199th pair of document and word (by its checksum) the word without one letter."""
+    h = zlib.crc32(b"%s:%s" % (doc_id, word))
+    if h % 199:
+        return word
+    letters = word.decode()
+    at = h % len(letters)
+    return (letters[:at] + letters[at + 1 :]).encode()
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(variants.vocabulary(table(spark, sf_dir, "documents"), change=_mistyped))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_toxicity, op3_quality_rules, op4_licenses, op5_pii, op6_bpe, op7_sharding, op8_quality, op9_simhash, op10_language, op11_periodic)
+    for f in (op1_decontaminate, op2_toxicity, op3_quality_rules, op4_licenses, op5_pii, op6_bpe, op7_sharding, op8_quality, op9_simhash, op10_language, op11_periodic, op12_imatch, op13_variants)
 }
 
 OP1_SQL = r"""
@@ -140,4 +159,19 @@ select doc_id, coalesce(n_runs, 0) as n_runs, best.start as start, best.length a
        sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
 from d left join listed using (doc_id) left join kept using (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_quality_rules": op3_sql(), "op5_pii": pii.found_sql(), "op7_sharding": sharding.sharded_sql(40), "op11_periodic": OP11_SQL}
+OP13_SQL = rf"""
+with recursive o as (select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w from documents),
+c as (select doc_id, w, count(*) as c from o group by doc_id, w),
+h as (select w, c, {sharding.crc32_sql("doc_id::varchar || ':' || w")} as h from c),
+v as materialized (select word, sum(c)::bigint as n from (select case when h % 199 = 0 then substring(w, 1, h % length(w)) || substring(w, h % length(w) + 2) else w end as word, c from h)
+      group by word having sum(c) >= {variants.LEAST} and length(word) >= {variants.SHORTEST}),
+less as materialized (select word, i, substring(word, 1, i - 1) || substring(word, i + 1) as d from (select word, unnest(range(1, length(word) + 1)) as i from v)),
+near as (select a.word as a, b.word as b from less a join v b on a.d = b.word union select b.word, a.word from less a join v b on a.d = b.word
+         union select a.word, b.word from less a join less b on a.d = b.d and a.i = b.i and a.word <> b.word),
+best as (select a as word, count(*) as n_near, arg_min({{'form': b, 'n': n}}, (-n, b)) as best from near join v on b = word group by a),
+f as materialized (select word, n, coalesce(n_near, 0) as n_near, case when best.n >= {variants.RATIO} * n then best.form end as form, case when best.n >= {variants.RATIO} * n then best.n end as form_n from v left join best using (word)),
+chain as (select word, form as root from f where form is not null union all select chain.word, f.form from chain join f on chain.root = f.word where f.form is not null),
+roots as (select chain.word, root from chain join f on root = f.word where f.form is null)
+select word, form, coalesce(root, word) as root, n, n_near, form_n from f left join roots using (word)"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_quality_rules": op3_sql(), "op5_pii": pii.found_sql(), "op7_sharding": sharding.sharded_sql(40), "op11_periodic": OP11_SQL, "op12_imatch": imatch.edited_sql(), "op13_variants": OP13_SQL}
