@@ -108,10 +108,11 @@ def folded(points: DataFrame, keys: Sequence[str], period: int, width: int, t: s
 # ---- intervals and correlograms
 
 
-def isi_histogram(points: DataFrame, keys: Sequence[str], width: int, bins: int, normalise: str = "in_range", tie: Sequence[str] = (), bucket: int | None = None) -> DataFrame:
+def isi_histogram(points: DataFrame, keys: Sequence[str], width: int, bins: int, normalise: str = "in_range", tie: Sequence[str] = (), bucket: int | None = None, within: Sequence[str] = ()) -> DataFrame:
     """(cell keys, bin, n, fraction): interval counts below bins * width. ``normalise``: 'in_range' divides by the
-    counts in range, 'all' by all intervals."""
-    rows = intervals(points, keys, tie=tie, bucket=bucket).where("isi is not null").withColumn("bin", floor_div("isi", width))
+    counts in range, 'all' by all intervals. Intervals don't lead from one value of the columns ``within`` (epochs) to
+    another; those of all values are pooled."""
+    rows = intervals(points, [*keys, *within], tie=tie, bucket=bucket).where("isi is not null").withColumn("bin", floor_div("isi", width))
     inside = F.col("bin") < bins
     counts = rows.groupBy(*keys, F.when(inside, F.col("bin")).alias("bin")).agg(F.count("*").alias("n"))
     w = W.partitionBy(*keys)
@@ -179,6 +180,19 @@ def consecutive_correlogram(points: DataFrame, keys: Sequence[str], lag_bins: in
     return counts.withColumn("probability", F.col("n") / F.sum("n").over(W.partitionBy(*keys)))
 
 
+def consecutive_correlation(points: DataFrame, keys: Sequence[str], lag_bins: int, width: int, unit: int = 1, tie: Sequence[str] = ()) -> DataFrame:
+    """(keys, bin, n, value): the same counts of all bins 0..lag_bins, of intervals up to lag_bins * width, less the mean
+    k * k / T and over k - k * k / T, with k one less than the points and T from the first to the last but one, plus one;
+    times in ``unit``. Keys with fewer than two points are missing."""
+    rows = intervals(points.withColumn("t_us", floor_div("t_us", unit)), keys, tie=tie).where("isi is not null")
+    k = F.col("_k").cast("double")
+    per = rows.groupBy(*keys).agg(F.count("*").alias("_k"), (F.max(F.col("t_us") - F.col("isi")) - F.min(F.col("t_us") - F.col("isi")) + 1).alias("_t"))
+    dense = per.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lag_bins).cast("bigint"))))
+    counts = rows.where(F.col("isi") <= lag_bins * width).groupBy(*keys, floor_div("isi", width).alias("bin")).agg(F.count("*").alias("n"))
+    mean = k * k / F.col("_t")
+    return dense.join(counts, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0)).alias("n"), ((F.coalesce("n", F.lit(0)) - mean) / F.nullif(k - mean, F.lit(0.0))).alias("value"))
+
+
 def coincidence(points: DataFrame, keys: Sequence[str], lag_bins: int, width: int, moving: int, unit: int = 1) -> DataFrame:
     """(keys, a, b, p): the largest sum of ``moving`` neighbouring lag bins over the smaller train's size."""
     ccg = crosscorrelogram(points, keys, lag_bins, width, unit=unit)

@@ -224,48 +224,6 @@ def assigned(points: DataFrame, models: DataFrame, key: str = "electrode") -> Da
     return points.join(table, key).withColumn("cluster", -F.array_max(F.transform("m", density))["k"]).drop("m")
 
 
-def bimodal(points: DataFrame, key: str, least: int = 300, bins: int = 30) -> DataFrame:
-    """(key, score): depth of the dip between the two modes of a signed projection on the line of two means, for keys
-    with enough points; 1 is two separate modes."""
-    big = points.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(key)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf.p.to_numpy()).astype(float)
-        far = x[np.argmax(((x - x.mean(0)) ** 2).sum(1))]
-        c = np.stack([far, x[np.argmax(((x - far) ** 2).sum(1))]])
-        for _ in range(20):
-            side = ((x[:, None] - c) ** 2).sum(2).argmin(1)
-            c = np.stack([x[side == s].mean(0) if (side == s).any() else c[s] for s in (0, 1)])
-        n = np.histogram((x - c.mean(0)) @ (c[1] - c[0]), bins)[0]
-        n = np.convolve(n, np.ones(3) / 3, "same")
-        half = bins // 2
-        a, b = int(n[:half].argmax()), half + int(n[half:].argmax())
-        dip, peak = n[a : b + 1].min(), min(n[a], n[b])
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "score": [float(1 - dip / peak) if peak > 0 else 0.0]})
-
-    return points.join(big, key, "left_semi").select(key, "p").groupBy(key).applyInPandas(run, f"{key} {dict(points.dtypes)[key]}, score double")
-
-
-def clipped_sigma(samples: DataFrame, key: str, x: str, sigmas: float = 3.0, least_change: float = 0.01, rounds: int = 10) -> DataFrame:
-    """(key, sigma, passes): deviation of the samples within ``sigmas`` of the mean, repeated until it stays. The
-    sums of earlier passes are kept, as in the procedure this follows. Feed a few seconds of signal."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf[x].to_numpy(float)
-        mean, sd, n, s, q = v.mean(), v.std(), 0.0, 0.0, 0.0
-        for i in range(1, rounds + 1):
-            inside = v[np.abs(v - mean) <= sigmas * sd]
-            n, s, q = n + len(inside), s + inside.sum(), q + (inside**2).sum()
-            mean = s / max(n, 1)
-            new = float(np.sqrt(max(q / max(n, 1) - mean**2, 0)))
-            done, sd = abs(new - sd) <= least_change, new
-            if done:
-                break
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "sigma": [sd], "passes": [i]})
-
-    return samples.select(key, x).groupBy(key).applyInPandas(run, f"{key} {dict(samples.dtypes)[key]}, sigma double, passes int")
-
-
 def noise_events(points: DataFrame, keys: Sequence[str], length: int, per_key: int, void: int, seed: int = 1) -> DataFrame:
     """Random times at least ``void`` from every point of their key; reproducible from the seed and the key."""
     from axonloom.operators.joins import nearest_gap

@@ -120,11 +120,19 @@ def with_default(rows: DataFrame, labels: DataFrame, key: str, column: str, defa
     return rows.join(labels.select(key, column), key, "left").withColumn(column, F.coalesce(F.col(column), F.lit(default)))
 
 
-def correlated_pairs(vectors: DataFrame, least: float, keys: Sequence[str] = (), blocks: int = 8, right: DataFrame | None = None, centred: bool = True, name: str = "r") -> DataFrame:
+#: Vectors of a block of a correlation product.
+BLOCK_ROWS = 2_000
+
+
+def correlated_pairs(vectors: DataFrame, least: float, keys: Sequence[str] = (), blocks: int | None = None, right: DataFrame | None = None, centred: bool = True, name: str = "r") -> DataFrame:
     """(a, b, r) with Pearson correlation (or cosine, if not ``centred``) of at least ``least``; pairs a < b of one
     side, or all a of ``vectors`` with b of ``right``. Vectors are unit-scaled once and dealt into hash blocks; each
     pair of blocks is one matrix product in one task, so memory is two blocks and only pairs over the limit leave it.
-    A vector without spread correlates 0."""
+    Unless ``blocks`` is given, a block holds about ``BLOCK_ROWS`` vectors of the largest key. A vector without spread
+    correlates 0."""
+    if blocks is None:
+        largest = [df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0 for df in (vectors, *([] if right is None else [right]))]
+        blocks = max(1, -(-max(largest) // BLOCK_ROWS))
     n = F.size("v")
     mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / n if centred else F.lit(0.0)
     moved = F.transform("v", lambda x: x - F.col("_m"))
@@ -163,13 +171,6 @@ def correlated_pairs(vectors: DataFrame, least: float, keys: Sequence[str] = (),
     return left.groupBy(*group).cogroup(across.groupBy(*group)).applyInPandas(product, schema)
 
 
-def shifted_electrodes(waves: DataFrame, shifts: dict[int, dict[int, int]]) -> DataFrame:
-    """``waves`` repeated per shift number with electrodes renamed by that shift's map (unmapped electrodes go)."""
-    rows = [(s, a, b) for s, moved in shifts.items() for a, b in moved.items()]
-    table = waves.sparkSession.createDataFrame(rows, "shift int, electrode int, moved int")
-    return waves.join(table, "electrode").drop("electrode").withColumnRenamed("moved", "electrode")
-
-
 def chunk_snippets(events: DataFrame, chunks: DataFrame, left: int, right: int, size: int, keys: Sequence[str]) -> DataFrame:
     """Samples [t - left, t + right] around each event from chunked traces (keys, chunk, data): an event meets the
     chunks that its window touches, each gives its slice, and the slices are put together in order."""
@@ -182,23 +183,3 @@ def chunk_snippets(events: DataFrame, chunks: DataFrame, left: int, right: int,
     parts = met.groupBy(*events.columns).agg(F.array_sort(F.collect_list(F.struct("chunk", part.alias("p")))).alias("_p"))
     joined = parts.withColumn("snippet", F.flatten(F.transform("_p", lambda x: x["p"]))).drop("_p")
     return joined.where(F.size("snippet") == left + right + 1)
-
-
-def ranked_matches(pairs: DataFrame, keys: Sequence[str], least: float) -> DataFrame:
-    """Greedy one-to-one matches: best correlation first, each source and target once (ties: smaller ids). The pairs
-    over ``least`` of one key go to one helper call; they are few, as each is a candidate of two recordings."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, rows = set(), set(), []
-        for r in pdf.sort_values(["r", "a", "b"], ascending=[False, True, True]).itertuples(index=False):
-            if r.a not in used_a and r.b not in used_b:
-                used_a.add(r.a)
-                used_b.add(r.b)
-                rows.append(r)
-        return pd.DataFrame(rows, columns=pdf.columns)
-
-    cols = [*keys, "a", "b", "r"]
-    types = dict(pairs.dtypes)
-    return pairs.where(F.col("r") >= least).select(*cols).groupBy(*keys).applyInPandas(pick, ", ".join(f"{c} {types[c]}" for c in cols))
-
-

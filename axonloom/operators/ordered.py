@@ -125,12 +125,15 @@ def every_kth(points: DataFrame, keys: Sequence[str], wanted: int, t: str = "t_u
 
 
 def fir_filtered(chunks: DataFrame, keys: Sequence[str], taps: Sequence[float]) -> DataFrame:
-    """Causal FIR filter of chunked traces (keys, chunk, data): each chunk takes the end of those right before it along
-    as overlap (of several, if they are short), by a window over chunks, and is convolved alone. The trace starts on
+    """Causal FIR filter of chunked traces (keys, chunk, data): each chunk takes the last samples before it along as
+    overlap, by a window over as many chunks as hold them, and is convolved alone (overlap-save). The trace starts on
     zeros, and again after a missing chunk."""
     k = len(taps) - 1
+    inner = chunks.select(F.size("data").alias("n"), (F.lead("chunk").over(_w(keys, ["chunk"])) == F.col("chunk") + 1).alias("on")).where("on")
+    shortest = inner.agg(F.min("n")).first()[0] or 1
+    reach = min(k, -(-k // shortest))  # chunks that hold k samples, whatever their sizes
     end = F.struct("chunk", F.slice(F.col("data").cast("array<double>"), F.greatest(F.size("data") - k + 1, F.lit(1)), F.lit(k)).alias("data"))
-    past = F.collect_list(end).over(_w(keys, ["chunk"]).rowsBetween(-k, -1))
+    past = F.collect_list(end).over(_w(keys, ["chunk"]).rowsBetween(-reach, -1))
     near = F.filter("_past", lambda x, i: x["chunk"] == F.col("chunk") - F.size("_past") + i)  # those without a gap up to here
     lead = F.concat(F.array_repeat(F.lit(0.0), k), F.flatten(F.transform(near, lambda x: x["data"])))
     rows = chunks.withColumn("_past", past).withColumn("_tail", F.slice(lead, -k, k)).drop("_past") if k else chunks.withColumn("_tail", F.array().cast("array<double>"))
@@ -174,58 +177,3 @@ def checked_frames(frames: DataFrame, keys: Sequence[str], t: str, fastest: floa
 
 def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(_w(keys, order)))
-
-
-def detect(x: np.ndarray, alpha: float, threshold: float, state: dict | None = None) -> tuple[list[tuple[int, int, float]], dict]:
-    """Spikes of one trace as (start, peak, amplitude): the amplitude is an exponential mean less the signal; a run
-    above the threshold is a spike with its largest amplitude. ``state`` carries mean and an open run over chunks."""
-    s = dict(state) if state else {"mean": float(x[0]) if len(x) else 0.0, "at": 0, "open": None}
-    found, mean, run, at = [], s["mean"], s["open"], s["at"]
-    for v in x.tolist():
-        amp = mean - v
-        if amp > threshold:
-            if run is None:
-                run = [at, at, amp]
-            elif amp > run[2]:
-                run[1], run[2] = at, amp
-        elif run is not None:
-            found.append((run[0], at, run[1], run[2]))
-            run = None
-        mean += alpha * (v - mean)
-        at += 1
-    return [(a, p, m, e) for a, e, p, m in found], {"mean": mean, "at": at, "open": run}
-
-
-def detected_spikes(chunks: DataFrame, keys: Sequence[str], alpha: float, threshold: float, refractory: int, longest: int, warm_up: int) -> DataFrame:
-    """(keys, t, amplitude) of spikes in chunked traces (keys, chunk, size, data): every chunk is scanned on its own
-    with the end of the one before as warm-up, so a trace isn't bound to one task. A run belongs to the chunk in which
-    it starts; what a warm-up finds is dropped. A spike needs ``refractory`` since the previous peak and at most
-    ``longest`` samples."""
-    w = _w(keys, ["chunk"])
-    prior = F.lag("data").over(w)
-    before = F.when(F.lag("chunk").over(w) == F.col("chunk") - 1, F.slice(prior, F.greatest(F.size(prior) - warm_up + 1, F.lit(1)), warm_up))
-    after = F.when(F.lead("chunk").over(w) == F.col("chunk") + 1, F.slice(F.lead("data").over(w), 1, longest + 1))
-    near = chunks.withColumn("_before", before).withColumn("_after", after)
-    types = dict(chunks.dtypes)
-
-    def scan(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                lead = np.asarray(r[-2] if r[-2] is not None else [], float)
-                tail = np.asarray(r[-1] if r[-1] is not None else [], float)
-                data = np.asarray(r.data, float)
-                spikes, rest = detect(np.concatenate([lead, data, tail]), alpha, threshold)
-                if rest["open"]:
-                    spikes.append((rest["open"][0], rest["open"][1], rest["open"][2], rest["at"]))
-                base = int(r.chunk) * int(r.size) - len(lead)
-                for a, p, m, e in spikes:
-                    if len(lead) <= a < len(lead) + len(data) and e - a <= longest:
-                        rows.append((*(getattr(r, k) for k in keys), base + p, m))
-            yield pd.DataFrame(rows, columns=[*keys, "t", "amplitude"])
-
-    cols = [*keys, "chunk", "size", "data", "_before", "_after"]
-    found = near.select(*cols).mapInPandas(scan, ", ".join([*(f"{k} {types[k]}" for k in keys), "t bigint", "amplitude double"]))
-    back = F.col("t") - F.lag("t").over(_w(keys, ["t"]))
-    return found.withColumn("_g", back).where(F.col("_g").isNull() | (F.col("_g") > refractory)).drop("_g")
-

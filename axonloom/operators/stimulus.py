@@ -8,8 +8,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from axonloom.operators.joins import interval_join
+
 
 def noise_frames(epochs: DataFrame, pixels: int, stride: int = 1, kind: str = "binary", repeat: int = 0, density: float = 0.1) -> DataFrame:
     """(epoch_id, frame, pixels): noise of each epoch's seed, n_frames long, every image shown ``stride`` frames.
@@ -89,3 +92,22 @@ def channel_averages(rows: DataFrame, channels: int, achromatic: int) -> DataFra
     spikes under non-achromatic stimuli. Rows: (cell_id, lag, color, n, v, kind)."""
     counts = F.when((F.col("color") == channels - 1) & (F.col("kind") == achromatic), 0).otherwise(F.col("n"))
     return rows.groupBy("cell_id", "lag", "color").agg((F.sum(counts * F.col("v")) / F.nullif(F.sum(counts), F.lit(0))).alias("value"))
+
+
+def grating_counts(spikes: DataFrame, marks: DataFrame, runs: DataFrame, bucket_us: int) -> DataFrame:
+    """(cell_id, spatial, temporal, direction, n): spikes of each run from its second mark up to its second-last one,
+    summed over the runs of a condition. ``marks``: (file, run, t_us); ``runs``: (file, run, spatial, temporal, direction).
+    Marks are ranked from both ends; a run with fewer than four marks, or none between, has no window. Conditions of a cell
+    without spikes are missing."""
+    up, down = (W.partitionBy("file", "run").orderBy(order) for order in (F.asc("t_us"), F.desc("t_us")))
+    ends = marks.select("file", "run", "t_us", F.row_number().over(up).alias("_up"), F.row_number().over(down).alias("_down")).groupBy("file", "run")
+    windows = ends.agg(F.max(F.when(F.col("_up") == 2, F.col("t_us"))).alias("start_us"), F.max(F.when(F.col("_down") == 2, F.col("t_us"))).alias("_end"))
+    windows = windows.withColumn("dur_us", F.col("_end") - F.col("start_us")).where("dur_us > 0").join(runs, ["file", "run"])
+    inside = interval_join(spikes.select("file", "cell_id", "t_us"), windows.drop("_end"), bucket_us, ["file"])
+    return inside.groupBy("cell_id", "spatial", "temporal", "direction").agg(F.count("*").alias("n"))
+
+
+def grating_table(counts: DataFrame) -> DataFrame:
+    """``counts`` and, with direction null, their mean over the directions of a cell and condition."""
+    means = counts.groupBy("cell_id", "spatial", "temporal").agg(F.avg("n").alias("rate"))
+    return counts.withColumn("rate", F.col("n").cast("double")).drop("n").unionByName(means.withColumn("direction", F.lit(None).cast(dict(counts.dtypes)["direction"])))

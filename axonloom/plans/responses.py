@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from axonloom.functions import scalars as S
 from axonloom.operators import aggregates as A
 from axonloom.operators import joins as J
+from axonloom.operators import stimulus as X
 from axonloom.operators import ordered as O
 from axonloom.plans.registry import query
 from axonloom.tables import DAY_US, HOUR_US, epochs, floor_div, spikes, table, triggers, vectors, waveforms, with_sql
@@ -113,6 +114,13 @@ def isi_histogram_all(spark: SparkSession, d: str) -> DataFrame:
     return A.isi_histogram(spikes(spark, d), ["cell_id"], H, 24, "all", tie=["event_id"], bucket=7 * DAY_US).withColumn("fraction", r6("fraction"))
 
 
+@query(_IN + """, i as (select cell_id, t_us - lag(t_us) over (partition by cell_id, epoch_id order by t_us, event_id) as isi from j),
+h as (select cell_id, isi // 3600000000 as bin, count(*) as n from i where isi // 3600000000 < 24 group by all) select cell_id, bin, n, round(n / sum(n) over (partition by cell_id), 6) as fraction from h""")
+def isi_histogram_epochs(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals inside epochs, pooled over the epochs of a cell."""
+    return A.isi_histogram(in_epochs(spark, d), ["cell_id"], H, 24, tie=["event_id"], within=["epoch_id"]).withColumn("fraction", r6("fraction"))
+
+
 @query(_ISI + _HIST + ", f as (select cell_id, bin, n / sum(n) over (partition by cell_id) as fraction from h where bin is not null) select cell_id, round(100 * sum(case when bin < 3 then fraction else 0 end), 6) as refractory from f group by cell_id")
 def refractory_percent(spark: SparkSession, d: str) -> DataFrame:
     h = A.isi_histogram(spikes(spark, d), ["cell_id"], H, 24, tie=["event_id"], bucket=7 * DAY_US)
@@ -165,6 +173,15 @@ def isi_correlogram(spark: SparkSession, d: str) -> DataFrame:
     return A.consecutive_correlogram(spikes(spark, d), ["cell_id"], 20, H, tie=["event_id"]).withColumn("probability", r6("probability"))
 
 
+@query(with_sql("spikes") + """, i as (select cell_id, t_us // 1000 as t, lag(t_us // 1000) over (partition by cell_id order by t_us // 1000, event_id) as p from spikes),
+k as (select cell_id, count(*) as k, max(p) - min(p) + 1 as t from i where p is not null group by cell_id),
+c as (select cell_id, (t - p) // 3600000 as bin, count(*) as n from i where t - p <= 72000000 group by all)
+select k.cell_id, b as bin, coalesce(n, 0) as n, round((coalesce(n, 0) - k::double * k / t) / nullif(k - k::double * k / t, 0), 6) as value from k cross join range(21) r(b) left join c on c.cell_id = k.cell_id and c.bin = b""")
+def isi_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """The consecutive correlogram less its mean, in units of its deviation."""
+    return A.consecutive_correlation(spikes(spark, d), ["cell_id"], 20, H // 1000, 1_000, tie=["event_id"]).withColumn("value", r6("value"))
+
+
 @query(_CCG + """, w as (select file, a, b, s, sum(n) as w from (select *, unnest(range(bin - 1, bin + 1)) as s from c) group by all), m as (select file, a, b, max(w) as w from w group by all), s as (select file, cell_id, count(*) as k from spikes group by all)
 select m.file, a, b, x.k as n_a, y.k as n_b, round(w / least(x.k, y.k), 6) as p from m join s x on x.file = m.file and x.cell_id = a join s y on y.file = m.file and y.cell_id = b""")
 def coincidence(spark: SparkSession, d: str) -> DataFrame:
@@ -210,6 +227,19 @@ def grating_rollup(spark: SparkSession, d: str) -> DataFrame:
     return rows.fillna(-1, ["cell_id", "contrast", "orientation"])
 
 
+@query(with_sql("spikes", "epochs") + """, m as (select s.file, epoch_id as run, t_us, row_number() over (partition by s.file, epoch_id order by t_us) as u, row_number() over (partition by s.file, epoch_id order by t_us desc) as d
+  from spikes s join epochs e on s.file = e.file and t_us >= start_us and t_us < start_us + dur_us where channel = 'signup'),
+w as (select file, run, max(case when u = 2 then t_us end) as a, max(case when d = 2 then t_us end) as b from m group by all having b > a),
+c as (select s.cell_id, run % 3 as spatial, run % 2 as temporal, (run % 8 * 45)::double as direction, count(*) as n from w join spikes s on s.file = w.file and s.t_us >= a and s.t_us < b group by all)
+select cell_id, spatial, temporal, direction, n::double as rate from c union all select cell_id, spatial, temporal, null, round(avg(n), 6) from c group by all""")
+def grating_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Spikes between the second and the second-last mark of each run, by condition, with the mean over directions."""
+    marks = J.interval_join(spikes(spark, d).where("channel = 'signup'"), epochs(spark), DAY_US, ["file"]).select("file", F.col("epoch_id").alias("run"), "t_us")
+    run = F.col("epoch_id")
+    runs = epochs(spark).select("file", run.alias("run"), (run % 3).alias("spatial"), (run % 2).alias("temporal"), F.col("orientation").cast("double").alias("direction"))
+    return X.grating_table(X.grating_counts(spikes(spark, d), marks, runs, 6 * H)).withColumn("rate", r6("rate"))
+
+
 @query(_IN + ", c as (select cell_id, log2(1 + orientation / 45) as x, count(*) as n from j group by all), m as (select cell_id, sum(n * x) / sum(n) as m, sum(n * x * x) / sum(n) as q from c group by all) select cell_id, round(m, 6) as mean, round(sqrt(greatest(q - m * m, 0)), 6) as rms from m")
 def log_tuning(spark: SparkSession, d: str) -> DataFrame:
     """Spike-weighted mean and deviation on a log axis."""

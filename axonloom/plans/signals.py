@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from axonloom.functions import scalars as S
 from axonloom.operators import aggregates as A
 from axonloom.operators import clustering as C
+from axonloom.operators import greedy as G
 from axonloom.operators import joins as J
 from axonloom.operators import ordered as O
 from axonloom.plans.registry import query
@@ -233,11 +234,16 @@ def shifted_correlation(spark: SparkSession, d: str) -> DataFrame:
     return found.where("a <> b").groupBy("a", "b").agg(r6(F.max("r")).alias("r"))
 
 
-@query()
+@query("with recursive " + _UNIT.removeprefix("with ") + """, p as (select a.class as class, a.cell_id as a, b.cell_id as b, list_inner_product(a.v, b.v) as r from u a join u b on a.class = b.class and a.cell_id < b.cell_id where list_inner_product(a.v, b.v) >= 0.3),
+e as materialized (select *, row_number() over (partition by class order by r desc, a, b) as i from p),
+g as (select distinct class, 0::bigint as i, []::bigint[] as ua, []::bigint[] as ub, null::bigint as a, null::bigint as b, 0.0::double as r from e
+      union all select g.class, e.i, case when free then list_append(ua, e.a) else ua end, case when free then list_append(ub, e.b) else ub end, case when free then e.a end, e.b, e.r
+      from g join e on e.class = g.class and e.i = g.i + 1, lateral (select not list_contains(ua, e.a) and not list_contains(ub, e.b) as free))
+select class, a, b, round(r, 6) as r from g where a is not null""")
 def ranked_matches(spark: SparkSession, d: str) -> DataFrame:
     """Greedy one-to-one matches within a class."""
-    pairs = J.correlated_pairs(vectors(spark, d), 0.45, keys=["class"], blocks=2)
-    return J.ranked_matches(pairs, ["class"], 0.45).withColumn("r", r6("r"))
+    pairs = J.correlated_pairs(vectors(spark, d), 0.3, keys=["class"])
+    return G.matches(pairs, ["class"], 0.3).withColumn("r", r6("r"))
 
 
 # ---- scalars, ranks, sets, metadata

@@ -11,9 +11,13 @@ from axonloom.functions.listeners import array_correlation, ordered_aggregate
 from axonloom.operators import aggregates as A
 from axonloom.operators import clustering as C
 from axonloom.operators import fields as R
+from axonloom.operators import greedy as G
 from axonloom.operators import joins as J
 from axonloom.operators import merging as M
 from axonloom.operators import ordered as O
+from axonloom.operators import recursive as V
+from axonloom.operators import regions as E
+from axonloom.operators import rounds as Q
 from axonloom.operators import stimulus as X
 from axonloom.plans.registry import query
 from axonloom.plans.responses import r6
@@ -26,36 +30,75 @@ H = HOUR_US
 # ---- duplicates
 
 
-@query(_UNIT + """, p as (select a.cell_id as a, b.cell_id as b, list_inner_product(a.v, b.v) as ei, list_inner_product(a.v[1:32], b.v[1:32]) as half from u a join u b on a.cell_id < b.cell_id where list_inner_product(a.v, b.v) >= 0.4)
-select a, b, round(ei, 6) as ei from p where (ei > 0.5 and half > 0.2) or (ei > 0.42 and half > 0.35)""")
-def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs over one of several threshold rows: of the whole image and of its first half."""
+def _corr(x: str, y: str) -> str:
+    """Pearson correlation of two lists in SQL; 0 without spread or without one of them."""
+    c = lambda v: f"list_transform({v}, lambda z: z - list_avg({v}))"
+    power = f"sqrt(list_inner_product({c(x)}, {c(x)}) * list_inner_product({c(y)}, {c(y)}))"
+    return f"coalesce(case when {power} > 0 then list_inner_product({c(x)}, {c(y)}) / {power} else 0.0 end, 0.0)"
+
+
+# images are running sums of running sums of the vectors, masked ones leave out what is below half of the peak, waves are the first part
+_MEASURES = with_sql("spikes", "vectors").removeprefix("with ") + f""",
+i as (select cell_id, t_us - lag(t_us) over (partition by cell_id order by t_us, event_id) as isi from spikes), h as (select cell_id, isi // 3600000000 as bin, count(*) as n from i where isi // 3600000000 < 24 group by all),
+hist as (select c.cell_id, list(coalesce(h.n, 0)::double order by k) as isi from (select distinct cell_id, k from h cross join range(24) t(k)) c left join h on h.cell_id = c.cell_id and h.bin = k group by c.cell_id),
+once as (select cell_id, v as sta, list_transform(range(1, len(v) + 1), lambda j: list_sum(v[1:j])) as s from vectors), image as (select cell_id, sta, list_transform(range(1, len(s) + 1), lambda j: list_sum(s[1:j])) as ei from once),
+arrays as materialized (select cell_id, sta, ei, list_transform(ei, lambda x: case when abs(x) >= 0.5 * list_max(list_transform(ei, lambda y: abs(y))) then x else 0.0 end) as masked, ei[1:16] as wave, isi from image left join hist using (cell_id)),
+unit as materialized (select *, list_transform(ei, lambda x: x - list_avg(ei)) as c from arrays),
+near as materialized (select x.cell_id as a, y.cell_id as b, list_inner_product(x.c, y.c) / sqrt(list_inner_product(x.c, x.c) * list_inner_product(y.c, y.c)) as ei from unit x join unit y on x.cell_id < y.cell_id
+  where list_inner_product(x.c, y.c) / sqrt(list_inner_product(x.c, x.c) * list_inner_product(y.c, y.c)) >= 0.92),
+measured as (select a, b, near.ei, {_corr("x.masked", "y.masked")} as masked, {_corr("x.wave", "y.wave")} as wave, {_corr("x.sta", "y.sta")} as sta, {_corr("x.isi", "y.isi")} as isi from near join arrays x on x.cell_id = a join arrays y on y.cell_id = b),
+candidates as materialized (select * from measured where ({" or ".join(f"(ei > {x} and masked > {y} and wave > {z})" for x, y, z in M.THRESHOLDS)}) and (isi > 0.6 or sta > 0.1))"""
+
+
+def _arrays(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")
-    unit = v.withColumn("m", mean).withColumn("c", F.transform("v", lambda x: x - F.col("m"))).withColumn("n", F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x)))
-    half = unit.select("cell_id", F.transform(F.slice("c", 1, 32), lambda x: x / F.col("n")).alias("h"))
-    pairs = J.correlated_pairs(v, 0.4, name="ei")
-    pairs = pairs.join(half.select(F.col("cell_id").alias("a"), F.col("h").alias("ha")), "a").join(half.select(F.col("cell_id").alias("b"), F.col("h").alias("hb")), "b")
-    pairs = pairs.withColumn("half", F.aggregate(F.zip_with("ha", "hb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
-    return M.candidates(pairs, ["ei", "half"], [(0.5, 0.2), (0.42, 0.35)]).select("a", "b", r6("ei").alias("ei"))
+    running = lambda v: F.aggregate(v, F.array().cast("array<double>"), lambda s, x: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)) + x)))
+    top = F.array_max(F.transform("ei", lambda x: F.abs(x)))
+    image = v.select("cell_id", F.col("v").alias("sta"), running("v").alias("s")).select("cell_id", "sta", running("s").alias("ei")).withColumn("top", top)
+    masked = F.transform("ei", lambda x: F.when(F.abs(x) >= 0.5 * F.col("top"), x).otherwise(0.0))
+    bins = A.isi_histogram(spikes(spark, d), ["cell_id"], H, 24, tie=["event_id"], bucket=7 * DAY_US).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
+    hist = bins.select("cell_id", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda k: F.coalesce(F.try_element_at("m", k.cast("bigint")), F.lit(0)).cast("double")).alias("isi"))
+    return image.select("cell_id", "sta", "ei", masked.alias("masked"), F.slice("ei", 1, 16).alias("wave")).join(hist, "cell_id", "left")
 
 
-@query()
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return M.measured(_arrays(spark, d), extra="isi > 0.6 or sta > 0.1", more=["sta", "isi"])
+
+
+@query("with " + _MEASURES + " select a, b, round(ei, 6) as ei, round(masked, 6) as masked, round(wave, 6) as wave, round(sta, 6) as sta, round(isi, 6) as isi from candidates")
+def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs over one of several rows of three limits (image, masked image, wave) whose intervals or averages agree."""
+    return _candidates(spark, d).select("a", "b", *(r6(c).alias(c) for c in ("ei", "masked", "wave", "sta", "isi")))
+
+
+def _clustered(pairs: str, key: str = "1") -> str:
+    """Greedy clusters in SQL: heads (key, head, own) of pairs (a, b), walked cell by cell."""
+    return f"""edges as (select {key} as key, a, b from {pairs} union select {key}, b, a from {pairs}),
+walk as materialized (select key, a, list(b order by b) as bs, row_number() over (partition by key order by a) as i from edges group by key, a),
+heads as (select distinct key, 0::bigint as i, []::bigint[] as used, null::bigint as head, []::bigint[] as own from walk
+      union all select heads.key, w.i, case when takes then list_concat(used, list_append(free, w.a)) else used end, case when takes then w.a end, free
+      from heads join walk w on w.key = heads.key and w.i = heads.i + 1, lateral (select list_filter(w.bs, lambda x: not list_contains(used, x)) as free), lateral (select not list_contains(used, w.a) and len(free) > 0 as takes))"""
+
+
+@query("with recursive " + _UNIT.removeprefix("with ") + ", p as (select a.class, a.cell_id as a, b.cell_id as b from u a join u b on a.class = b.class and a.cell_id < b.cell_id where list_inner_product(a.v, b.v) >= 0.3), " + _clustered("p", "class") + " select key as class, head, unnest(own) as member from heads where head is not null")
 def greedy_clusters(spark: SparkSession, d: str) -> DataFrame:
-    pairs = J.correlated_pairs(vectors(spark, d), 0.42, keys=["class"], blocks=2)
-    return M.greedy_clusters(pairs, ["class"])
+    pairs = J.correlated_pairs(vectors(spark, d), 0.3, keys=["class"])
+    return G.clusters(pairs, ["class"])
 
 
-_PAIR = "m as (select distinct user_id as head, user_id + 1 as member from events where user_id % 3 = 0 and user_id + 1 in (select user_id from events))"
+_PAIR = "recursive " + _MEASURES + ", active as (select a, b from candidates where a in (select cell_id from spikes) and b in (select cell_id from spikes)), " + _clustered("active") + ", m as (select head, unnest(own) as member from heads where head is not null)"
 
 
 def _merges(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbouring ids as a merge map."""
+    """Greedy clusters of the candidate pairs whose cells have spikes."""
     cells = spikes(spark, d).select("cell_id").distinct()
-    return cells.where("cell_id % 3 = 0").select(F.col("cell_id").alias("head"), (F.col("cell_id") + 1).alias("member")).join(cells.select(F.col("cell_id").alias("member")), "member", "left_semi").select("head", "member")
+    pairs = _candidates(spark, d)
+    for c in "ab":
+        pairs = pairs.join(cells.withColumnRenamed("cell_id", c), c, "left_semi")
+    return G.clusters(pairs, [])
 
 
-_TRAIN = with_sql("spikes") + ", " + _PAIR + ", t as (select head as a, member as b, cell_id, t_us from m join spikes on cell_id in (head, member)), i as (select a, b, t_us - lag(t_us) over (partition by a, b order by t_us, cell_id) as isi from t), f as (select a, b, avg(case when isi < 3600000000 then 1.0 else 0.0 end) as fraction from i where isi is not null group by all)"
+_TRAIN = "with " + _PAIR + ", t as (select head as a, member as b, cell_id, t_us from m join spikes on cell_id in (head, member)), gaps as (select a, b, t_us - lag(t_us) over (partition by a, b order by t_us, cell_id) as isi from t), f as (select a, b, avg(case when isi < 3600000000 then 1.0 else 0.0 end) as fraction from gaps where isi is not null group by all)"
 # pairs of a dominant cell a and a candidate b, some spike of which no spike of a is near
 _FAR = ", far as (select distinct a, b from {pairs} join spikes s on s.cell_id = b where not exists (select 1 from spikes h where h.cell_id = a and abs(h.t_us - s.t_us) <= 3600000000))"
 
@@ -66,7 +109,7 @@ def refractory_test(spark: SparkSession, d: str) -> DataFrame:
     return M.refractory_test(pairs, spikes(spark, d), H, 0.15).withColumn("fraction", r6("fraction"))
 
 
-@query(with_sql("spikes") + ", " + _PAIR + " select head, t_us, cell_id as source from m join spikes on cell_id = head union all select head, s.t_us, s.cell_id from m join spikes s on s.cell_id = member where not exists (select 1 from spikes h where h.cell_id = head and abs(h.t_us - s.t_us) <= 3600000000)")
+@query("with " + _PAIR + " select head, t_us, cell_id as source from (select distinct head from m) join spikes on cell_id = head union all select head, s.t_us, s.cell_id from m join spikes s on s.cell_id = member where not exists (select 1 from spikes h where h.cell_id = head and abs(h.t_us - s.t_us) <= 3600000000)")
 def merged_trains(spark: SparkSession, d: str) -> DataFrame:
     return M.merged_trains(_merges(spark, d), spikes(spark, d).select("cell_id", "t_us"), H)
 
@@ -76,15 +119,29 @@ def complete_map(spark: SparkSession, d: str) -> DataFrame:
     return M.complete_map(spikes(spark, d).select("cell_id").distinct(), _merges(spark, d))
 
 
-_RANKED = ", n as (select cell_id, count(*) as n from spikes group by all), r as (select case when x.n >= y.n then a else b end as a, case when x.n >= y.n then b else a end as b, fraction from f join n x on x.cell_id = a join n y on y.cell_id = b)"
+# the most active cell of a cluster against each of the others
+_RANKED = """, n as (select cell_id, count(*) as n from spikes group by all), g as (select head, member as c from m union select head, head from m),
+rk as (select head, c, row_number() over (partition by head order by n desc, c) as k from g join n on n.cell_id = c), r as (select x.c as a, y.c as b from rk x join rk y on x.head = y.head and x.k = 1 and y.k > 1),
+t as (select a, b, cell_id, t_us from r join spikes on cell_id in (a, b)), gaps as (select a, b, t_us - lag(t_us) over (partition by a, b order by t_us, cell_id) as isi from t),
+f as (select a, b, avg(case when isi < 3600000000 then 1.0 else 0.0 end) as fraction from gaps where isi is not null group by all)"""
 
 
-@query(_TRAIN + _RANKED + _FAR.format(pairs="r") + " select a as head, b as member from r where fraction < 0.15 or (a, b) in (select (a, b) from far)")
+@query("with " + _PAIR + _RANKED + _FAR.format(pairs="r") + " select a as head, b as member from f where fraction < 0.15 or (a, b) in (select (a, b) from far)")
 def evaluated_merges(spark: SparkSession, d: str) -> DataFrame:
     return M.evaluated(_merges(spark, d), spikes(spark, d).select("cell_id", "t_us"), H, 0.15)
 
 
-@query()
+@query("with recursive " + with_sql("spikes").removeprefix("with ") + """, enough as (select file, cell_id, count(*) as n from spikes group by all having count(*) >= 10),
+back as (select file, a.cell_id, count(*) as nb from spikes a join spikes b using (file, cell_id) where b.t_us - a.t_us >= 1800000000 and b.t_us - a.t_us < 7200000000 group by all),
+pure as materialized (select file, cell_id, n from enough left join back using (file, cell_id) where coalesce(nb, 0) * 864000000000.0 / (5400000000.0 * n * n) < 8.0),
+u as (select file, cell_id, t_us // 1000 as h, count(*) as m from spikes join pure using (file, cell_id) group by all),
+c as (select a.file, a.cell_id as a, b.cell_id as b, floor((b.h - a.h + 2100000) / 600000)::bigint - 3 as bin, sum(a.m * b.m)::bigint as n from u a join u b on a.file = b.file and a.cell_id < b.cell_id and b.h - a.h >= -2100000 and b.h - a.h < 2100000 group by all),
+w as (select file, a, b, s, sum(n) as w from (select *, unnest(range(bin - 1, bin + 1)) as s from c) group by all),
+hits as (select x.file, a, b, x.n as n_a, y.n as n_b, max(w) as w from w join pure x on x.file = w.file and x.cell_id = a join pure y on y.file = w.file and y.cell_id = b group by all),
+e as materialized (select *, row_number() over (partition by file order by a, b) as i from hits where w / least(n_a, n_b) >= 0.15),
+walk as (select distinct file, 0::bigint as i, []::bigint[] as gone from e
+         union all select walk.file, e.i, case when list_contains(gone, e.a) or list_contains(gone, e.b) then gone else list_append(gone, case when n_a < n_b then e.a else e.b end) end from walk join e on e.file = walk.file and e.i = walk.i + 1)
+select file, cell_id, n from pure where not exists (select 1 from walk where walk.file = pure.file and list_contains(walk.gone, pure.cell_id))""")
 def cleaned_cells(spark: SparkSession, d: str) -> DataFrame:
     """The cleaning cascade per file."""
     return M.cleaned(spikes(spark, d), ["file"], 10, H // 2, 2 * H, 10 * DAY_US, 8.0, 3, H // 6, 2, 0.15, unit=1_000)
@@ -290,12 +347,17 @@ def spike_clusters(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bimodal_units(spark: SparkSession, d: str) -> DataFrame:
     rows = spikes(spark, d).select("channel", F.array("amplitude", (F.pmod("t_us", F.lit(DAY_US)) / H).alias("h")).alias("p"))
-    return C.bimodal(rows, "channel", 100).withColumn("score", r6("score"))
+    return Q.bimodal(rows, "channel", 100).withColumn("score", r6("score"))
 
 
-@query()
+@query("with recursive " + with_sql("spikes").removeprefix("with ") + """, l as materialized (select channel, list(amplitude::double) as xs from spikes group by channel),
+r as (select channel, 0 as passes, 0.0::double as mean, 1e300::double as sd, 1e301::double as last, 0::bigint as n, 0.0::double as s, 0.0::double as q from l
+      union all select channel, passes + 1, s2 / n2, sqrt(greatest((q2 - s2 * s2 / n2) / (n2 - 1), 0)), sd, n2, s2, q2
+      from (select r.*, list_filter(xs, lambda x: abs(x - r.mean) < 3 * r.sd) as inside from r join l using (channel) where abs(r.sd - r.last) > 0.01),
+           lateral (select n + len(inside) as n2, s + list_sum(inside) as s2, q + list_sum(list_transform(inside, lambda x: x * x)) as q2))
+select channel, round(arg_max(sd, passes), 6) as sigma, max(passes) as passes from r group by channel""")
 def clipped_sigma(spark: SparkSession, d: str) -> DataFrame:
-    return C.clipped_sigma(spikes(spark, d), "channel", "amplitude").withColumn("sigma", r6("sigma"))
+    return Q.clipped_sigma(spikes(spark, d), "channel", "amplitude").withColumn("sigma", r6("sigma"))
 
 
 @query()
@@ -303,12 +365,112 @@ def noise_events(spark: SparkSession, d: str) -> DataFrame:
     return C.noise_events(spikes(spark, d).select("cell_id", "t_us"), ["cell_id"], 30 * DAY_US, 20, 3 * H).select("cell_id", "t_us")
 
 
-@query()
-def detected_spikes(spark: SparkSession, d: str) -> DataFrame:
-    """Negative peaks in chunked traces (one per channel, in event order)."""
+def _trace(spark: SparkSession, d: str, size: int) -> DataFrame:
+    """Traces in chunks of ``size`` samples: one per channel, in event order."""
     rows = O.ranked(spikes(spark, d), ["channel"], ["event_id"], "k").select("channel", "amplitude", (F.col("k") - 1).alias("k"))
-    chunks = rows.groupBy("channel", floor_div("k", 200).alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "amplitude"))), lambda x: -x["amplitude"]).alias("data")).withColumn("size", F.lit(200))
-    return O.detected_spikes(chunks, ["channel"], 0.05, 30.0, 2, 10, 100).withColumn("amplitude", r6("amplitude"))
+    held = F.transform(F.array_sort(F.collect_list(F.struct("k", "amplitude"))), lambda x: x["amplitude"])
+    return rows.groupBy("channel", floor_div("k", size).alias("chunk")).agg(held.alias("data"))
+
+
+_TRACE = "recursive " + with_sql("spikes").removeprefix("with ") + ", t as materialized (select channel, amplitude as x, row_number() over (partition by channel order by event_id) - 1 as k from spikes)"
+
+
+@query(f"""with {_TRACE},
+s as (select channel, avg(-x) as mean from t where k < 50 group by channel),
+m as (select channel, -1::bigint as k, mean, 0.0::double as amp from s
+      union all select m.channel, t.k, m.mean + 0.05 * (-t.x - m.mean), m.mean + 0.05 * (-t.x - m.mean) + t.x from m join t on t.channel = m.channel and t.k = m.k + 1),
+o as (select channel, k, amp, k - row_number() over (partition by channel order by k) as run from m where k >= 0 and amp > 30),
+r as (select channel, run, min(k) as a, max(k) + 1 as e, arg_max(k, (amp, -k)) as peak, max(amp) as amp from o group by channel, run),
+p as (select *, coalesce(lag(peak) over (partition by channel order by a), -1000) as before from r where e <= (select max(k) from t where t.channel = r.channel))
+select channel, peak as t, round(amp, 6) as amplitude from p where peak - before > 2 and e - a <= 3""")
+def detected_spikes(spark: SparkSession, d: str) -> DataFrame:
+    """Negative peaks against an exponential mean, in chunked traces."""
+    chunks = _trace(spark, d, 200).withColumn("data", F.transform("data", lambda x: -x))
+    return V.detected_spikes(chunks, ["channel"], 0.05, 30.0, 2, 3, 50).withColumn("amplitude", r6("amplitude"))
+
+
+_B, _A = V.butterworth(2, 0.05, 1.0)
+
+
+@query(f"""with {_TRACE},
+f as (select channel, -1::bigint as k, 0.0::double as x1, 0.0::double as x2, 0.0::double as y, 0.0::double as y2 from t group by channel
+      union all select f.channel, t.k, t.x, f.x1, {_B[0]} * t.x + {_B[1]} * f.x1 + {_B[2]} * f.x2 - ({_A[1]}) * f.y - ({_A[2]}) * f.y2, f.y from f join t on t.channel = f.channel and t.k = f.k + 1)
+select channel, k // 100 as chunk, round(sum(y), 5) as total, round(max(y), 5) as top from f where k >= 0 group by all""")
+def low_passed(spark: SparkSession, d: str) -> DataFrame:
+    """Sum and largest sample, a chunk, of traces behind a recursive low-pass that starts at rest."""
+    out = V.filtered(_trace(spark, d, 100), ["channel"], _B, _A)
+    return out.select("channel", "chunk", F.round(F.aggregate("data", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.round(F.array_max("data"), 5).alias("top"))
+
+
+_TAPS = V.windowed_sinc(100, 0.1, 1.0, high=True)
+
+
+@query(with_sql("spikes") + f""", t as (select channel, amplitude as x, row_number() over (partition by channel order by event_id) - 1 as k from spikes),
+l as (select channel, list(x order by k) as xs from t group by channel)
+select channel, k // 100 as chunk, round(sum(y), 5) as total, round(max(y), 5) as top
+from (select channel, k, list_sum(list_transform(range(least(k, 100) + 1), lambda j: ({_TAPS})[j + 1] * xs[k - j + 1])) as y from t join l using (channel)) group by all""")
+def high_passed(spark: SparkSession, d: str) -> DataFrame:
+    """Sum and largest sample, a chunk, of traces behind a high-pass of order 100 designed from its cutoff."""
+    out = O.fir_filtered(_trace(spark, d, 100), ["channel"], _TAPS)
+    return out.select("channel", "chunk", F.round(F.aggregate("data", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.round(F.array_max("data"), 5).alias("top"))
+
+
+@query()
+def zero_phase(spark: SparkSession, d: str) -> DataFrame:
+    """The same low-pass run forwards and backwards; tests hold it against one pass over the whole trace."""
+    out = V.zero_phase(_trace(spark, d, 100), ["channel"], _B, _A)
+    return out.select("channel", "chunk", F.round(F.aggregate("data", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.round(F.array_max("data"), 5).alias("top"))
+
+
+_HEX = with_sql("waveforms").removeprefix("with ") + """, el as (select e as electrode, e % 4 + 0.5 * (e // 4) as x, e // 4 * sqrt(0.75) as y from range(8) t(e)),
+st as (select * from (values (0, 0.0, 0.0), (1, -1.0, 0.0), (2, 1.0, 0.0), (3, 0.5, sqrt(0.75)), (4, 0.5, -sqrt(0.75)), (5, -0.5, sqrt(0.75)), (6, -0.5, -sqrt(0.75))) v(shift, dx, dy)),
+sh as (select shift, a.electrode, arg_min(b.electrode, (a.x - b.x - dx) ** 2 + (a.y - b.y - dy) ** 2) as moved from el a, el b, st where sqrt((a.x - b.x - dx) ** 2 + (a.y - b.y - dy) ** 2) < 1.0 / 6 group by all)"""
+
+
+def _hexagons(spark: SparkSession) -> DataFrame:
+    e = F.col("electrode")
+    row = F.floor(e / 4)
+    return spark.range(8).select(F.col("id").cast("int").alias("electrode")).select("electrode", (e % 4 + row * 0.5).alias("x"), (row * 0.75**0.5).alias("y"))
+
+
+@query("with " + _HEX + """, p as (select w.cell_id, sh.shift, flatten(list(w.wave order by sh.electrode)) as v from waveforms w join sh on sh.electrode = w.electrode where w.class < 5 group by all),
+q as (select w.cell_id, sh.shift, flatten(list(w.wave order by sh.electrode)) as v from waveforms w join sh on sh.moved = w.electrode where w.class >= 5 group by all),
+pc as (select cell_id, shift, list_transform(v, lambda z: z - list_avg(v)) as v from p), qc as (select cell_id, shift, list_transform(v, lambda z: z - list_avg(v)) as v from q),
+pu as materialized (select cell_id, shift, list_transform(v, lambda z: z / sqrt(list_inner_product(v, v))) as v from pc), qu as materialized (select cell_id, shift, list_transform(v, lambda z: z / sqrt(list_inner_product(v, v))) as v from qc),
+r as (select pu.cell_id as a, qu.cell_id as b, shift, list_inner_product(pu.v, qu.v) as r from pu join qu using (shift))
+select a, b, round(max(r), 6) as r, arg_max(shift, (r, -shift)) as shift from r where r >= 0.45 group by all""")
+def hexagonal_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of one set of classes and of another, by the largest image correlation over seven positions of the array."""
+    w = waveforms(spark, d)
+    one, two = w.where("class < 5"), w.where("class >= 5")
+    return E.shifted_correlation(one, two, _hexagons(spark), 0.45).withColumn("r", r6("r"))
+
+
+@query(_LONG + _SIGN + """, e as (select cell_id, 1.5 + 4 * v[1] as x0, 0.5 + 2 * v[2] as y0, 0.8 + 4 * abs(v[3]) as a, 0.4 + 3 * abs(v[4]) as b, 8 * v[5] as alpha from (select vec_id as cell_id, embedding::double[] as v from embeddings)),
+p as (select sig.cell_id, pix, ((pix % 4 - x0) * cos(alpha) + (pix // 4 - y0) * sin(alpha)) / a as u, ((pix // 4 - y0) * cos(alpha) - (pix % 4 - x0) * sin(alpha)) / b as w from sig join e using (cell_id)),
+i as (select cell_id, pix from p where u * u + w * w <= 1)
+select cell_id, pix from i union all select cell_id, pix from sig where cell_id not in (select cell_id from i)""")
+def pixels_of_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Significant pixels inside each cell's ellipse."""
+    pixels = R.significant_pixels(_sta(spark, d), 8, 1.0).select("cell_id", "pix", (F.col("pix") % 4).alias("x"), F.floor(F.col("pix") / 4).alias("y"))
+    part = lambda i: F.get("v", F.lit(i))
+    ellipses = vectors(spark, d).select(
+        "cell_id", (1.5 + 4 * part(0)).alias("x0"), (0.5 + 2 * part(1)).alias("y0"), (0.8 + 4 * F.abs(part(2))).alias("a"), (0.4 + 3 * F.abs(part(3))).alias("b"), (8 * part(4)).alias("alpha")
+    )
+    return E.pixels_of_fields(pixels, ellipses, 2.0)
+
+
+@query(with_sql("spikes") + """, c as (select cell_id, t_us // 86400000000 as epoch, t_us // 86400000000 % 3 as contrast, t_us % 86400000000 // 10800000000 as bin, count(*) as n from spikes group by all),
+s as (select cell_id, contrast, epoch, sum(n * cos(bin * 2 * pi() / 8)) as re, sum(n * sin(bin * 2 * pi() / 8)) as im from c group by all)
+select cell_id, contrast, round(sqrt(avg(re) ** 2 + avg(im) ** 2) * 0.25, 6) as f1 from s group by all""")
+def online_harmonics(spark: SparkSession, d: str) -> DataFrame:
+    """First harmonics over finished epochs, as the stream gives them once all epochs are over."""
+    s = spikes(spark, d)
+    epoch = floor_div("t_us", DAY_US)
+    counts = s.groupBy("cell_id", epoch.alias("epoch"), (epoch % 3).alias("contrast"), floor_div(F.pmod("t_us", F.lit(DAY_US)), 3 * H).alias("bin")).agg(F.count("*").alias("n"))
+    angle = F.col("bin") * (2 * np.pi / 8)
+    closed = counts.groupBy("cell_id", "contrast", "epoch").agg(F.sum(F.col("n") * F.cos(angle)).alias("re"), F.sum(F.col("n") * F.sin(angle)).alias("im"))
+    return live.contrast_f1(closed, 8).withColumn("f1", r6("f1"))
 
 
 # ---- live windows over the whole table (their batch twins; tests run them as streams)

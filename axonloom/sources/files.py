@@ -31,12 +31,19 @@ def flattened(experiments: DataFrame) -> DataFrame:
     for parent, child in (("animals", "_a"), ("_a.preparations", "_p"), ("_p.cells", "_c"), ("_c.groups", "_g"), ("_g.blocks", "_b"), ("_b.epochs", "_e")):
         rows = rows.withColumn(child, F.explode_outer(parent))
     return rows.select(
-        "experiment", F.col("_a.label").alias("animal"), F.col("_p.label").alias("preparation"), F.col("_c.uuid").alias("cell_uuid"), F.col("_g.label").alias("group_label"),
+        "experiment", F.col("_a.label").alias("animal"), F.col("_p.label").alias("preparation"), F.col("_c.uuid").alias("cell_uuid"), F.col("_c.label").alias("cell_label"), F.col("_g.label").alias("group_label"), F.col("_g.source").alias("source"),
         F.col("_g.protocol").alias("protocol"), F.col("_b.dataFile").alias("data_file"), F.col("_e.label").alias("epoch"), F.col("_e.start_ticks").alias("start_ticks"),
         merged_parameters("_b.parameters", "_e.parameters").alias("parameters"),
     )
 
 
+def with_source_cells(flat: DataFrame) -> DataFrame:
+    """``flat`` rows with ``source_label``: the label of the cell of the same experiment whose uuid the group names as its
+    source, wherever in the tree it is; null if there is none. Cells are few rows beside epochs."""
+    cells = flat.where("cell_uuid is not null").groupBy("experiment", F.col("cell_uuid").alias("source")).agg(F.min("cell_label").alias("source_label"))
+    return flat.join(cells, ["experiment", "source"], "left")
+
+
 def merged_parameters(block: str, epoch: str):
     """Both maps as one with sorted keys, the second winning."""
     none = F.create_map().cast("map<string,string>")
@@ -114,3 +121,21 @@ def write_results(rows: DataFrame, path: str, by: tuple[str, ...] = ("experiment
 def stream_of_chunks(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
     """Chunk rows as they arrive in a folder."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def write_cells(rows: DataFrame, path: str, schema: str, by: str = "experiment") -> None:
+    """One wide row a cell, from calculators' long results (``by``, cell_id, name, value as string or array): each column
+    of the declared ``schema`` takes the value of its name in its type, null without one; names that aren't declared are
+    refused. Only the partitions that the rows touch are replaced, so a run can be repeated."""
+    wide(rows, schema, by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def wide(rows: DataFrame, schema: str, by: str = "experiment") -> DataFrame:
+    """(by, cell_id, declared columns) of long results (by, cell_id, name, value, values): scalars are in ``value``
+    (string), arrays in ``values`` (doubles). Of several values of one name the largest is kept."""
+    fields = T.StructType.fromDDL(schema).fields
+    unknown = rows.where(~F.col("name").isin([f.name for f in fields])).limit(1).collect()
+    if unknown:
+        raise ValueError(f"no column for {unknown[0]['name']}")
+    take = lambda f: F.max(F.when(F.col("name") == f.name, F.col("values" if isinstance(f.dataType, T.ArrayType) else "value"))).cast(f.dataType).alias(f.name)
+    return rows.groupBy(by, "cell_id").agg(*map(take, fields))

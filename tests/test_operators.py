@@ -115,17 +115,6 @@ def test_snippets_over_chunk_borders(spark):
     assert got == {9: list(range(6, 14)), 45: list(range(42, 50))}
 
 
-def test_detection_is_the_same_over_chunks(spark):
-    g = np.random.default_rng(2)
-    x = g.normal(0, 1, 3000)
-    x[[500, 999, 1001, 1700]] -= 40
-    def run(size):
-        parts = [(1, k, size, x[k * size : (k + 1) * size].tolist()) for k in range(-(-len(x) // size))]
-        df = spark.createDataFrame(parts, "e int, chunk bigint, size int, data array<double>")
-        return sorted(r.t for r in O.detected_spikes(df, ["e"], 0.02, 15.0, 1, 50, 400).collect())
-    assert run(1000) == run(3000) == [500, 999, 1001, 1700]
-
-
 def test_fir_over_chunks(spark):
     x, taps = np.arange(50.0), [0.5, 0.25, 0.25]
     df = spark.createDataFrame([(1, k, x[k * 7 : k * 7 + 7].tolist()) for k in range(8)], "e int, chunk bigint, data array<double>")
@@ -155,11 +144,6 @@ def test_helpers():
     assert R.chi2_survival(np.array([5.991]), 2)[0] == pytest.approx(0.05, abs=1e-4)
 
 
-def test_greedy_clusters(spark):
-    pairs = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 4, 5)], "f int, a bigint, b bigint")
-    assert sorted((r.head, r.member) for r in M.greedy_clusters(pairs, ["f"]).collect()) == [(1, 2), (4, 5)]
-
-
 def test_buckets_change_nothing(spark):
     g = np.random.default_rng(6)
     points = spark.createDataFrame([(int(c), int(t), i) for i, (c, t) in enumerate(zip(g.integers(0, 3, 300), g.integers(-400, 400, 300)))], "cell_id bigint, t_us bigint, id int")
