@@ -145,6 +145,13 @@ def polygon_properties(vertices: DataFrame, key: str) -> DataFrame:
     return sums.select(key, F.abs(F.col("a") / 2).alias("area"), (F.col("sx") / (3 * F.col("a"))).alias("cx"), (F.col("sy") / (3 * F.col("a"))).alias("cy"))
 
 
+def polygon_orientation(vertices: DataFrame, key: str) -> DataFrame:
+    """(key, orientation): angle in degrees of the line fitted to the vertices (key, x, y); 0 for fewer than two, or for
+    vertices above each other."""
+    slope = F.regr_slope(F.col("y"), F.col("x"))
+    return vertices.groupBy(key).agg(F.coalesce(F.degrees(F.atan(slope)), F.lit(0.0)).alias("orientation"))
+
+
 def bounded_field(sx: Column, sy: Column, least: float = 0.5, aspect: float = 3.0) -> list[Column]:
     """Deviations not under ``least`` and not over ``aspect`` apart."""
     a, b = F.greatest(sx, F.lit(least)), F.greatest(sy, F.lit(least))

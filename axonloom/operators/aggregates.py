@@ -237,6 +237,25 @@ def mean_waves(waves: DataFrame, keys: Sequence[str], wave: str = "wave") -> Dat
     return long.groupBy(*keys, "k").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("error"), F.count("*").alias("n"))
 
 
+def loud(waves: DataFrame, noise: DataFrame, k: float) -> DataFrame:
+    """``waves`` (electrode, wave, ...) whose trough is deeper than ``k`` times the noise (electrode, noise)."""
+    return waves.join(noise, "electrode").where(F.abs(F.array_min("wave")) > k * F.col("noise"))
+
+
+def peak_scaled(rows: DataFrame, keys: Sequence[str], value: str = "value", middle: float | None = None) -> DataFrame:
+    """``value`` over the key's largest magnitude, 0 where that is 0. With a ``middle``, what is above or below it is scaled
+    so and halved about it."""
+    x = F.col(value) - F.lit(middle or 0.0)
+    scaled = F.coalesce(x / F.nullif(F.max(F.abs(x)).over(W.partitionBy(*keys)), F.lit(0.0)), F.lit(0.0))
+    return rows.withColumn(value, scaled if middle is None else scaled / 2 + middle)
+
+
+def period_means(points: DataFrame, keys: Sequence[str], period: int, width: int, t: str = "t_us") -> DataFrame:
+    """(keys, bin, mean): points a period by phase, over the periods from time 0 to the last one with a point."""
+    periods = points.groupBy(*keys).agg((F.max(floor_div(t, period)) + 1).alias("_n"))
+    return folded(points, keys, period, width, t).join(periods, list(keys)).select(*keys, "bin", (F.col("n") / F.col("_n")).alias("mean"))
+
+
 def weighted_merge(rows: DataFrame, keys: Sequence[str], value: str, weight: str, error: str | None = None) -> DataFrame:
     """(keys, value, weight[, error]): weighted mean; errors as root of the weighted mean square."""
     w = F.col(weight)

@@ -23,9 +23,11 @@ def quality_flags(cells: DataFrame, snr: float = 2.0, refractory: float = 0.2, c
     return cells.withColumn("flag", F.when(F.col("snr") < snr, -1).when(bad, -2).otherwise(0))
 
 
-def class_names(cells: DataFrame) -> DataFrame:
-    """Text of a flag and cluster number."""
-    return cells.withColumn("class", F.when(F.col("flag") == -2, "All/Crap").when(F.col("flag") == -1, "All/good/lowSNR").otherwise(F.concat(F.lit("All/good/RGC/nc"), (F.col("cluster") + 1).cast("string"))))
+def class_names(cells: DataFrame, amacrine: int = 100) -> DataFrame:
+    """Text of a flag and cluster number; clusters from number ``amacrine`` on are those of amacrine cells."""
+    number = F.col("cluster") + 1
+    kind = F.when(number < amacrine, "All/good/RGC/nc").otherwise("All/good/Amacrine/nc")
+    return cells.withColumn("class", F.when(F.col("flag") == -2, "All/Crap").when(F.col("flag") == -1, "All/good/lowSNR").otherwise(F.concat(kind, number.cast("string"))))
 
 
 def principal_components(cells: DataFrame, share: float = 0.9, most: int = 10) -> tuple[DataFrame, list[float]]:

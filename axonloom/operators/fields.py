@@ -35,6 +35,13 @@ def time_course(sta: DataFrame, pixels: DataFrame) -> DataFrame:
     return tc.withColumn("tc", F.when(norm > 0, F.col("tc") / norm).otherwise(0.0))
 
 
+def color_courses(sta: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(cell_id, color, lag, tc): sums over the given pixels for each colour, over the largest norm of a cell's colours."""
+    tc = sta.join(pixels.select("cell_id", "pix"), ["cell_id", "pix"], "left_semi").groupBy("cell_id", "color", "lag").agg(F.sum("value").alias("tc"))
+    norms = tc.groupBy("cell_id", "color").agg(F.sqrt(F.sum(F.col("tc") * F.col("tc"))).alias("l2")).groupBy("cell_id").agg(F.max("l2").alias("l2"))
+    return tc.join(norms, "cell_id").withColumn("tc", F.coalesce(F.col("tc") / F.nullif("l2", F.lit(0.0)), F.lit(0.0))).drop("l2")
+
+
 def spatial_map(sta: DataFrame, course: DataFrame) -> DataFrame:
     """(cell_id, pix, value): the average projected on the time course."""
     return sta.join(course, ["cell_id", "lag"]).groupBy("cell_id", "pix").agg(F.sum(F.col("value") * F.col("tc")).alias("value"))
@@ -123,11 +130,23 @@ def islands(mask: np.ndarray) -> np.ndarray:
     return np.array(areas, int)
 
 
-def best_threshold(image: np.ndarray, steps: int = 20) -> float:
-    """The threshold (share of the maximum) with the largest mean island."""
-    top = image.max() or 1.0
-    grid = [i / steps for i in range(1, steps)]
-    return max(grid, key=lambda t: (islands(image >= t * top).mean() if (image >= t * top).any() else 0.0, t))
+#: Thresholds that are tried (logarithmic steps between two shares of the maximum), and the weights that
+#: smooth five neighbouring results by a cubic.
+THRESHOLDS = np.geomspace(0.125, 0.7, 20)
+SMOOTHING = np.array([-3, 12, 17, 12, -3]) / 35
+
+
+def best_threshold(image: np.ndarray, thresholds: np.ndarray = THRESHOLDS) -> float:
+    """The threshold (share of the maximum) with the largest mean island, after smoothing over thresholds, from the first
+    one on at which the mean island grows: low ones that only lose noise don't count."""
+    share = image / (np.nanmax(image) or 1.0)
+    share = np.nan_to_num(share, nan=0.0, posinf=0.0, neginf=0.0)
+    found = [islands(share >= t) for t in thresholds]
+    mean = np.array([f.mean() if len(f) else 0.0 for f in found])
+    grows = np.flatnonzero(np.diff(mean) > 0)
+    start = int(grows[0]) + 1 if len(grows) else 0
+    smooth = np.convolve(np.pad(mean, 2, "edge"), SMOOTHING, "valid")
+    return float(thresholds[start + int(smooth[start:].argmax())])
 
 
 def hull(points: np.ndarray) -> np.ndarray:

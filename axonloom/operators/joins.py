@@ -183,3 +183,11 @@ def chunk_snippets(events: DataFrame, chunks: DataFrame, left: int, right: int,
     parts = met.groupBy(*events.columns).agg(F.array_sort(F.collect_list(F.struct("chunk", part.alias("p")))).alias("_p"))
     joined = parts.withColumn("snippet", F.flatten(F.transform("_p", lambda x: x["p"]))).drop("_p")
     return joined.where(F.size("snippet") == left + right + 1)
+
+
+def aligned(cells: DataFrame, parameters: DataFrame, keys: Sequence[str], scale: dict[str, float] | None = None) -> DataFrame:
+    """``cells`` with the columns of ``parameters`` (one row a key), 0 where a cell has none; columns named in ``scale`` are
+    multiplied."""
+    extra = [c for c in parameters.columns if c not in keys]
+    out = cells.join(parameters, list(keys), "left")
+    return out.select(*cells.columns, *((F.coalesce(F.col(c), F.lit(0)) * (scale or {})[c] if c in (scale or {}) else F.coalesce(F.col(c), F.lit(0))).alias(c) for c in extra))

@@ -177,3 +177,18 @@ def checked_frames(frames: DataFrame, keys: Sequence[str], t: str, fastest: floa
 
 def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(_w(keys, order)))
+
+
+def pulse_epochs(signal: DataFrame, keys: Sequence[str], i: str, x: str, threshold: float) -> DataFrame:
+    """(keys, start, end): stretches of a marker channel below ``threshold``: from the sample after a fall through it to the
+    sample after the next rise. A stretch that the trace begins or ends in isn't one. Crossings are paired over crossings
+    alone, so borders of blocks lose none."""
+    ends = [crossings(signal, keys, [i], x, threshold, up).select(*keys, (F.col(i) + 1).alias("start"), F.lit(up).alias("_up")) for up in (False, True)]
+    w = _w(keys, ["start"])
+    rows = ends[0].unionByName(ends[1]).withColumn("end", F.lead("start").over(w))
+    return rows.where("not _up and `end` is not null").drop("_up")
+
+
+def in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """(keys, name): a key's rows as an array of structs of the columns ``order``, sorted by them."""
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order))).alias(name))

@@ -301,10 +301,10 @@ def direction_profile(spark: SparkSession, d: str) -> DataFrame:
 # ---- cell types
 
 
-@query(_LONG + ", n as (select vec_id as cell_id, vec_id % 13 * 40 as n, vec_id % 17 / 60.0 as refractory, vec_id % 7 / 1.5 as snr, label as cluster from embeddings) select cell_id, case when snr < 2 then 'All/good/lowSNR' when refractory > 0.2 or n < 300 then 'All/Crap' else 'All/good/RGC/nc' || (cluster + 1) end as class from n")
+@query(_LONG + ", n as (select vec_id as cell_id, vec_id % 13 * 40 as n, vec_id % 17 / 60.0 as refractory, vec_id % 7 / 1.5 as snr, label * 12 as cluster from embeddings) select cell_id, case when snr < 2 then 'All/good/lowSNR' when refractory > 0.2 or n < 300 then 'All/Crap' when cluster + 1 < 100 then 'All/good/RGC/nc' || (cluster + 1) else 'All/good/Amacrine/nc' || (cluster + 1) end as class from n")
 def quality_classes(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("cell_id")
-    cells = vectors(spark, d).select("cell_id", (i % 13 * 40).alias("n"), (i % 17 / 60.0).alias("refractory"), (i % 7 / 1.5).alias("snr"), F.col("class").alias("cluster"))
+    cells = vectors(spark, d).select("cell_id", (i % 13 * 40).alias("n"), (i % 17 / 60.0).alias("refractory"), (i % 7 / 1.5).alias("snr"), (F.col("class") * 12).alias("cluster"))
     return C.class_names(C.quality_flags(cells)).select("cell_id", "class")
 
 

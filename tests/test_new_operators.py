@@ -187,3 +187,17 @@ def test_epochs_cut_over_batches_equal_whole_ones(spark, tmp_path):
     closed = spark.createDataFrame(rows, schema).groupBy("cell_id", "contrast", "epoch").agg(F.sum(F.col("n") * F.cos(angle)).alias("re"), F.sum(F.col("n") * F.sin(angle)).alias("im"))
     want = {(r.cell_id, r.contrast): pytest.approx(r.f1) for r in live.contrast_f1(closed, 8).collect()}
     assert seen[-1][0] == want and len(seen) == 2 and len(seen[-1][1]) == 1 and len(seen[0][0]) == 10
+
+
+def test_threshold_skips_falling_noise():
+    from axonloom.operators import fields as R
+
+    image = np.zeros((12, 12))
+    image[3:9, 3:9] = 0.3  # a field, with a peak
+    image[5:7, 5:7] = 1.0
+    assert 0.125 <= R.best_threshold(image) <= 0.3
+    noisy = image.copy()
+    noisy[::2, ::2] = np.maximum(noisy[::2, ::2], 0.14)  # single pixels just over the lowest thresholds
+    t = R.best_threshold(noisy)
+    assert 0.14 < t <= 0.3 and R.THRESHOLDS[0] == pytest.approx(0.125) and R.THRESHOLDS[-1] == pytest.approx(0.7)
+    assert R.SMOOTHING.sum() == pytest.approx(1)

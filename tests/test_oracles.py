@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from axonloom.plans import inputs, responses, signals, units  # noqa: F401
+from axonloom.plans import inputs, measures, responses, signals, units  # noqa: F401
 from axonloom.plans.registry import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
