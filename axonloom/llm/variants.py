@@ -242,6 +242,8 @@ def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
     holding = F.transform(F.filter(every, lambda p: p != own), lambda p: F.struct(p.alias("of"), own.alias("part"), F.lit(False).alias("asks"), F.lit(True).alias("held")))
     rows = rows.withColumn("bin", F.when(F.col("parts").isNull(), F.concat(F.lit("#"), F.pmod(F.xxhash64("ends"), F.lit(bins)).cast("string"))).otherwise(F.col("ends")))
     rows = rows.select("word", "n", "side", "bin", F.explode(F.concat(asking, holding)).alias("p")).select("word", "n", "side", "bin", "p.*")
+    # blocks keep their size as the vocabulary grows, so there are more tasks then, not longer ones
+    rows = rows.repartition(2 * bins, "side", "bin", "of", "part")
     return rows.groupBy("side", "bin", "of", "part").applyInPandas(_near, "word string, n bigint, near string, near_n bigint")
 
 
