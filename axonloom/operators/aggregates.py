@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from axonloom.operators.joins import band_pairs, last_mark
 from axonloom.operators.ordered import intervals
+from axonloom.operators.ranks import quantiles, ranked
+from axonloom.session import cut
 from axonloom.tables import floor_div
 
 # ---- counts and bins
@@ -269,10 +271,13 @@ def robust_sd(rows: DataFrame, keys: Sequence[str], x: str, method: str = "mad")
     """(keys, sd): 1.4826 MAD, 0.7413 IQR, or the sample deviation."""
     if method == "sd":
         return rows.groupBy(*keys).agg(F.stddev_samp(x).alias("sd"))
+    rows = rows.where(F.col(x).isNotNull())
     if method == "iqr":
-        return rows.groupBy(*keys).agg(((F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))) * 0.7413).alias("sd"))
-    mid = rows.groupBy(*keys).agg(F.median(x).alias("_m"))
-    return rows.join(mid, list(keys)).groupBy(*keys).agg((F.median(F.abs(F.col(x) - F.col("_m"))) * 1.4826).alias("sd"))
+        q = quantiles(rows, keys, x, {"_hi": 0.75, "_lo": 0.25})
+        return q.select(*keys, ((F.col("_hi") - F.col("_lo")) * 0.7413).alias("sd"))
+    mid = cut(quantiles(rows, keys, x, {"_m": 0.5}))
+    off = rows.join(mid, list(keys)).select(*keys, F.abs(F.col(x) - F.col("_m")).alias("_x"))
+    return quantiles(off, keys, "_x", {"_mad": 0.5}).select(*keys, (F.col("_mad") * 1.4826).alias("sd"))
 
 
 def class_averages(rows: DataFrame, by: str, scalars: Sequence[str] = (), array: str | None = None) -> DataFrame:
@@ -285,9 +290,8 @@ def class_averages(rows: DataFrame, by: str, scalars: Sequence[str] = (), array:
 
 def equal_count_bins(rows: DataFrame, keys: Sequence[str], x: str, y: str, bins: int, tie: Sequence[str] = ()) -> DataFrame:
     """(keys, bin, x, y): rows sorted by x in bins of n div bins, the remainder dropped, with both means."""
-    n = F.count("*").over(W.partitionBy(*keys))
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(x, *tie)) - 1
-    rows = rows.withColumn("_k", F.floor(n / bins)).withColumn("_p", place).where("_k > 0")
+    sizes = rows.groupBy(*keys).agg(F.floor(F.count("*") / bins).alias("_k")).where("_k > 0")
+    rows = ranked(rows, keys, x, tie, "_p").join(sizes, list(keys))
     rows = rows.withColumn("bin", F.floor(F.col("_p") / F.col("_k"))).where(F.col("bin") < bins)
     return rows.groupBy(*keys, "bin").agg(F.avg(x).alias("x"), F.avg(y).alias("y"))
 

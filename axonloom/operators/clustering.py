@@ -10,9 +10,10 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from axonloom.operators.ranks import ranked
+
 #: Class names that separation doesn't look at.
 EXCLUDED = ["out", "Axons", "Duplicates", "contaminated", "mismapped", "Weak", "DS", "lost"]
 
@@ -232,7 +233,7 @@ def noise_events(points: DataFrame, keys: Sequence[str], length: int, per_key: i
 
     tries = points.select(*keys).distinct().withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(per_key - 1))))
     t = F.pmod(F.xxhash64(F.lit(seed), *keys, "try"), F.lit(length))
-    return nearest_gap(tries.withColumn("t_us", t), points, keys).where(F.col("gap_us") >= void).drop("gap_us")
+    return nearest_gap(tries.withColumn("t_us", t), points, keys, bucket=max(1, length // 64)).where(F.col("gap_us") >= void).drop("gap_us")
 
 
 def top_share(cells: DataFrame, x: str, share: float, keys: Sequence[str] = ()) -> DataFrame:
@@ -240,6 +241,6 @@ def top_share(cells: DataFrame, x: str, share: float, keys: Sequence[str] = ())
     distributed sort."""
     if not keys:
         return cells.orderBy(F.desc(x), "cell_id").limit(int(cells.count() * share))
-    n = F.count("*").over(W.partitionBy(*keys))
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(x), "cell_id"))
-    return cells.withColumn("_n", n).withColumn("rank", rank).where(F.col("rank") <= F.floor(F.col("_n") * share)).drop("_n")
+    sizes = cells.groupBy(*keys).agg(F.floor(F.count("*") * share).alias("_n"))
+    rows = ranked(cells.withColumn("_x", -F.col(x)), keys, "_x", ["cell_id"]).drop("_x").withColumn("rank", F.col("rank") + 1)
+    return rows.join(sizes, list(keys)).where(F.col("rank") <= F.col("_n")).select(*cells.columns, "rank")

@@ -72,13 +72,24 @@ def last_mark(points: DataFrame, marks: DataFrame, keys: Sequence[str], t: str =
     return joined.withColumn("mark_us", F.coalesce("mark_us", "_last")).withColumn("mark_no", F.col("mark_no") + F.col("_n")).drop("_b", "_last", "_n")
 
 
-def nearest_gap(points: DataFrame, marks: DataFrame, keys: Sequence[str], t: str = "t_us") -> DataFrame:
-    """Each point with ``gap_us``, the distance to the nearest mark either side (null without marks)."""
+def nearest_gap(points: DataFrame, marks: DataFrame, keys: Sequence[str], t: str = "t_us", bucket: int | None = None) -> DataFrame:
+    """Each point with ``gap_us``, the distance to the nearest mark either side (null without marks). With ``bucket``, rows
+    are ordered within time buckets only, and the nearest marks of the buckets before and after come from a small table
+    with a row a bucket."""
     both = points.withColumn("_kind", F.lit(1)).unionByName(marks.select(*keys, t).withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-    mark = F.when(F.col("_kind") == 0, F.col(t))
-    back = F.last(mark, ignorenulls=True).over(W.partitionBy(*keys).orderBy(t, "_kind").rowsBetween(W.unboundedPreceding, 0))
-    ahead = F.first(mark, ignorenulls=True).over(W.partitionBy(*keys).orderBy(t, F.desc("_kind")).rowsBetween(0, W.unboundedFollowing))
-    return both.withColumn("_p", back).withColumn("_n", ahead).where("_kind = 1").withColumn("gap_us", F.least(F.col(t) - F.col("_p"), F.col("_n") - F.col(t))).drop("_kind", "_p", "_n")
+    both = both.withColumn("_b", floor_div(t, bucket) if bucket else F.lit(0))
+    mark, part = F.when(F.col("_kind") == 0, F.col(t)), W.partitionBy(*keys, "_b")
+    back = F.last(mark, ignorenulls=True).over(part.orderBy(t, "_kind").rowsBetween(W.unboundedPreceding, 0))
+    ahead = F.first(mark, ignorenulls=True).over(part.orderBy(t, F.desc("_kind")).rowsBetween(0, W.unboundedFollowing))
+    near = both.withColumn("_p", back).withColumn("_n", ahead).where("_kind = 1")
+    if bucket:
+        ends = both.groupBy(*keys, "_b").agg(F.max(mark).alias("_hi"), F.min(mark).alias("_lo"))
+        order = W.partitionBy(*keys).orderBy("_b")
+        carried = ends.select(
+            *keys, "_b", F.last("_hi", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_cp"), F.first("_lo", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_cn")
+        )
+        near = near.join(carried, [*keys, "_b"]).withColumns({"_p": F.coalesce("_p", "_cp"), "_n": F.coalesce("_n", "_cn")}).drop("_cp", "_cn")
+    return near.withColumn("gap_us", F.least(F.col(t) - F.col("_p"), F.col("_n") - F.col(t))).drop("_kind", "_p", "_n", "_b")
 
 
 def band_pairs(left: DataFrame, right: DataFrame, lag: int, keys: Sequence[str], t: str = "t_us") -> DataFrame:

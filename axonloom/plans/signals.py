@@ -158,7 +158,7 @@ def concatenated_exact(spark: SparkSession, d: str) -> DataFrame:
 @query(with_sql("spikes") + ", g as (select cell_id, t_us from spikes where channel = 'signup') select event_id, coalesce((select min(abs(g.t_us - s.t_us)) from g where g.cell_id = s.cell_id), -1) as gap_us from spikes s where channel = 'error'")
 def nearest_trigger(spark: SparkSession, d: str) -> DataFrame:
     rows = spikes(spark, d).where("channel = 'error'")
-    return J.nearest_gap(rows, triggers(spark, d), KEY).select("event_id", F.coalesce("gap_us", F.lit(-1)).alias("gap_us"))
+    return J.nearest_gap(rows, triggers(spark, d), KEY, bucket=7 * DAY_US).select("event_id", F.coalesce("gap_us", F.lit(-1)).alias("gap_us"))
 
 
 @query(with_sql("vectors") + ", c as (select class, avg(v[1]) as ox, avg(v[2]) as oy from vectors group by class) select cell_id, round(min(sqrt((v[1] - ox) ** 2 + (v[2] - oy) ** 2)), 6) as distance from vectors, c where vectors.class % 2 = c.class % 2 group by cell_id")

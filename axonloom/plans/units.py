@@ -106,12 +106,12 @@ _FAR = ", far as (select distinct a, b from {pairs} join spikes s on s.cell_id =
 @query(_TRAIN + _FAR.format(pairs="f") + " select a, b, round(fraction, 6) as fraction, fraction < 0.15 or (a, b) in (select (a, b) from far) as ok from f")
 def refractory_test(spark: SparkSession, d: str) -> DataFrame:
     pairs = _merges(spark, d).select(F.col("head").alias("a"), F.col("member").alias("b"))
-    return M.refractory_test(pairs, spikes(spark, d), H, 0.15).withColumn("fraction", r6("fraction"))
+    return M.refractory_test(pairs, spikes(spark, d), H, 0.15, 7 * DAY_US).withColumn("fraction", r6("fraction"))
 
 
 @query("with " + _PAIR + " select head, t_us, cell_id as source from (select distinct head from m) join spikes on cell_id = head union all select head, s.t_us, s.cell_id from m join spikes s on s.cell_id = member where not exists (select 1 from spikes h where h.cell_id = head and abs(h.t_us - s.t_us) <= 3600000000)")
 def merged_trains(spark: SparkSession, d: str) -> DataFrame:
-    return M.merged_trains(_merges(spark, d), spikes(spark, d).select("cell_id", "t_us"), H)
+    return M.merged_trains(_merges(spark, d), spikes(spark, d).select("cell_id", "t_us"), H, 7 * DAY_US)
 
 
 @query("with " + _PAIR + " select member as cell_id, head as unit from m union all select distinct user_id, user_id from events where user_id not in (select member from m)")
@@ -128,7 +128,7 @@ f as (select a, b, avg(case when isi < 3600000000 then 1.0 else 0.0 end) as frac
 
 @query("with " + _PAIR + _RANKED + _FAR.format(pairs="r") + " select a as head, b as member from f where fraction < 0.15 or (a, b) in (select (a, b) from far)")
 def evaluated_merges(spark: SparkSession, d: str) -> DataFrame:
-    return M.evaluated(_merges(spark, d), spikes(spark, d).select("cell_id", "t_us"), H, 0.15)
+    return M.evaluated(_merges(spark, d), spikes(spark, d).select("cell_id", "t_us"), H, 0.15, 7 * DAY_US)
 
 
 @query("with recursive " + with_sql("spikes").removeprefix("with ") + """, enough as (select file, cell_id, count(*) as n from spikes group by all having count(*) >= 10),
