@@ -30,10 +30,16 @@ def binned(points: DataFrame, keys: Sequence[str], width: int, t: str = "t_rel_u
     return points.groupBy(*keys, floor_div(t, width).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def binned_by_edges(points: DataFrame, edges: DataFrame, keys: Sequence[str], by: Sequence[str], t: str) -> DataFrame:
-    """(by, keys, bin, n) over an edge table (keys, bin, lo, hi): half-open bins, the last of each key closed."""
+def binned_by_edges(points: DataFrame, edges: DataFrame, keys: Sequence[str], by: Sequence[str], t: str, bucket: int | None = None) -> DataFrame:
+    """(by, keys, bin, n) over an edge table (keys, bin, lo, hi): half-open bins, the last of each key closed. With
+    ``bucket``, a bin goes to the stretches of ``t`` that it touches and a point meets the bins of its own stretch only,
+    not all of its key."""
     e = edges.withColumn("_last", F.col("bin") == F.max("bin").over(W.partitionBy(*keys)))
-    near = points.join(e, list(keys))
+    if bucket:
+        e = e.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor(F.col("hi") / bucket))))
+        near = points.withColumn("_b", F.floor(F.col(t) / bucket)).join(e, [*keys, "_b"])
+    else:
+        near = points.join(e, list(keys))
     inside = (F.col(t) >= F.col("lo")) & ((F.col(t) < F.col("hi")) | (F.col("_last") & (F.col(t) == F.col("hi"))))
     return near.where(inside).groupBy(*by, *keys, "bin").agg(F.count("*").alias("n"))
 

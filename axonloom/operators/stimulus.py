@@ -1,6 +1,6 @@
 """Stimulus replay and spike-triggered statistics.
 
-Frames are arrays of pixels and stay so: counts and frames of an epoch meet once (cogrouped by epoch), a matrix product
+Frames are arrays of pixels and stay so: counts and frames of a block of an epoch meet once (cogrouped), a matrix product
 gives partial sums per (cell, lag), and only those are shuffled and added."""
 
 from __future__ import annotations
@@ -12,6 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from axonloom.operators.joins import interval_join
+from axonloom.tables import floor_div
+
+#: Frames of an epoch that a task holds at once.
+FRAME_BLOCK = 1_024
 
 
 def noise_frames(epochs: DataFrame, pixels: int, stride: int = 1, kind: str = "binary", repeat: int = 0, density: float = 0.1) -> DataFrame:
@@ -37,11 +41,14 @@ def noise_frames(epochs: DataFrame, pixels: int, stride: int = 1, kind: str = "b
 
 def triggered_sums(counts: DataFrame, frames: DataFrame, depth: int, power: int = 1) -> DataFrame:
     """(cell_id, lag, total, n): sum over spikes of the frame ``lag`` before (to a power), and those spikes.
-    ``counts``: (epoch_id, cell_id, frame, n); spikes before frame ``lag`` don't count for it."""
+    ``counts``: (epoch_id, cell_id, frame, n); spikes before frame ``lag`` don't count for it. An epoch is cut into blocks
+    of ``FRAME_BLOCK`` frames, each with the ``depth`` - 1 frames before it, so a task holds one block, however long the
+    epoch and wherever stray frame numbers lie."""
+    span = max(FRAME_BLOCK, depth)
 
     def block(c: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         if c.empty or f.empty:
-            return pd.DataFrame({"cell_id": [], "lag": [], "total": [], "n": []})
+            return pd.DataFrame({"cell_id": [], "lag": [], "total": [], "n": []}, dtype=object)
         lo, length = int(f.frame.min()), int(f.frame.max() - f.frame.min()) + 1
         place = f.frame.to_numpy(np.int64) - lo  # rows follow the frame numbers; missing frames show nothing
         shown, there = np.zeros((length, len(f.pixels.iloc[0]))), np.zeros(length)
@@ -61,7 +68,11 @@ def triggered_sums(counts: DataFrame, frames: DataFrame, depth: int, power: int
     # both sides may stem from one table: fresh names keep their columns apart
     counts = counts.select(*(F.col(c).alias(c) for c in ("epoch_id", "cell_id", "frame", "n")))
     frames = frames.select(*(F.col(c).alias(c) for c in ("epoch_id", "frame", "pixels")))
-    partial = counts.groupBy("epoch_id").cogroup(frames.groupBy("epoch_id")).applyInPandas(block, "cell_id bigint, lag int, total array<double>, n double")
+    own = floor_div("frame", span)
+    counts = counts.withColumn("block", own)
+    # the last frames of a block are also the lead of the next one
+    frames = frames.withColumn("block", F.explode(F.array_distinct(F.array(own, floor_div(F.col("frame") + (depth - 1), span)))))
+    partial = counts.groupBy("epoch_id", "block").cogroup(frames.groupBy("epoch_id", "block")).applyInPandas(block, "cell_id bigint, lag int, total array<double>, n double")
     long = partial.select("cell_id", "lag", "n", F.posexplode("total").alias("pix", "v"))
     return long.groupBy("cell_id", "lag", "pix").agg(F.sum("v").alias("total"), F.sum("n").alias("n"))
 

@@ -52,7 +52,7 @@ def edge_bins(spark: SparkSession, d: str) -> DataFrame:
     """Bins from an edge table, the last one closed."""
     edges = epochs(spark).select("contrast").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("_w", (F.col("contrast") + 5) * H)
     edges = edges.select("contrast", "bin", (F.col("bin") * F.col("_w")).alias("lo"), ((F.col("bin") + 1) * F.col("_w")).alias("hi"))
-    return A.binned_by_edges(in_epochs(spark, d), edges, ["contrast"], ["cell_id"], "t_rel_us")
+    return A.binned_by_edges(in_epochs(spark, d), edges, ["contrast"], ["cell_id"], "t_rel_us", 6 * H)
 
 
 @query(_IN + """, n as (select cell_id, t_rel_us // 21600000000 as bin, count(*) as n from j group by all)

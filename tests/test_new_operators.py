@@ -201,3 +201,22 @@ def test_threshold_skips_falling_noise():
     t = R.best_threshold(noisy)
     assert 0.14 < t <= 0.3 and R.THRESHOLDS[0] == pytest.approx(0.125) and R.THRESHOLDS[-1] == pytest.approx(0.7)
     assert R.SMOOTHING.sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("span", [3, 7, 1_000])
+def test_frame_blocks_change_nothing(spark, monkeypatch, span):
+    monkeypatch.setattr(X, "FRAME_BLOCK", span)
+    g = np.random.default_rng(3)
+    shown = {e: {int(f): g.normal(size=2) for f in g.choice(40, 30, replace=False)} for e in range(2)}
+    shown[1][1_000_000] = np.ones(2)  # a stray frame number
+    counts = [(e, c, int(f), int(n)) for e in range(2) for c in range(3) for f, n in zip(g.choice(45, 12, replace=False), g.integers(1, 4, 12))]
+    frames = spark.createDataFrame([(e, f, v.tolist()) for e, fs in shown.items() for f, v in fs.items()], "epoch_id int, frame bigint, pixels array<double>")
+    got = {(r.cell_id, r.lag, r.pix): (r.total, r.n) for r in X.triggered_sums(spark.createDataFrame(counts, "epoch_id int, cell_id bigint, frame bigint, n bigint"), frames, 3).collect() if r.n}
+    want = {}
+    for e, c, f, n in counts:
+        for lag in range(3):
+            if f in shown[e] and f - lag in shown[e]:
+                for p in range(2):
+                    total, k = want.get((c, lag, p), (0.0, 0.0))
+                    want[c, lag, p] = (total + n * shown[e][f - lag][p], k + n)
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
