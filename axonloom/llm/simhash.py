@@ -14,8 +14,9 @@ With a ``similarity`` the groups follow the word sets instead: documents are lin
 shingle sets reaches it. No bit distance is tight enough for that (at 0.8 two 64-bit fingerprints are about 10 bits
 apart, up to 20; pivot distances exclude nothing there), so candidates share one of ``BANDS`` keys of ``ROWS`` minhashes
 (a pair at 0.8 is missed with probability 3e-5), and each is verified on the exact sets. Keys shared by up to ``NEAR``
-sets are paired off. Of larger ones the members are compared to heads, in rounds with four times the heads, until a
-key's members are one component or every two of them were compared; so a large group of copies costs a pair a member.
+sets are paired off. Of larger ones each member is compared to one head; what still lies in different components then is
+compared block by block, all but the pairs inside a key's largest component. So a large group whose members are like
+their head costs a pair a member, and components are found twice, whatever the groups.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; repeated rows stay rows;
 null doc_ids take part and get their group's smallest id (null if it has none); other columns are ignored.
@@ -28,6 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +42,8 @@ SHINGLE, SEED, BITS = 3, 42, 2
 PIVOTS, CROWD = 16, 64
 #: Keys a document gets, minhashes a key, and sets of a key beyond which it isn't paired off.
 BANDS, ROWS, NEAR = 20, 4, 8
+#: Sets of a block of a larger key, and hashes that all its sets together may have.
+BLOCK, BLOCK_HASHES = 256, 2_000_000
 #: Hashes counted at once.
 _STEP = 1 << 14
 
@@ -203,29 +207,77 @@ def similar_links(docs: DataFrame, sketches: DataFrame, shingle: int, similarity
     fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
     pairs = cut(left.join(right, ["c", "v"]).where((F.col("a") < F.col("b")) & fits("m", "m_")).select("a", "b").distinct())
 
-    members = cut(shared.where(f"n > {near}").select("c", "v", "n", "fp", "size", F.col("fp").alias("root")))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(members.select("fp")).distinct()
+    crowded = cut(shared.where(f"n > {near}").select("c", "v", "n", "fp", "size"))
+    heads = crowded.groupBy("c", "v").agg(F.min(F.struct("fp", "size")).alias("head"))
+    to_head = crowded.join(heads, ["c", "v"]).where((F.col("fp") != F.col("head.fp")) & fits("size", "head.size"))
+    pairs = pairs.unionByName(to_head.select(F.col("head.fp").alias("a"), F.col("fp").alias("b"))).distinct()
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(crowded.select("fp")).distinct()
     keys = cut(shared.join(nodes, "fp", "left_semi").select(F.col("text_key").alias("_key")).distinct())
     small = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.select("text").join(F.broadcast(keys) if small else keys, F.xxhash64("text") == F.col("_key"), "left_semi")
     sets = cut(texts.mapInArrow(_sets(shingle), "fp bigint, hashes array<bigint>").groupBy("fp").agg(F.first("hashes").alias("hashes")))
-    links = cut(_alike(pairs, sets, similarity))
-    heads_of = 1
-    while not members.isEmpty():
-        part = F.pmod(F.xxhash64("fp"), F.lit(heads_of))
-        heads = members.groupBy("c", "v", part.alias("part")).agg(F.min(F.struct("fp", "size", "root")).alias("head"))
-        heads = cut(heads.select("c", "v", "head"))
-        new = members.join(heads, ["c", "v"]).where((F.col("root") != F.col("head.root")) & fits("size", "head.size"))
-        new = new.select(F.least("fp", "head.fp").alias("a"), F.greatest("fp", "head.fp").alias("b")).distinct()
-        links = cut(links.unionByName(_alike(new, sets, similarity)).distinct())
-        found = components(links)
-        members = members.drop("root").join(found, F.col("fp") == F.col("node"), "left").select("c", "v", "n", "fp", "size", F.coalesce("root", "fp").alias("root"))
-        members = cut(members)
-        parted = members.groupBy("c", "v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("c", "v")
-        tried = heads.groupBy("c", "v").agg(F.count("*").alias("tried"))
-        members = cut(members.join(parted.join(tried, ["c", "v"]), ["c", "v"]).where("n - tried > 1").drop("tried"))
-        heads_of *= 4
-    return links
+    found = cut(components(_alike(pairs, sets, similarity)))
+    known = found.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a < b")
+    return known.unionByName(_across(crowded, found, sets, similarity))
+
+
+def _across(crowded: DataFrame, found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that join different components (``found``) of sets that share a crowded key. In each key the largest
+    component's sets are only compared with the others, and those with all, block by block: a task holds two blocks of
+    sets, bounded in number and in size, and counts what they share by one product."""
+    members = cut(crowded.join(found, F.col("fp") == F.col("node"), "left").select("c", "v", "fp", "size", F.coalesce("root", "fp").alias("root")))
+    of_root = members.groupBy("c", "v", "root").agg(F.count("*").alias("k"), F.max("size").alias("most"))
+    keys = of_root.groupBy("c", "v").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("n"), F.max("most").alias("most"), F.count("*").alias("roots"))
+    block = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(BLOCK_HASHES / F.greatest("most", F.lit(1)))))
+    keys = cut(keys.where("roots > 1").select("c", "v", "n", F.col("main.root").alias("main"), (F.col("n") - F.col("main.k")).alias("others"), block.alias("rows")))
+    if keys.isEmpty():
+        return members.limit(0).select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    rows = members.join(keys, ["c", "v"])
+    up = lambda n: F.ceil(F.col(n) / F.col("rows"))
+    part = lambda n: F.pmod(F.xxhash64("fp", "c"), up(n))
+    every = lambda n: F.sequence(F.lit(0).cast("bigint"), up(n) - 1)
+    asks = F.transform(every("n"), lambda j: F.struct(part("others").alias("i"), j.alias("j"), F.lit(True).alias("asks")))
+    held = F.transform(every("others"), lambda i: F.struct(i.alias("i"), part("n").alias("j"), F.lit(False).alias("asks")))
+    both = F.when(F.col("root") != F.col("main"), F.concat(asks, held)).otherwise(held)
+    dealt = rows.join(sets, "fp").select("c", "v", "fp", "root", "hashes", F.explode(both).alias("t")).select("c", "v", "fp", "root", "hashes", "t.*")
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table["asks"].to_numpy()
+        fp, root = table["fp"].to_numpy(), table["root"].to_numpy()
+        size = pc.list_value_length(table["hashes"]).to_numpy().astype(np.int64)
+        row, flat = np.repeat(np.arange(len(size)), size), pc.list_flatten(table["hashes"]).to_numpy()
+        x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+        shared = _shared(row, flat, asks)
+        i, j = np.nonzero((shared >= similarity * (size[x][:, None] + size[y] - shared) - 1e-9) & (root[x][:, None] != root[y]))
+        # one link between a set and a component is enough
+        _, first = np.unique(np.stack([fp[x[i]], root[y[j]]]), axis=1, return_index=True)
+        ends = np.stack([fp[x[i[first]]], fp[y[j[first]]]])
+        return pa.table({"a": ends.min(axis=0), "b": ends.max(axis=0)})
+
+    return dealt.groupBy("c", "v", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def _shared(row: np.ndarray, flat: np.ndarray, asks: np.ndarray) -> np.ndarray:
+    """How many hashes each set that asks shares with each other one, by products over the hashes that both kinds have.
+    ``row``: the set of each hash in ``flat``; ``asks``: the kind of each set."""
+    kind = asks[row]
+    common = np.intersect1d(flat[kind], flat[~kind])
+    out = np.zeros((int(asks.sum()), int((~asks).sum())), np.float32)
+    if not len(common):
+        return out
+    at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+    keep = common[at] == flat
+    row, at, kind = row[keep], at[keep], kind[keep]
+    place = np.where(asks, np.cumsum(asks), np.cumsum(~asks)) - 1
+    for lo in range(0, len(common), _STEP):
+        inside = (at >= lo) & (at < lo + _STEP)
+        sides = []
+        for rows, of in zip(out.shape, (kind, ~kind)):
+            m = np.zeros((rows, min(_STEP, len(common) - lo)), np.float32)
+            m[place[row[inside & of]], at[inside & of] - lo] = 1.0
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, count: int = PIVOTS, crowd: int = CROWD, similarity: float | None = None) -> DataFrame:
