@@ -91,8 +91,9 @@ class _Side:
         self.sa, _ = suffix_array(symbols)
         bwt = symbols[self.sa - 1].astype(np.uint8)
         n = len(bwt)
-        self.rows = np.full((n // _SAMPLE + 1, _SAMPLE), 255, np.uint8)
-        self.rows.ravel()[:n] = bwt
+        self.bwt = np.full((n // _SAMPLE + 1) * _SAMPLE, 255, np.uint8)
+        self.bwt[:n] = bwt
+        self.rows = self.bwt.reshape(-1, _SAMPLE)
         # below[b, c]: symbols smaller than c in the rows before sample b
         each = np.zeros((len(self.rows) + 1, sigma + 1), np.int64)
         np.add.at(each, (np.arange(n) // _SAMPLE + 1, bwt.astype(np.int64) + 1), 1)
@@ -142,6 +143,23 @@ class Index:
         new = np.stack([side.first[known] + e0, other + (s1 - s0), np.where(c < self.sigma, e1 - e0, 0)])
         return new if left else new[[1, 0, 2]]
 
+    def children(self, state: np.ndarray, left: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(parent, symbol, states): every letter by which each state can grow. Letters of a short interval are read off
+        its rows; of a long one all are tried."""
+        low, size = state[0 if left else 1], state[2]
+        short = np.flatnonzero(size <= self.sigma)
+        of = np.repeat(short, size[short])
+        row = np.arange(len(of)) - np.repeat(np.cumsum(size[short]) - size[short], size[short]) + low[of]
+        pairs = np.unique(of * self.sigma + self.sides[0 if left else 1].bwt[row])
+        long = np.flatnonzero(size > self.sigma)
+        parent = np.concatenate([pairs // self.sigma, np.repeat(long, self.sigma)])
+        symbol = np.concatenate([pairs % self.sigma, np.tile(np.arange(self.sigma), len(long))])
+        letter = symbol > self.DELIMITER
+        parent, symbol = parent[letter], symbol[letter]
+        new = self.extended(state[:, parent], symbol, left)
+        some = new[2] > 0
+        return parent[some], symbol[some], new[:, some]
+
     def words_at(self, state: np.ndarray) -> np.ndarray:
         """Numbers of the words whose delimiter begins the match."""
         return np.searchsorted(self.starts, self.sides[0].sa[state[0]], side="right") - 1
@@ -182,15 +200,12 @@ def _search(index: Index, words: list[str], left: bool) -> tuple[np.ndarray, np.
             break
         symbol, inner = rest[query, j], rest_size[query] > j + 1
         edited.append((query[inner], np.full(int(inner.sum()), j + 1), state[:, inner]))  # the word lacks this symbol
-        for c in range(2, index.sigma):
-            new = index.extended(state, np.full(len(query), c), left)
-            some = new[2] > 0
-            edited.append((query[some], np.full(int(some.sum()), j), new[:, some]))  # it has one more
-            some &= inner & (symbol != c)
-            edited.append((query[some], np.full(int(some.sum()), j + 1), new[:, some]))  # it has another
-        state = index.extended(state, symbol, left)
-        alive = state[2] > 0
-        query, state = query[alive], state[:, alive]
+        parent, letter, new = index.children(state, left)
+        edited.append((query[parent], np.full(len(parent), j), new))  # it has one more
+        other = inner[parent] & (symbol[parent] != letter)
+        edited.append((query[parent[other]], np.full(int(other.sum()), j + 1), new[:, other]))  # it has another
+        same = inner[parent] & (symbol[parent] == letter)
+        query, state = query[parent[same]], new[:, same]
 
     if not edited:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
