@@ -5,8 +5,9 @@ the smallest draw; a node weighs what its leaves weigh. A child's draws don't de
 changes moves rows only into or out of the subtrees on its path. Shards beyond the base tree hang in regions of their
 own, so that one more shard takes rows from all others into itself and moves nothing else.
 
-Law: ``key`` (id and shard count decide). Slots number each shard's rows without gaps; a shard is split into hash
-buckets for that, so no task has to hold or sort a whole shard, and equal rows are counted before they are shuffled.
+Law: ``key`` (id and shard count decide). Slots number each shard's rows without gaps, by hash bucket, then id: a shard
+has ``BUCKETS`` of them at any size, so no task has to hold or sort a whole shard, and equal rows are counted before they
+are shuffled.
 
 Defined cases: null ids hash as the empty text; null texts have size 16 and the checksum of the empty text (0);
 repeated rows get a slot each; other columns are ignored.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 #: Regions, racks a region and shards a rack of the base tree.
 BASE = (4, 2, 5)
-#: Rows that one numbering bucket should hold.
-BUCKET_ROWS = 50_000
+#: Hash buckets in which a shard's rows are numbered.
+BUCKETS = 4_096
 
 Tree = list[list[list[tuple[int, float]]]]
 
@@ -69,8 +70,7 @@ def sharded(docs: DataFrame, shards: int = 40, base: tuple[int, int, int] = BASE
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"))
     rows = rows.groupBy("doc_id", (F.col("bytes") + 16).alias("size"), "text_crc32").agg(F.count("*").alias("n"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    buckets = max(1, -(-docs.count() // (shards * BUCKET_ROWS)))
-    bucket = F.pmod(F.crc32(F.concat_ws("|", key, "size", "text_crc32")), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.crc32(F.concat_ws("|", key, "size", "text_crc32")), F.lit(BUCKETS)).cast("int")
     rows = placed(rows.withColumn("bucket", bucket), key, tree(shards, base, weights), "shard")
     rows = placed(rows, key, tree(shards + 1, base, weights), "grown_shard")
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -97,7 +97,7 @@ def crc32_sql(text: str) -> str:
 
 
 def sharded_sql(shards: int = 40, base: tuple[int, int, int] = BASE) -> str:
-    """The same in DuckDB's SQL while a shard fits one bucket."""
+    """The same in DuckDB's SQL."""
 
     def at(name: str, w: float) -> str:
         return f"(-ln((('0x' || substr(md5('{name}:' || k), 1, 13))::bigint::double + 0.5) / {1 << 52}.0) / {w})"
@@ -118,7 +118,8 @@ def sharded_sql(shards: int = 40, base: tuple[int, int, int] = BASE) -> str:
     crc = "text_crc32"
     return f"""
 with base as (select doc_id, coalesce(strlen(text), 0) + 16 as size, {crc32_sql("coalesce(text, '')")} as {crc}, coalesce(doc_id::varchar, '') as k from documents),
-placed as (select *, ({down(tree(shards, base))})::int as shard, ({down(tree(shards + 1, base))})::int as grown_shard from base)
+numbered as (select *, {crc32_sql(f"k || '|' || size || '|' || {crc}")} % {BUCKETS} as bucket from base),
+placed as (select *, ({down(tree(shards, base))})::int as shard, ({down(tree(shards + 1, base))})::int as grown_shard from numbered)
 select doc_id, size::bigint as size, {crc}, 'key' as law, shard,
-       row_number() over (partition by shard order by doc_id, size, {crc}) - 1 as slot, grown_shard from placed"""
+       row_number() over (partition by shard order by bucket, doc_id, size, {crc}) - 1 as slot, grown_shard from placed"""
 
