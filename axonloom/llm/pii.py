@@ -16,8 +16,9 @@ terms (``SIGNATURES`` of them, averaged), which no number of variants of one lin
   it tells is what the corpus leaves open: log2(n / contexts of t). It is a ``secret`` if that reaches ``SECRET`` of log2(n),
   the most any term can tell; identifiers that many different lines use aren't.
 
-Counting is by shuffles with partial sums; only lines with an entity or an opaque term are grouped whole. A term's total
-over the corpus is counted for the terms that are tested, by a broadcast only while they are few.
+Counting is by shuffles with partial sums; only lines with an entity or an opaque term are grouped whole. Pairs are only
+made of entities that stand in two lines or more: the lines of these are found first. A term's total over the corpus is
+counted for the terms that are tested, by a broadcast only while they are few.
 
 Defined cases: null and empty texts have no spans; equal rows keep a row each; a null doc_id is an ordinary value;
 an empty table gives an empty result; other columns are kept by ``sanitised`` and ignored otherwise.
@@ -166,16 +167,15 @@ def disclosures(docs: DataFrame, alpha: float = ALPHA, margin: float = MARGIN, f
     is its kind's number and its value."""
     held, n = evidence(docs) if found is None else found
     held = held.where("size(entities) > 0")
-    each = held.select(F.explode("entities").alias("entity"), "words", "signs")
-    n_e = each.groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = each.select("entity", F.explode("words").alias("term"), "signs")
+    n_e = cut(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")))
     # a term's lines among these alone: no more than n_t, so what fails with it fails with n_t
     least = held.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     bits = math.log2(max(n_e.count() * least.count(), 1)) + margin
     mutual = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
     tells = (F.col("n_e") < n) & (mutual >= alpha * F.log2(F.lit(n) / F.col("n_e")))
-    counts = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where("n_te > 1")
-    met = cut(counts.join(n_e, "entity").join(least, "term").where(tells & (F.col("n_te") * mutual >= bits)).drop("n_t"))
+    pairs = _recurring(held, n_e).select("e.entity", "e.n_e", F.explode("words").alias("term"), "signs")
+    counts = pairs.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where("n_te > 1")
+    met = cut(counts.join(least, "term").where(tells & (F.col("n_te") * mutual >= bits)).drop("n_t"))
     contexts = _contexts(pairs.join(_small(met.select("entity", "term")), ["entity", "term"], "left_semi"), ["entity", "term"])
     met = cut(met.join(contexts, ["entity", "term"]).join(least, "term").where(F.col("contexts") * mutual >= bits).drop("n_t"))
     # as for the entities, copies of a line count once; only wanted terms are moved for that
@@ -187,6 +187,14 @@ def disclosures(docs: DataFrame, alpha: float = ALPHA, margin: float = MARGIN, f
     return found_.select("entity", "term", (2 * F.col("n_te") >= F.col("n_t")).alias("removed"))
 
 
+def _recurring(held: DataFrame, n_e: DataFrame) -> DataFrame:
+    """(e, words, signs): a row for each entity of a line, as (entity, n_e), if the entity stands in two lines or more.
+    Only such an entity can meet a term twice; most stand in one line, and their words aren't moved."""
+    at = held.select("line", "size", F.explode("entities").alias("entity")).join(n_e.where("n_e > 1"), "entity")
+    of_line = at.groupBy("line", "size").agg(F.collect_list(F.struct("entity", "n_e")).alias("met"))
+    return cut(held.select("line", "size", "words", "signs").join(of_line, ["line", "size"]).drop("line", "size")).select(F.explode("met").alias("e"), "words", "signs")
+
+
 def _small(rows: DataFrame) -> DataFrame:
     """``rows`` (with a string ``term``), to be broadcast if they are proven few and short."""
     n, size = rows.limit(BROADCAST_TERMS + 1).agg(F.count("*"), F.sum(F.length("term"))).first()

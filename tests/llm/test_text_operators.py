@@ -438,6 +438,18 @@ def test_copies_of_lines_count_once(spark):
     assert {(r.term, r.removed) for r in pii.disclosures(frame(spark, rows)).collect()} == {("quibbler", True)}
 
 
+def test_words_of_lines_whose_entities_stand_alone_are_not_paired(spark):
+    """Pairs with an entity of one line can't be found twice: what is shuffled follows the words, not words x entities."""
+    line = lambda i, mail: " ".join(f"w{i}x{k}" for k in range(100)) + f" {mail}"
+    rows = [(i, line(i, " ".join(f"a{i}y{j}@mail{i}y{j}.example.com" for j in range(10)))) for i in range(150)]
+    rows += [(1_000 + i, line(1_000 + i, "quibbler zed@mail.example.com")) for i in range(6)] + [(5_000 + i, f"line number {i}") for i in range(900)]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    found = {(r.entity.v, r.term) for r in pii.disclosures(frame(spark, rows)).collect()}
+    assert written() - before < 2_500_000
+    assert found == {(v, "quibbler") for v in ("zed@mail.example.com", "zed", "mail.example.com")}
+
+
 def test_variants_of_one_line_hide_no_disclosing_term(spark):
     g = random.Random(2)
     base = [f"boiler{k}" for k in range(30)]
