@@ -11,9 +11,14 @@ bit away (d = 2: two fingerprints are linked if and only if those neighbourhoods
 their smallest only, which is linear and keeps the same components.
 
 With a ``similarity`` the groups follow the word sets instead: documents are linked if the Jaccard similarity of their
-shingle sets reaches it. No bit distance is tight enough for that (at 0.8 two 64-bit fingerprints are about 10 bits
-apart, up to 20; pivot distances exclude nothing there), so candidates share one of ``BANDS`` keys of ``ROWS`` minhashes
-(a pair at 0.8 is missed with probability 3e-5), and each is verified on the exact sets. Keys shared by up to ``NEAR``
+shingle sets reaches it. The steps are the same. A set has a fingerprint, whose pairs of blocks are keys; equal sets fold
+into one row. At 0.8 two 64-bit fingerprints are about 10 bits apart, up to 20, so blocks alone would lose most links:
+``BANDS`` keys of ``ROWS`` minhashes stand beside them (a pair at 0.8 is missed by these with probability 3e-5). The pivot
+table holds distances of sets, by symmetric difference, to reference sets. References are all unions of ``CELLS`` ranges
+of hash values; how many hashes a set has in each range gives its distance to every union, and the largest difference
+over all of them is the sum of the ranges' differences. Pairs at ``similarity`` s differ by at most
+(1 - s) / (1 + s) of both sizes, so pairs with a larger coordinate difference are thrown away without touching the sets,
+and no link is lost; survivors are verified on the exact sets. Keys shared by up to ``NEAR``
 sets are paired off. Of larger ones each member is compared to one head; what still lies in different components then is
 compared block by block, all but the pairs inside a key's largest component. So a large group whose members are like
 their head costs a pair a member, and components are found twice, whatever the groups.
@@ -42,6 +47,8 @@ SHINGLE, SEED, BITS = 3, 42, 2
 PIVOTS, CROWD = 16, 64
 #: Keys a document gets, minhashes a key, and sets of a key beyond which it isn't paired off.
 BANDS, ROWS, NEAR = 20, 4, 8
+#: Ranges of hash values whose unions are the references of the sets' pivot table (a power of two).
+CELLS = 64
 #: Sets of a block of a larger key, and hashes that all its sets together may have.
 BLOCK, BLOCK_HASHES = 256, 2_000_000
 #: Hashes counted at once.
@@ -56,6 +63,15 @@ def _shingles(text: bytes | None, shingle: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[j:] for j in range(shingle)))))
 
 
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(votes: np.ndarray, of: int) -> np.uint64:
+    return np.packbits(votes * 2 > of, bitorder="little").view(np.uint64)[0]
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """Bit j is set if over half of the shingles' hashes have it; repeats count each time."""
     shingles = _shingles(text, shingle)
@@ -65,8 +81,8 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(shingles), _STEP):
         part = np.fromiter((digest(s, SEED) for s in shingles[at : at + _STEP]), np.uint64)
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(shingles), bitorder="little").view(np.uint64)[0])
+        votes += _votes(part)
+    return int(_majority(votes, len(shingles)))
 
 
 def _fingerprints(shingle: int):
@@ -153,26 +169,42 @@ def _set_id(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0).astype(np.int64))
 
 
+def _block_pairs(prints: np.ndarray) -> np.ndarray:
+    """The keys of each fingerprint: every two of its blocks, as in ``links``."""
+    width = 64 // (BITS + 2)
+    parts = [prints >> np.uint64(width * j) & np.uint64((1 << width) - 1) for j in range(BITS + 2)]
+    return np.stack([x << np.uint64(width) | y for x, y in combinations(parts, 2)], axis=1)
+
+
 def _sketches(shingle: int):
     rng = np.random.default_rng(11)
     odd, plus = (rng.integers(0, 2**64, BANDS * ROWS, np.uint64) for _ in range(2))
     odd |= np.uint64(1)
+    ranges = np.arange(1, CELLS, dtype=np.uint64) << np.uint64(64 - (CELLS - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             least, ids, sizes = np.full((n, BANDS * ROWS), 2**64 - 1, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            prints, table = np.zeros(n, np.uint64), np.zeros((n, CELLS), np.int32)
             for i, text in enumerate(raw(batch.column(2))):
                 h = shingle_set(text, shingle)
                 ids[i], sizes[i] = _set_id(h), len(h)
+                table[i] = np.diff(np.searchsorted(h, ranges), prepend=0, append=len(h))
+                votes = np.zeros(64, np.int64)
                 for at in range(0, len(h), _STEP):
-                    np.minimum(least[i], (h[at : at + _STEP, None] * odd + plus).min(axis=0), out=least[i])
+                    part = h[at : at + _STEP]
+                    votes += _votes(part)
+                    np.minimum(least[i], (part[:, None] * odd + plus).min(axis=0), out=least[i])
+                prints[i] = _majority(votes, len(h))
             keys = np.tile(np.arange(BANDS, dtype=np.uint64), (n, 1))
             for j in range(ROWS):
                 keys = mix(keys * np.uint64(31) + least[:, j::ROWS])
-            ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
+            keys = np.concatenate([keys, _block_pairs(prints)], axis=1)
+            ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, keys.shape[1], 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[sizes > 0].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids), pa.array(sizes), bands], names=["doc_id", "text_key", "fp", "size", "bands"])
+            tables = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * CELLS), pa.array(table.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids), pa.array(sizes), bands, tables], names=["doc_id", "text_key", "fp", "size", "bands", "pivots"])
 
     return run
 
@@ -187,6 +219,22 @@ def _sets(shingle: int):
     return run
 
 
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, text_key, fp (for the shingle set), size, bands (its keys: of minhashes, then of the fingerprint's blocks)
+    and pivots (its row of the pivot table) of every row."""
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return source.mapInArrow(_sketches(shingle), "doc_id bigint, text_key bigint, fp bigint, size bigint, bands array<bigint>, pivots array<int>")
+
+
+def within_pivots(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) that the pivot table of ``nodes`` (fp, size, pivots) doesn't exclude at this similarity: the distances
+    to some reference set differ by more than those of the two sets could. No pair that reaches it is lost."""
+    one = nodes.select(F.col("fp").alias("a"), F.col("size").alias("m"), F.col("pivots").alias("x"))
+    two = nodes.select(F.col("fp").alias("b"), F.col("size").alias("m_"), F.col("pivots").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    return pairs.join(one, "a").join(two, "b").where(apart * (1 + similarity) <= (1 - similarity) * (F.col("m") + F.col("m_")) + 1e-6).select("a", "b")
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The (a, b) whose sets are similar enough."""
     one = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x"))
@@ -197,7 +245,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def similar_links(docs: DataFrame, sketches: DataFrame, shingle: int, similarity: float, near: int = NEAR) -> DataFrame:
     """(a, b), a < b: links between distinct shingle sets ``fp``; from keys with more than ``near`` sets enough of them
-    to connect the same components. ``sketches``: doc_id, text_key, fp, size, bands of every row of ``docs``."""
+    to connect the same components. ``sketches``: those of every row of ``docs``."""
     nodes = sketches.groupBy("fp").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     keyed = nodes.select("fp", "text_key", "size", F.posexplode("bands").alias("c", "v"))
     sizes = keyed.groupBy("c", "v").agg(F.count("*").alias("n")).where("n > 1")
@@ -211,6 +259,9 @@ def similar_links(docs: DataFrame, sketches: DataFrame, shingle: int, similarity
     heads = crowded.groupBy("c", "v").agg(F.min(F.struct("fp", "size")).alias("head"))
     to_head = crowded.join(heads, ["c", "v"]).where((F.col("fp") != F.col("head.fp")) & fits("size", "head.size"))
     pairs = pairs.unionByName(to_head.select(F.col("head.fp").alias("a"), F.col("fp").alias("b"))).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    tables = cut(sketches.join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("size").alias("size"), F.first("pivots").alias("pivots")))
+    pairs = cut(within_pivots(pairs, tables, similarity))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(crowded.select("fp")).distinct()
     keys = cut(shared.join(nodes, "fp", "left_semi").select(F.col("text_key").alias("_key")).distinct())
     small = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -287,8 +338,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, count: int = PIVOTS
         rows = cut(fingerprints(docs, shingle))
         linked = links(rows.select("fp").distinct(), count, crowd)
     else:
-        source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-        rows = cut(source.mapInArrow(_sketches(shingle), "doc_id bigint, text_key bigint, fp bigint, size bigint, bands array<bigint>"))
+        rows = cut(sketches(docs, shingle))
         linked = similar_links(docs, rows, shingle, similarity)
         rows = rows.select("doc_id", "text_key", "fp")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))

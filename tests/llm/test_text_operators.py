@@ -614,6 +614,26 @@ def test_similar_documents_are_grouped_as_by_brute_force(spark, corpus):
     assert [got[i] for i in range(len(texts))] == jaccard_components(texts)
 
 
+def test_similar_sets_are_proposed_by_fingerprints_and_discarded_by_pivots(spark):
+    g = random.Random(8)
+    base = [[f"w{g.randrange(9_000)}" for _ in range(n)] for n in (30, 150, 400)]
+    texts = [" ".join(f"n{g.randrange(9_000)}" if g.random() < rate else w for w in b) for b in base for rate in (0, 0.004, 0.01, 0.02, 0.03, 0.1, 0.3) for _ in range(4)]
+    rows = simhash.sketches(frame(spark, list(enumerate(texts))), 5).collect()
+    sets = {r.fp: {int(h) for h in simhash.shingle_set(texts[r.doc_id].encode(), 5)} for r in rows}
+    for r in rows:
+        mine = sets[r.fp]
+        bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in mine) > len(mine))
+        x = [bits >> 16 * j & 0xFFFF for j in range(4)]
+        assert r.bands[simhash.BANDS :] == [x[i] << 16 | x[j] for i in range(4) for j in range(i + 1, 4)]
+        assert r.pivots == [sum(h >> 58 == c for h in mine) for c in range(64)] and sum(r.pivots) == r.size == len(mine)
+    every = [(a, b) for a in sets for b in sets if a < b]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    table = spark.createDataFrame([(r.fp, r.size, r.pivots) for r in rows], "fp bigint, size bigint, pivots array<int>").dropDuplicates(["fp"])
+    kept = {tuple(r) for r in simhash.within_pivots(spark.createDataFrame(every, "a bigint, b bigint"), table, 0.8).collect()}
+    assert kept >= {p for p in every if like(*p) >= 0.8} and len(kept) > 20
+    assert not any(like(*p) < 0.3 for p in kept)  # what is far apart is discarded before the sets are read
+
+
 def test_the_stage_drops_what_is_similar(spark, corpus, sf):
     import corpus_pipeline
 
