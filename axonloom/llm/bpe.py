@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axonloom.llm.textops import sliced
+from axonloom.llm.textops import lean, sliced
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces held with their ids; the table starts anew beyond, so memory is bounded.
@@ -254,7 +254,7 @@ def _coder(path: str, keep_ids: bool):
                 yield pa.RecordBatch.from_arrays(columns, names=names)
             pa.default_memory_pool().release_unused()
 
-    return run
+    return lean(run)
 
 
 def encoded(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:

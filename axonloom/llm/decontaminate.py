@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axonloom.llm.textops import Words, listed, mix, sliced
+from axonloom.llm.textops import Words, lean, listed, mix, sliced
 
 #: Word bytes after lower-casing: 0-9, a-z and all of UTF-8's non-ASCII.
 IS_WORD = np.zeros(256, bool)
@@ -100,7 +100,7 @@ def _extract(key_types: list[pa.DataType], window: int, gram: int, short: list[i
                     names=[*(f"key{c}" for c in range(len(keys))), "n_words", "grams"],
                 )
 
-    return run
+    return lean(run)
 
 
 def _reach(a: Column, b: Column, side: Column) -> Column:

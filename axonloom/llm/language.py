@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axonloom.llm.textops import Words, sliced
+from axonloom.llm.textops import Words, lean, sliced
 
 N_SLOTS = 1 << 15
 #: Labelled rows of each language that training counts at most (those with the smallest hash of their id).
@@ -79,7 +79,7 @@ def _count(langs: list[str]):
             s = slice(at, at + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(i[s].astype(np.int32)), pa.array(slot[s].astype(np.int32)), pa.array(sums[i[s], slot[s]])], names=["lang", "slot", "n"])
 
-    return run
+    return lean(run)
 
 
 class Model:
@@ -208,4 +208,4 @@ def with_language(docs: DataFrame, model: Model, least: float = LEAST_SCORE) ->
                     part = part.set_column(lang_at, part.schema.field(lang_at), filled)
                 yield part.filter(pa.array([x != UND and s >= least for x, s in zip(names, scores)], pa.bool_()))
 
-    return docs.mapInArrow(run, kinds)
+    return docs.mapInArrow(lean(run), kinds)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axonloom.llm.textops import BROADCAST_IDS, LOWER, listed, mix, raw
+from axonloom.llm.textops import BROADCAST_IDS, CHUNK_BYTES, LOWER, give_back, lean, listed, mix, raw, sliced
 from axonloom.session import cut
 
 SHINGLE, SEED, BITS = 3, 42, 2
@@ -182,41 +182,46 @@ def _sketches(shingle: int):
     odd |= np.uint64(1)
     ranges = np.arange(1, CELLS, dtype=np.uint64) << np.uint64(64 - (CELLS - 1).bit_length())
 
+    def sketch(ids: list[pa.Array], texts: list[bytes | None]) -> pa.RecordBatch:
+        n = len(texts)
+        least, sets, sizes = np.full((n, BANDS * ROWS), 2**64 - 1, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        prints, table = np.zeros(n, np.uint64), np.zeros((n, CELLS), np.int32)
+        for i, text in enumerate(texts):
+            h = shingle_set(text, shingle)
+            sets[i], sizes[i] = _set_id(h), len(h)
+            table[i] = np.diff(np.searchsorted(h, ranges), prepend=0, append=len(h))
+            votes = np.zeros(64, np.int64)
+            for at in range(0, len(h), _STEP):
+                part = h[at : at + _STEP]
+                votes += _votes(part)
+                np.minimum(least[i], (part[:, None] * odd + plus).min(axis=0), out=least[i])
+            prints[i] = _majority(votes, len(h))
+        keys = np.tile(np.arange(BANDS, dtype=np.uint64), (n, 1))
+        for j in range(ROWS):
+            keys = mix(keys * np.uint64(31) + least[:, j::ROWS])
+        keys = np.concatenate([keys, _block_pairs(prints)], axis=1)
+        ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, keys.shape[1], 0))]).astype(np.int32)
+        bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[sizes > 0].ravel().view(np.int64)))
+        tables = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * CELLS), pa.array(table.ravel()))
+        return pa.RecordBatch.from_arrays([*ids, pa.array(sets), pa.array(sizes), bands, tables], names=["doc_id", "text_key", "fp", "size", "bands", "pivots"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            least, ids, sizes = np.full((n, BANDS * ROWS), 2**64 - 1, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            prints, table = np.zeros(n, np.uint64), np.zeros((n, CELLS), np.int32)
-            for i, text in enumerate(raw(batch.column(2))):
-                h = shingle_set(text, shingle)
-                ids[i], sizes[i] = _set_id(h), len(h)
-                table[i] = np.diff(np.searchsorted(h, ranges), prepend=0, append=len(h))
-                votes = np.zeros(64, np.int64)
-                for at in range(0, len(h), _STEP):
-                    part = h[at : at + _STEP]
-                    votes += _votes(part)
-                    np.minimum(least[i], (part[:, None] * odd + plus).min(axis=0), out=least[i])
-                prints[i] = _majority(votes, len(h))
-            keys = np.tile(np.arange(BANDS, dtype=np.uint64), (n, 1))
-            for j in range(ROWS):
-                keys = mix(keys * np.uint64(31) + least[:, j::ROWS])
-            keys = np.concatenate([keys, _block_pairs(prints)], axis=1)
-            ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, keys.shape[1], 0))]).astype(np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[sizes > 0].ravel().view(np.int64)))
-            tables = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * CELLS), pa.array(table.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids), pa.array(sizes), bands, tables], names=["doc_id", "text_key", "fp", "size", "bands", "pivots"])
+            for a, b, texts in sliced(batch.column(2)):
+                yield sketch([batch.column(c).slice(a, b - a) for c in range(2)], texts)
 
-    return run
+    return lean(run)
 
 
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, shingle) for t in raw(batch.column(0))]
-            ids = pa.array([_set_id(h) for h in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["fp", "hashes"])
+            for _, _, texts in sliced(batch.column(0)):
+                sets = [shingle_set(t, shingle) for t in texts]
+                ids = pa.array([_set_id(h) for h in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["fp", "hashes"])
 
-    return run
+    return lean(run)
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
@@ -305,7 +310,13 @@ def _across(crowded: DataFrame, found: DataFrame, sets: DataFrame, similarity: f
         ends = np.stack([fp[x[i[first]]], fp[y[j[first]]]])
         return pa.table({"a": ends.min(axis=0), "b": ends.max(axis=0)})
 
-    return dealt.groupBy("c", "v", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    def run(table: pa.Table) -> pa.Table:
+        out = compare(table)
+        if table.nbytes > CHUNK_BYTES:
+            give_back()
+        return out
+
+    return dealt.groupBy("c", "v", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _shared(row: np.ndarray, flat: np.ndarray, asks: np.ndarray) -> np.ndarray:
