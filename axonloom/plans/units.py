@@ -61,14 +61,15 @@ def _arrays(spark: SparkSession, d: str) -> DataFrame:
     return image.select("cell_id", "sta", "ei", masked.alias("masked"), F.slice("ei", 1, 16).alias("wave")).join(hist, "cell_id", "left")
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return M.measured(_arrays(spark, d), extra="isi > 0.6 or sta > 0.1", more=["sta", "isi"])
+#: Limits of intervals and averages, either of which a candidate pair is over.
+AGREE = {"sta": 0.1, "isi": 0.6}
 
 
 @query("with " + _MEASURES + " select a, b, round(ei, 6) as ei, round(masked, 6) as masked, round(wave, 6) as wave, round(sta, 6) as sta, round(isi, 6) as isi from candidates")
 def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Pairs over one of several rows of three limits (image, masked image, wave) whose intervals or averages agree."""
-    return _candidates(spark, d).select("a", "b", *(r6(c).alias(c) for c in ("ei", "masked", "wave", "sta", "isi")))
+    pairs = M.measured(_arrays(spark, d), extra=" or ".join(f"{c} > {t}" for c, t in AGREE.items()), more=list(AGREE))
+    return pairs.select("a", "b", *(r6(c).alias(c) for c in ("ei", "masked", "wave", "sta", "isi")))
 
 
 def _clustered(pairs: str, key: str = "1") -> str:
@@ -92,10 +93,7 @@ _PAIR = "recursive " + _MEASURES + ", active as (select a, b from candidates whe
 def _merges(spark: SparkSession, d: str) -> DataFrame:
     """Greedy clusters of the candidate pairs whose cells have spikes."""
     cells = spikes(spark, d).select("cell_id").distinct()
-    pairs = _candidates(spark, d)
-    for c in "ab":
-        pairs = pairs.join(cells.withColumnRenamed("cell_id", c), c, "left_semi")
-    return G.clusters(pairs, [])
+    return M.measured_clusters(_arrays(spark, d).join(cells, "cell_id", "left_semi"), AGREE)
 
 
 _TRAIN = "with " + _PAIR + ", t as (select head as a, member as b, cell_id, t_us from m join spikes on cell_id in (head, member)), gaps as (select a, b, t_us - lag(t_us) over (partition by a, b order by t_us, cell_id) as isi from t), f as (select a, b, avg(case when isi < 3600000000 then 1.0 else 0.0 end) as fraction from gaps where isi is not null group by all)"

@@ -42,3 +42,38 @@ def test_arrays_of_other_sizes_and_missing_ones_correlate_0(spark):
     df = spark.createDataFrame(rows, "cell_id bigint, ei array<double>, masked array<double>, wave array<double>, isi array<double>")
     got = {(r.a, r.b): r.isi for r in M.measured(df, more=["isi"]).collect()}
     assert len(got) == 15 and got.pop((1, 4)) == pytest.approx(1) and set(got.values()) == {0.0}
+
+
+def test_clusters_without_pairs_equal_those_of_pairs(spark, monkeypatch):
+    x, df = vectors(spark, 120, 5)
+    pairs = J.correlated_pairs(df.select("cell_id", "v", "class"), 0.35, keys=["class"])
+    want = {tuple(r) for r in G.clusters(pairs, ["class"]).select("class", "head", "member").collect()}
+    units = df.select("class", "cell_id", "v")
+    near = lambda xs, ys: ys[0] @ xs[0].T >= 0.35
+    scaled = lambda side, m: [B.unit_rows(*m[0])]
+    for first, part, fall in ((1_000, 20_000, 0.1), (7, 30, 0.0), (7, 30, 0.9)):
+        for name, value in (("FIRST", first), ("PART", part), ("FALL", fall)):
+            monkeypatch.setattr(G, name, value)
+        got = {tuple(r) for r in G.clusters_of(units, ["class"], ["v"], scaled, near).select("class", "head", "member").collect()}
+        assert got == want and want
+    assert G.clusters_of(units.where("cell_id < 0"), ["class"], ["v"], scaled, near).collect() == []
+
+
+def test_merge_clusters_equal_those_of_candidates(spark, monkeypatch):
+    df = arrays(spark, 60, 2)
+    pairs = M.measured(df, more=["sta", "isi"], extra="isi > 0.6 or sta > 0.1")
+    want = sorted(tuple(r) for r in G.clusters(pairs, []).collect())
+    monkeypatch.setattr(G, "FIRST", 9)
+    assert sorted(tuple(r) for r in M.measured_clusters(df, {"sta": 0.1, "isi": 0.6}).collect()) == want and len(want) > 10
+
+
+@pytest.mark.parametrize("name", ["complete_map"])
+def test_merge_queries_make_no_pairs(spark, sf, monkeypatch, name):
+    from axonloom.plans import units
+
+    def refused(*_, **__):
+        raise AssertionError("a table of pairs")
+
+    for module in (J, M, G):
+        monkeypatch.setattr(module, "block_pairs", refused, raising=False)
+    assert getattr(units, name)(spark, sf).count() > 0
