@@ -67,7 +67,7 @@ def test_merge_clusters_equal_those_of_candidates(spark, monkeypatch):
     assert sorted(tuple(r) for r in M.measured_clusters(df, {"sta": 0.1, "isi": 0.6}).collect()) == want and len(want) > 10
 
 
-@pytest.mark.parametrize("name", ["complete_map", "refractory_test"])
+@pytest.mark.parametrize("name", ["complete_map", "refractory_test", "evaluated_merges"])
 def test_merge_queries_make_no_pairs(spark, sf, monkeypatch, name):
     from axonloom.plans import units
 
