@@ -80,14 +80,13 @@ def nearest_gap(points: DataFrame, marks: DataFrame, keys: Sequence[str], t: str
     both = both.withColumn("_b", floor_div(t, bucket) if bucket else F.lit(0))
     mark, part = F.when(F.col("_kind") == 0, F.col(t)), W.partitionBy(*keys, "_b")
     back = F.last(mark, ignorenulls=True).over(part.orderBy(t, "_kind").rowsBetween(W.unboundedPreceding, 0))
-    ahead = F.first(mark, ignorenulls=True).over(part.orderBy(t, F.desc("_kind")).rowsBetween(0, W.unboundedFollowing))
+    # backwards too, as a frame to the end is gone through again for every row
+    ahead = F.last(mark, ignorenulls=True).over(part.orderBy(F.desc(t), "_kind").rowsBetween(W.unboundedPreceding, 0))
     near = both.withColumn("_p", back).withColumn("_n", ahead).where("_kind = 1")
     if bucket:
         ends = both.groupBy(*keys, "_b").agg(F.max(mark).alias("_hi"), F.min(mark).alias("_lo"))
-        order = W.partitionBy(*keys).orderBy("_b")
-        carried = ends.select(
-            *keys, "_b", F.last("_hi", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_cp"), F.first("_lo", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_cn")
-        )
+        past = lambda order: W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        carried = ends.select(*keys, "_b", F.last("_hi", ignorenulls=True).over(past(F.col("_b"))).alias("_cp"), F.last("_lo", ignorenulls=True).over(past(F.desc("_b"))).alias("_cn"))
         near = near.join(carried, [*keys, "_b"]).withColumns({"_p": F.coalesce("_p", "_cp"), "_n": F.coalesce("_n", "_cn")}).drop("_cp", "_cn")
     return near.withColumn("gap_us", F.least(F.col(t) - F.col("_p"), F.col("_n") - F.col(t))).drop("_kind", "_p", "_n", "_b")
 

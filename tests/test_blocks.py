@@ -1,5 +1,7 @@
 """Pairs by blocks: what leaves a task, odd arrays, and clusters without a table of pairs."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -77,3 +79,14 @@ def test_merge_queries_make_no_pairs(spark, sf, monkeypatch, name):
     for module in (J, M, G):
         monkeypatch.setattr(module, "block_pairs", refused, raising=False)
     assert getattr(units, name)(spark, sf).count() > 0
+
+
+def test_nearest_gap_goes_through_a_key_once(spark):
+    from pyspark.sql import functions as F
+
+    points = spark.range(60_000).select(F.lit(1).alias("k"), (F.col("id") * 7).alias("t_us"))
+    marks = spark.range(30_000).select(F.lit(1).alias("k"), (F.col("id") * 14 + 3).alias("t_us"))
+    began = time.time()
+    got = J.nearest_gap(points, marks, ["k"], bucket=1_000_000).groupBy("gap_us").count().collect()
+    assert {r.gap_us: r["count"] for r in got} == {3: 30_000, 4: 30_000}
+    assert time.time() - began < 30
