@@ -5,6 +5,7 @@ import random
 import pytest
 
 from axonloom.operators import aggregates as A
+from axonloom.operators import greedy as G
 
 FIELDS = "file int, cell_id bigint, t_us bigint"
 
@@ -58,3 +59,11 @@ def test_pairs_of_spikes_are_not_shuffled(spark, sf, name):
     plan = getattr(responses, name)(spark, sf)._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("MapInArrow")]
     assert "Exchange" not in above and "Join" not in above
+
+
+def test_a_cell_wins_all_its_pairs_in_a_round(spark, monkeypatch):
+    rows = [(0, b, 9, 1) for b in range(1, 40)]
+    cuts, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: cuts.append(1) or cut(df))
+    gone = G.losers(spark.createDataFrame(rows, "a bigint, b bigint, n_a int, n_b int"), [])
+    assert sorted(r.cell_id for r in gone.collect()) == list(range(1, 40)) and len(cuts) <= 4
