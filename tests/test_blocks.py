@@ -90,3 +90,10 @@ def test_nearest_gap_goes_through_a_key_once(spark):
     got = J.nearest_gap(points, marks, ["k"], bucket=1_000_000).groupBy("gap_us").count().collect()
     assert {r.gap_us: r["count"] for r in got} == {3: 30_000, 4: 30_000}
     assert time.time() - began < 30
+
+
+def test_greedy_clusters_make_no_pairs(spark, sf, monkeypatch):
+    from axonloom.plans import units
+
+    monkeypatch.delattr(J, "correlated_pairs")
+    assert units.greedy_clusters(spark, sf).count() > 0
