@@ -97,3 +97,9 @@ def test_greedy_clusters_make_no_pairs(spark, sf, monkeypatch):
 
     monkeypatch.delattr(J, "correlated_pairs")
     assert units.greedy_clusters(spark, sf).count() > 0
+
+
+def test_blocks_grow_with_the_vectors(spark):
+    df = spark.range(40_000).selectExpr("id as cell_id", "array_repeat(0D, 64) as v")
+    assert J.block_count([df], []) == (8, 1)
+    assert J.block_count([df.selectExpr("cell_id", "array_repeat(0D, 640) as v")], [])[0] == 13
