@@ -103,3 +103,11 @@ def test_blocks_grow_with_the_vectors(spark):
     df = spark.range(40_000).selectExpr("id as cell_id", "array_repeat(0D, 64) as v")
     assert J.block_count([df], []) == (8, 1)
     assert J.block_count([df.selectExpr("cell_id", "array_repeat(0D, 640) as v")], [])[0] == 13
+
+
+def test_shifted_images_are_compared_in_one_pass(spark, sf):
+    from axonloom.plans import units
+
+    for pairs in (units.hexagonal_matches(spark, sf),):
+        above = plan_above_tasks(pairs)
+        assert "Exchange" not in above and "Union" not in above and "Aggregate" not in above
