@@ -52,7 +52,7 @@ def test_lags_by_blocks_equal_all_pairs(spark, monkeypatch, limits):
     assert got == {k: v for k, v in share.items() if best[k] / min(v[:2]) >= least} and 0 < len(got) < len(share)
 
 
-@pytest.mark.parametrize("name", ["crosscorrelogram", "ccg_correlation", "coincidence"])
+@pytest.mark.parametrize("name", ["crosscorrelogram", "ccg_probability", "ccg_correlation", "coincidence"])
 def test_pairs_of_spikes_are_not_shuffled(spark, sf, name):
     from axonloom.plans import responses
 
