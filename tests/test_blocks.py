@@ -106,8 +106,8 @@ def test_blocks_grow_with_the_vectors(spark):
 
 
 def test_shifted_images_are_compared_in_one_pass(spark, sf):
-    from axonloom.plans import units
+    from axonloom.plans import signals, units
 
-    for pairs in (units.hexagonal_matches(spark, sf),):
+    for pairs in (signals.shifted_correlation(spark, sf), units.hexagonal_matches(spark, sf)):
         above = plan_above_tasks(pairs)
         assert "Exchange" not in above and "Union" not in above and "Aggregate" not in above
