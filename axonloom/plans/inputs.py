@@ -79,7 +79,8 @@ def source_cells(spark: SparkSession, d: str) -> DataFrame:
     group = F.struct(F.concat(F.lit("group"), F.col("o_orderkey").cast("string")).alias("label"), F.lit("p").alias("protocol"), source.alias("source"), block.alias("blocks"))
     cells = rows.groupBy("o_custkey").agg(F.collect_list(group).alias("groups"))
     cell = F.struct(uuid_of(F.col("o_custkey")).alias("uuid"), F.concat(F.lit("cell"), F.col("o_custkey").cast("string")).alias("label"), "groups")
-    trees = cells.groupBy(F.concat(F.lit("e"), (F.col("o_custkey") % 5).cast("string")).alias("experiment")).agg(F.collect_list(cell).alias("cells"))
+    # an experiment's tree comes in documents of a cell each, as a whole one may not fit a row
+    trees = cells.select(F.concat(F.lit("e"), (F.col("o_custkey") % 5).cast("string")).alias("experiment"), F.array(cell).alias("cells"))
     animals = F.array(F.struct(F.lit("a").alias("label"), F.array(F.struct(F.lit("p").alias("label"), F.col("cells"))).alias("preparations")))
     flat = files.with_source_cells(files.flattened(trees.select("experiment", animals.alias("animals"))))
     quantity = F.try_element_at("parameters", F.lit("quantity")).cast("int")
